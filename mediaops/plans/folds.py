@@ -148,20 +148,20 @@ def budget_chunks(
         enters, reaches = rows[enter].to_numpy(float), rows[reach].to_numpy(float)
         n = len(rows)
         # Leaving state and chunk count of a chunk opened at row i, from the back.
-        following = np.empty(n, np.int64)
         leave, count = np.empty(n), np.empty(n, np.int64)
         for i in range(n - 1, -1, -1):
-            beyond = np.nonzero(reaches[i + 1 : i + 65] - enters[i] > budget)[0]
-            if beyond.size:
-                j = i + 1 + int(beyond[0])
-            else:
-                rest = np.nonzero(reaches[i + 65 :] - enters[i] > budget)[0]
-                j = i + 65 + int(rest[0]) if rest.size else n
-            following[i] = j
+            j, span = i + 1, 64
+            while j < n:
+                over = np.nonzero(reaches[j : j + span] - enters[i] > budget)[0]
+                if over.size:
+                    j += int(over[0])
+                    break
+                j, span = min(n, j + span), span * 2
             leave[i], count[i] = (leave[j], count[j] + 1) if j < n else (enters[i], 1)
         # Only a new maximum of reach can be the first row out of budget, and an entering
         # chunk started no later than this slice does.
         marks, out, opened, top = [], [], [], -np.inf
+        complete = True
         for i in range(n):
             if reaches[i] <= top:
                 continue
@@ -170,13 +170,18 @@ def budget_chunks(
             out.append(float(leave[i]))
             opened.append(int(count[i]))
             if top - enters[0] > budget:
+                complete = i == n - 1
                 break
+        if complete:  # a chunk may pass through the whole slice
+            marks, out, opened = [*marks, -np.inf], [*out, np.nan], [*opened, 0]
         return marks, out, opened
 
     def choose(state: float, marks: np.ndarray) -> int:
         if np.isnan(state):
             return 0
         over = np.nonzero(marks - state > budget)[0]
+        if not over.size and marks[-1] != -np.inf:
+            raise ValueError(f"{enter} must not decrease inside a key")
         return int(over[0]) if over.size else -1
 
     return fold_by_key(df, keys, order, walk, schema, float("nan"), probe, choose, max_rows)
