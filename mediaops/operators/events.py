@@ -47,7 +47,7 @@ def list_events(
         F.count(F.lit(1)).alias(count_name),
         *[F.sum(F.col(f"_c_{n}").cast("long")).alias(n) for n in (counts or {})],
     )
-    joined = {n: F.array_join(F.transform("_items", lambda x, c=f"_l_{n}": x[c]), ",") for n in lists}
+    joined = {n: F.array_join(F.col(f"_items._l_{n}"), ",") for n in lists}
     out = grouped.withColumns(joined).drop("_items")
     if not large:
         return out.withColumn("part", F.lit(0)).drop(SLICE)

@@ -21,8 +21,9 @@ def file_clock(stem: Column) -> tuple[Column, Column]:
     """
     digits = F.regexp_extract(stem, r"^(\d{14,})-(\d+)$", 1)
     millis = F.when(F.length(digits) >= 17, F.substring(digits, 15, 3)).otherwise(F.lit("000"))
-    text = F.concat(F.substring(digits, 1, 14), millis)
-    stamp = F.when(digits != "", F.try_to_timestamp(text, F.lit("yyyyMMddHHmmssSSS")))
+    parts = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})(\d{3})$"
+    text = F.regexp_replace(F.concat(F.substring(digits, 1, 14), millis), parts, "$1-$2-$3 $4:$5:$6.$7")
+    stamp = text.try_cast("timestamp")
     frame = F.regexp_extract(stem, r"^(\d{14,})-(\d+)$", 2)
     return stamp, F.when((frame != "") & stamp.isNotNull(), frame.try_cast("long"))
 
