@@ -48,32 +48,37 @@ def classify_codes(codes: DataFrame, text: str = "text", keep_separators: bool =
     rows = codes.withColumn("cleaned", F.regexp_replace(F.upper(raw), allowed, "")).withColumn(
         "_latin", F.translate("cleaned", CYRILLIC, LATIN)
     )
-    options = []
-    for name, pattern, groups, country, kind, regions, latin in PATTERN_RULES:
-        test = F.col("_latin") if latin else F.col("cleaned")
-        region = F.lit("Unknown")
-        if regions:
-            code = F.regexp_extract(test, pattern, groups)
-            known = reduce(lambda acc, kv: acc.when(code == kv[0], kv[1]), regions.items(), F)
-            region = known.otherwise(F.concat(F.lit("Region "), code))
-        options.append(
-            F.when(
-                test.rlike(pattern),
-                F.struct(
-                    F.lit(name).alias("rule"), F.lit(country).alias("country"), F.lit(kind).alias("type"),
-                    region.alias("region"),
-                ),
-            )
-        )
-    found = F.when(F.length(raw) >= 4, F.coalesce(*options))
-    return (
-        rows.withColumn("_f", found)
-        .select(
-            *codes.columns, "cleaned", F.col("_f.rule").alias("rule"), F.col("_f.country").alias("country"),
-            F.col("_f.type").alias("type"), F.col("_f.region").alias("region"),
-            F.when(F.col("_f").isNotNull(), F.lit(BASE_CONFIDENCE)).alias("rule_confidence"),
-        )
+    rows = rows.withColumn(
+        "rule",
+        F.when(
+            F.length(raw) >= 4,
+            F.coalesce(*[F.when(_tested(r).rlike(r[1]), F.lit(r[0])) for r in PATTERN_RULES]),
+        ),
     )
+    rule = F.col("rule")
+    code = F.coalesce(*[F.when(rule == r[0], F.regexp_extract(_tested(r), r[1], r[2])) for r in PATTERN_RULES if r[5]])
+    tables = [(names, [r[0] for r in PATTERN_RULES if r[5] is names]) for names in (KAZAKHSTAN_REGIONS, RUSSIA_REGIONS)]
+    region = F.coalesce(
+        *[F.when(rule.isin(rules), F.coalesce(F.try_element_at(_map(names), code), F.concat(F.lit("Region "), code)))
+          for names, rules in tables],
+        F.when(rule.isNotNull(), F.lit("Unknown")),
+    )
+    return rows.select(
+        *codes.columns, "cleaned", "rule",
+        F.try_element_at(_map({r[0]: r[3] for r in PATTERN_RULES}), rule).alias("country"),
+        F.try_element_at(_map({r[0]: r[4] for r in PATTERN_RULES}), rule).alias("type"),
+        region.alias("region"), F.when(rule.isNotNull(), F.lit(BASE_CONFIDENCE)).alias("rule_confidence"),
+    )
+
+
+def _tested(rule: tuple) -> Column:
+    """The form of the text a rule is tried on."""
+    return F.col("_latin") if rule[6] else F.col("cleaned")
+
+
+def _map(table: dict[str, str]) -> Column:
+    """A fixed table as one literal."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
 def split_rejects(classified: DataFrame, rule: str = "rule") -> tuple[DataFrame, DataFrame]:
@@ -173,22 +178,21 @@ def tokens_from_lines(crops: DataFrame) -> DataFrame:
     return with_bounds(rows)
 
 
-def _edges(token: Column) -> dict[str, Column]:
-    return {e: token[e] for e in ("left", "top", "right", "bottom")}
+def _pairs(n: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(n) for j in range(i + 1, n)]
 
 
-def assemble_layout(tokens: DataFrame, crop: str = "crop_id") -> DataFrame:
-    """Region, country and number of each crop from its tokens (pos dense from 0).
+def _token_features(tokens: DataFrame, crop: str) -> DataFrame:
+    """One row per crop: counts, and for its first four tokens their texts, readings and relations.
 
-    One token of 4 or more characters with letters and digits is the number; one or two other
-    tokens then give region and country.  Without such a token, three or four tokens are
-    tried side by side and stacked, in order of position.  Success needs a number and a
-    region or country.  The rules look at no more than four tokens, and the other cases need
-    only counts, so a crop is never gathered beyond its first four tokens.
+    Columns per token i: x (text), u (upper case), r (repaired region code or null), d (three
+    digits), l (two or three letters), m (number token), e (box).  Columns per pair: ab_ij
+    (i above j) and be_ij (i left of j on one line).
     """
     text = F.col("text")
     is_main = (F.length(text) >= 4) & F.upper(text).rlike("[A-Z]") & text.rlike(r"\d")
-    token = F.struct("pos", "text", "left", "top", "right", "bottom", is_main.alias("main"))
+    box = F.struct("left", "top", "right", "bottom")
+    token = F.struct("pos", "text", box.alias("e"), is_main.alias("main"))
     crops = tokens.groupBy(crop).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(is_main).alias("mains"),
@@ -196,165 +200,174 @@ def assemble_layout(tokens: DataFrame, crop: str = "crop_id") -> DataFrame:
         F.avg("confidence").alias("mean_confidence"),
         F.sort_array(F.collect_list(F.when(F.col("pos") < 4, token))).alias("tok"),
     )
-    t = [F.get("tok", i) for i in range(4)]
-    rest = F.filter("tok", lambda x: ~x["main"])
-    crops = crops.withColumn("rest", rest)
-    r0, r1 = F.get("rest", 0), F.get("rest", 1)
-
-    def above(a: Column, b: Column) -> Column:
-        return F.coalesce(G.is_above(_edges(a), _edges(b)), F.lit(False))
-
-    def beside(a: Column, b: Column) -> Column:
-        return F.coalesce(G.is_beside(_edges(a), _edges(b)), F.lit(False))
-
-    def region_of(token_text: Column) -> Column:
-        fixed = fix_region(token_text)
-        return F.when(fixed.rlike(r"^\d{2}$"), fixed)
-
-    def result(layout, number, region, country, ok=True) -> Column:
-        def as_text(v):
-            return F.lit(None).cast("string") if v is None else (F.lit(v) if isinstance(v, str) else v)
+    head = [crop, "n", "mains", "main_text", "mean_confidence"]
+    one = {}
+    for i in range(4):
+        t = F.get("tok", i)
+        one |= {f"x{i}": t["text"], f"e{i}": t["e"], f"m{i}": t["main"]}
+    rows = crops.select(*head, *[c.alias(k) for k, c in one.items()])
+    two = {}
+    for i in range(4):
+        x = F.col(f"x{i}")
+        fixed = fix_region(x)
+        two |= {
+            f"u{i}": F.upper(x), f"r{i}": F.when(fixed.rlike(r"^\d{2}$"), fixed),
+            f"d{i}": x.rlike(r"^\d{3}$"), f"l{i}": F.upper(x).rlike(r"^[A-Z]{2,3}$"),
+        }
+    def edges(i: int) -> dict[str, Column]:
+        return {side: F.col(f"e{i}")[side] for side in ("left", "top", "right", "bottom")}
 
-        return F.struct(
-            as_text(layout).alias("layout"), as_text(number).alias("number"), as_text(region).alias("region"),
-            as_text(country).alias("country"), F.lit(ok).alias("ok"),
-        )
+    no = F.lit(False)
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                two[f"ab_{i}{j}"] = F.coalesce(G.is_above(edges(i), edges(j)), no)
+            if i < j:
+                two[f"be_{i}{j}"] = F.coalesce(G.is_beside(edges(i), edges(j)), no)
+    kept = [f"{k}{i}" for i in range(4) for k in ("x", "m", "e")]
+    return rows.select(*head, *kept, *[c.alias(k) for k, c in two.items()])
 
-    def country_of(value: Column) -> Column:
-        return F.when(value.isin("KG", "KS"), F.lit("KG"))
 
-    main = F.col("main_text")
+def _outcome(layout, number, region, country, ok: bool = True) -> Column:
+    def text(v) -> Column:
+        return v if isinstance(v, Column) else F.lit(v).cast("string")
 
-    # Number token with one other token.
-    one_region = region_of(r0["text"])
-    other = F.upper(r0["text"])
-    with_one = (
-        F.when(one_region.isNotNull(), result("linear", main, one_region, "KG?"))
-        .when(other.isin("KG", "KS", "KZ"), result("linear", main, None, F.when(other == "KS", "KG").otherwise(other)))
-        .otherwise(result("unknown", main, None, None))
+    return F.struct(
+        text(layout).alias("layout"), text(number).alias("number"), text(region).alias("region"),
+        text(country).alias("country"), F.lit(ok).alias("ok"),
     )
 
-    # Number token with two other tokens, one above the other.
-    def stacked(up: Column, low: Column) -> Column:
-        region = region_of(up["text"])
-        return F.when(
-            region.isNotNull(), result("stacked", main, region, country_of(F.upper(low["text"])))
-        ).otherwise(result("unknown", main, None, None))
 
-    with_two = (
-        F.when(above(r0, r1), stacked(r0, r1)).when(above(r1, r0), stacked(r1, r0))
-        .otherwise(result("unknown", main, None, None))
-    )
-    with_main = (
-        F.when(F.col("n") == 2, with_one).when(F.col("n") == 3, with_two).otherwise(result("unknown", main, None, None))
-    )
+def assemble_layout(tokens: DataFrame, crop: str = "crop_id") -> DataFrame:
+    """Region, country and number of each crop from its tokens (pos dense from 0).
 
-    digits3, letters = r"^\d{3}$", r"^[A-Z]{2,3}$"
+    One token of 4 or more characters with letters and digits is the number; one or two other
+    tokens then give region and country.  Without such a token, three or four tokens are
+    tried side by side and stacked, in order of position.  Success needs a number and a
+    region or country.  The rules look at no more than four tokens, and the other cases need
+    only counts, so a crop is never gathered beyond its first four tokens.
+    """
+    rows = _token_features(tokens, crop)
+    c = F.col
+    main, n = c("main_text"), c("n")
+
+    def kg(value: Column) -> Column:
+        return F.when(value.isin("KG", "KS"), F.lit("KG"))
 
     def likely(region: Column) -> Column:
         return F.when(region.isNotNull(), F.lit("KG?"))
 
+    # Number token with one other token: a region, or a country.
+    region = F.when(c("m0"), c("r1")).otherwise(c("r0"))
+    other = F.when(c("m0"), c("u1")).otherwise(c("u0"))
+    country = F.when(region.isNotNull(), "KG?").when(other.isin("KG", "KS"), "KG").when(other == "KZ", "KZ")
+    one_other = _outcome(F.when(country.isNotNull(), "linear").otherwise("unknown"), main, region, country)
+
+    # Number token with two other tokens, region over country.
+    up, low = F, F
+    for k in range(3):
+        i, j = [x for x in range(3) if x != k]
+        is_k = c(f"m{k}")
+        up = up.when(is_k & c(f"ab_{i}{j}"), F.lit(i)).when(is_k & c(f"ab_{j}{i}"), F.lit(j))
+        low = low.when(is_k & c(f"ab_{i}{j}"), F.lit(j)).when(is_k & c(f"ab_{j}{i}"), F.lit(i))
+    rows = rows.withColumn("up", up).withColumn("low", low)
+    up_region = F.get(F.array("r0", "r1", "r2"), c("up"))
+    low_text = F.get(F.array("u0", "u1", "u2"), c("low"))
+    two_others = _outcome(
+        F.when(up_region.isNotNull(), "stacked").otherwise("unknown"), main, up_region,
+        F.when(up_region.isNotNull(), kg(low_text)),
+    )
+    alone = _outcome("unknown", main, None, None)
+
     # Three tokens: a pair side by side, then a pair stacked; the third token is the region.
     three = []
-    for i in range(3):
-        for j in range(i + 1, 3):
-            a, b = t[i]["text"], t[j]["text"]
-            region = region_of(t[3 - i - j]["text"])
-            fits = (a.rlike(digits3) & F.upper(b).rlike(letters)) | (F.upper(a).rlike("^[A-Z]{3}$") & b.rlike(digits3))
-            number = F.when(a.rlike(digits3), F.concat(a, F.upper(b))).otherwise(F.concat(F.upper(a), b))
-            three.append(F.when(beside(t[i], t[j]) & fits, result("linear_3_elements", number, region, likely(region))))
+    for i, j in _pairs(3):
+        r = c(f"r{3 - i - j}")
+        number_first, letters_first = c(f"d{i}") & c(f"l{j}"), c(f"u{i}").rlike("^[A-Z]{3}$") & c(f"d{j}")
+        three.append(
+            F.when(
+                c(f"be_{i}{j}") & (number_first | letters_first),
+                _outcome("linear_3_elements", F.concat(c(f"u{i}"), c(f"u{j}")), r, likely(r)),
+            )
+        )
     for i in range(3):
         for j in range(3):
             if i != j:
-                a, b = t[i]["text"], t[j]["text"]
-                region = region_of(t[3 - i - j]["text"])
+                r = c(f"r{3 - i - j}")
                 three.append(
                     F.when(
-                        above(t[i], t[j]) & a.rlike(digits3) & F.upper(b).rlike(letters),
-                        result("stacked_with_region", F.concat(a, F.upper(b)), region, likely(region)),
+                        c(f"ab_{i}{j}") & c(f"d{i}") & c(f"l{j}"),
+                        _outcome("stacked_with_region", F.concat(c(f"x{i}"), c(f"u{j}")), r, likely(r)),
                     )
                 )
-    three_tokens = F.coalesce(*three, result("unrecognized_3_elements", None, None, None, False))
+    three_tokens = F.coalesce(*three, _outcome("unrecognized_3_elements", None, None, None, False))
 
     # Four tokens: a pair side by side that forms a number, the other two region and country.
-    four = []
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    for i, j in pairs:
+    four, stack = [], []
+    for i, j in _pairs(4):
         k, m = [x for x in range(4) if x not in (i, j)]
-        number = F.upper(F.concat(t[i]["text"], t[j]["text"]))
+        number = F.concat(c(f"u{i}"), c(f"u{j}"))
         fits = (F.length(number) >= 4) & number.rlike("[A-Z]") & number.rlike(r"\d")
-        up = F.when(above(t[k], t[m]), t[k]).when(above(t[m], t[k]), t[m])
-        low = F.when(above(t[k], t[m]), t[m]).when(above(t[m], t[k]), t[k])
 
-        def named(x: Column) -> Column:
-            return F.upper(x["text"]).rlike("KG|KS")
+        def found(a: int, b: int) -> Column:
+            """Region of a over country b, else of b under country a."""
+            return F.coalesce(
+                F.when(c(f"u{b}").rlike("KG|KS"), c(f"r{a}")), F.when(c(f"u{a}").rlike("KG|KS"), c(f"r{b}"))
+            )
 
-        region = F.coalesce(
-            F.when(named(low), region_of(up["text"])), F.when(named(up), region_of(low["text"]))
-        )
+        r = F.when(c(f"ab_{k}{m}"), found(k, m)).when(c(f"ab_{m}{k}"), found(m, k))
         four.append(
-            F.when(
-                beside(t[i], t[j]) & fits,
-                result("linear_4_elements", number, region, F.when(region.isNotNull(), F.lit("KG"))),
-            )
+            F.when(c(f"be_{i}{j}") & fits, F.struct(number.alias("number"), r.alias("region")))
         )
-    # Two stacked pairs: the right one is the number, the left one region over country.
-    stack = F.filter(
-        F.array(*[
+        stack.append(
             F.when(
-                above(t[i], t[j]),
+                c(f"ab_{i}{j}"),
                 F.struct(
-                    F.least(t[i]["left"], t[j]["left"]).alias("x"), t[i]["text"].alias("up"), t[j]["text"].alias("low")
+                    F.least(c(f"e{i}.left"), c(f"e{j}.left")).alias("x"), (c(f"d{i}") & c(f"l{j}")).alias("is_number"),
+                    F.concat(c(f"x{i}"), c(f"u{j}")).alias("number"), c(f"r{i}").alias("region"), c(f"u{j}").alias("low"),
                 ),
             )
-            for i, j in pairs
-        ]),
-        lambda x: x.isNotNull(),
+        )
+    rows = rows.withColumn("side", F.coalesce(*four)).withColumn(
+        "stack", F.filter(F.array(*stack), lambda s: s.isNotNull())
     )
+    # Two stacked pairs: the right one is the number, the left one region over country.
     p0, p1 = F.get("stack", 0), F.get("stack", 1)
-    swap = p1["x"] > p0["x"]
-    right, left = F.when(swap, p1).otherwise(p0), F.when(swap, p0).otherwise(p1)
-    double = F.when(
-        F.size("stack") == 2,
+    rows = rows.withColumn("right_pair", F.when(p1["x"] > p0["x"], p1).otherwise(p0)).withColumn(
+        "left_pair", F.when(p1["x"] > p0["x"], p0).otherwise(p1)
+    )
+    four_tokens = (
         F.when(
-            right["up"].rlike(digits3) & F.upper(right["low"]).rlike(letters),
-            result(
-                "double_stacked", F.concat(right["up"], F.upper(right["low"])), region_of(left["up"]),
-                country_of(F.upper(left["low"])),
-            ),
-        ).otherwise(result("invalid_stacked_pattern", None, None, None, False)),
-    ).otherwise(result("unrecognized_4_elements", None, None, None, False))
-    crops = crops.withColumn("stack", stack)
-    four_tokens = F.coalesce(*four, double)
-
-    single = t[0]["text"]
-    outcome = (
-        F.when(F.col("mains") > 1, result("ambiguous_multiple_plates", None, None, None, False))
-        .when(F.col("mains") == 1, with_main)
-        .when(F.col("n") == 3, three_tokens)
-        .when(F.col("n") == 4, four_tokens)
-        .when(
-            F.col("n") == 1,
-            F.when(F.length(single) >= 4, result("single", single, None, None))
-            .otherwise(result("unknown", None, None, None, False)),
-        )
-        .otherwise(
-            result(
-                F.concat(F.lit("unhandled_"), F.col("n").cast("string"), F.lit("_elements")), None, None, None, False
-            )
+            c("side").isNotNull(),
+            _outcome("linear_4_elements", c("side.number"), c("side.region"), F.when(c("side.region").isNotNull(), "KG")),
         )
+        .when(F.size("stack") != 2, _outcome("unrecognized_4_elements", None, None, None, False))
+        .when(~c("right_pair.is_number"), _outcome("invalid_stacked_pattern", None, None, None, False))
+        .otherwise(_outcome("double_stacked", c("right_pair.number"), c("left_pair.region"), kg(c("left_pair.low"))))
+    )
+    single = F.when(F.length("x0") >= 4, _outcome("single", c("x0"), None, None)).otherwise(
+        _outcome("unknown", None, None, None, False)
     )
-    o = crops.select(crop, "n", "mains", "mean_confidence", outcome.alias("o")).select(
-        crop, "n", "mains", "mean_confidence", "o.*"
+    unhandled = F.concat(F.lit("unhandled_"), n.cast("string"), F.lit("_elements"))
+    outcome = (
+        F.when(c("mains") > 1, _outcome("ambiguous_multiple_plates", None, None, None, False))
+        .when((c("mains") == 1) & (n == 2), one_other)
+        .when((c("mains") == 1) & (n == 3), two_others)
+        .when(c("mains") == 1, alone)
+        .when(n == 3, three_tokens)
+        .when(n == 4, four_tokens)
+        .when(n == 1, single)
+        .otherwise(_outcome(unhandled, None, None, None, False))
     )
-    shown = F.when(F.col("country") != "KG?", F.col("country"))
-    full = F.when(F.col("ok"), F.concat_ws(" ", "region", shown, "number")).otherwise("")
-    success = F.col("ok") & F.col("number").isNotNull() & (F.col("region").isNotNull() | F.col("country").isNotNull())
+    o = rows.select(crop, "n", "mains", "mean_confidence", outcome.alias("o"))
+    shown = F.when(c("o.country") != "KG?", c("o.country"))
+    located = c("o.region").isNotNull() | c("o.country").isNotNull()
     return o.select(
-        crop, F.col("n").alias("tokens"), F.col("layout").alias("layout_type"), F.col("region").alias("region_code"),
-        F.col("country").alias("country_code"), F.col("number").alias("plate_number"), full.alias("full_text"),
-        success.alias("extraction_success"),
-        F.when(F.col("mains") > 1, 0.0).otherwise(F.col("mean_confidence")).alias("confidence"),
+        crop, c("n").alias("tokens"), c("o.layout").alias("layout_type"), c("o.region").alias("region_code"),
+        c("o.country").alias("country_code"), c("o.number").alias("plate_number"),
+        F.when(c("o.ok"), F.concat_ws(" ", c("o.region"), shown, c("o.number"))).otherwise("").alias("full_text"),
+        (c("o.ok") & c("o.number").isNotNull() & located).alias("extraction_success"),
+        F.when(c("mains") > 1, 0.0).otherwise(c("mean_confidence")).alias("confidence"),
     )
 
 

@@ -178,8 +178,9 @@ def vector_stats_label(frames: DataFrame, vec: str = "embedding") -> DataFrame:
     v = F.transform(vec, lambda x: x.cast("double"))
     rows = frames.withColumn("_v", v).withColumn("_n", F.size("_v"))
     mean = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.col("_n")
+    square = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x) / F.col("_n")
     rows = rows.withColumn("mean", mean)
-    var = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("_n")
+    var = F.greatest(F.lit(0.0), square - F.col("mean") * F.col("mean"))
     rows = rows.withColumn("variance", var).withColumn("deviation", F.sqrt("variance")).withColumn("top", F.array_max("_v"))
     m, s, t, v2 = (F.col(c) for c in ("mean", "deviation", "top", "variance"))
     label = (

@@ -161,11 +161,9 @@ def quality_flags(
     confidence = F.lower(F.coalesce(a["confidence"], F.lit("")))
     words = a["keywords"]
     n = F.size(words)
-    run = F.when(n > 5, F.exists(
-        F.sequence(F.lit(0), F.greatest(n - 4, F.lit(0))),
-        lambda i: (F.get(words, i) == F.get(words, i + 1)) & (F.get(words, i) == F.get(words, i + 2))
-        & (F.get(words, i) == F.get(words, i + 3)),
-    ))
+    # Four equal neighbours, seen as a repeated group in the joined list.
+    joined = F.array_join(words, "\x1f", "\x1e")
+    run = (n > 5) & joined.rlike(r"(?:^|\x1f)([^\x1f]*)\x1f\1\x1f\1\x1f\1(?:\x1f|$)")
     terms = a["search_terms"]
     pieces = F.filter(F.split(strip_text(terms), r"\s+"), lambda x: x != "")
     tests = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,13 +98,10 @@ def knn_join_lsh(
     For unit vectors the distance d and the cosine s satisfy d*d = 2 - 2*s.
     """
     def unit(df: DataFrame) -> DataFrame:
-        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-        scaled = F.transform(vec, lambda x: x.cast("double") / F.col("_norm"))
-        return (
-            df.withColumn("_norm", norm)
-            .filter("_norm > 0")
-            .select(F.col(id_col).alias("id"), array_to_vector(scaled).alias("unit"))
+        rows = df.filter(F.exists(vec, lambda x: x != 0)).select(
+            F.col(id_col).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("_raw")
         )
+        return Normalizer(inputCol="_raw", outputCol="unit").transform(rows).drop("_raw")
 
     lsh = BucketedRandomProjectionLSH(
         inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7

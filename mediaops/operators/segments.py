@@ -77,11 +77,12 @@ def frames_in_segments(frames: DataFrame, segments: DataFrame, width: float = SE
 def _repetitive(text: Column) -> Column:
     """More than 5 words and one of them over 70% of all.
 
-    A word above half of a sorted list fills its middle, so only one candidate is counted.
+    A word above half of a sorted list fills its middle, so only one candidate is counted
+    (without a lambda: an expression inside one would be evaluated again for every word).
     """
     words = F.split(text, r"\s+")
     middle = F.element_at(F.sort_array(words), F.floor(F.size(words) / 2).cast("int") + 1)
-    top = F.size(F.filter(words, lambda w: w == middle))
+    top = F.size(words) - F.size(F.array_remove(words, middle))
     return (F.size(words) > 5) & (top / F.size(words) > 0.7)
 
 

@@ -48,7 +48,11 @@ def read_utterances(spark: SparkSession, path: str, suffix: str = "_transcriptio
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Media of a manifest; the name defaults to the stem of the path, entries without a path are skipped."""
-    docs = spark.read.schema(S.MANIFEST).option("multiLine", True).json(path)
+    return manifest_rows(spark.read.schema(S.MANIFEST).option("multiLine", True).json(path))
+
+
+def manifest_rows(docs: DataFrame) -> DataFrame:
+    """Media rows of read manifest documents."""
     v = docs.select(F.explode("videos").alias("v")).select("v.*").filter("path is not null and path <> ''")
     return v.select(
         F.coalesce(F.nullif(F.col("name"), F.lit("")), file_stem(F.col("path"))).alias("media"),

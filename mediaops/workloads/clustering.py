@@ -1 +1,54 @@
-"""Registered queries."""
+"""Entity clustering of the embedding table."""
+
+from pyspark.sql import functions as F
+
+from mediaops.operators import clustering as C
+from mediaops.workloads import roles as R
+from mediaops.workloads.registry import query
+
+
+def rows(spark, sf):
+    return R.vectors(spark, sf).select("media", "id", "t", "embedding")
+
+
+@query("c2_online_clusters_best")
+def online_best(spark, sf):
+    return C.online_clusters(rows(spark, sf), 0.3, "best").withColumn("entity_id", C.entity_name("entity_no"))
+
+
+@query("c2_online_clusters_first")
+def online_first(spark, sf):
+    return C.online_clusters(rows(spark, sf), 0.3, "first").withColumn("entity_id", C.entity_name("entity_no", 2))
+
+
+@query("c3_linkage_clusters")
+def linkage(spark, sf):
+    return C.linkage_clusters(rows(spark, sf), 0.7)
+
+
+@query("c4_labelings_compared")
+def compared(spark, sf):
+    both = C.online_clusters(rows(spark, sf), 0.3).join(C.linkage_clusters(rows(spark, sf), 0.7), ["media", "id"])
+    return C.compare_labels(both, "entity_no", "cluster_no")
+
+
+CELLS = f"""WITH {R.DET_SQL}, c AS (SELECT media, entity_id AS "first", entity_id_batch AS "second", count(*) AS n FROM det WHERE entity_id IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY media, "first") AS fn, count(*) OVER (PARTITION BY media, "first") AS fp,
+  sum(n) OVER (PARTITION BY media, "second") AS sn, count(*) OVER (PARTITION BY media, "second") AS sp FROM c)"""
+
+
+@query("c4_label_contingency", f"""{CELLS} SELECT media, "first", "second", n, round(n / fn, 6) AS first_share, round(n / sn, 6) AS second_share, fp > 1 AS split, sp > 1 AS merged FROM k""")
+def contingency(spark, sf):
+    return C.compare_labels(R.detections(spark, sf), "entity_id", "entity_id_batch")
+
+
+@query("c4_relabel_counts", f"""{CELLS}, g AS (SELECT media, count(DISTINCT "first") AS before, count(DISTINCT "second") AS after, count(DISTINCT "second") FILTER (sp > 1) AS merged_labels,
+count(DISTINCT "first") FILTER (fp > 1) AS split_labels FROM k GROUP BY media)
+SELECT *, greatest(0, before - after) AS merged, greatest(0, after - before) AS new FROM g""")
+def relabel(spark, sf):
+    return C.relabel_counts(C.compare_labels(R.detections(spark, sf), "entity_id", "entity_id_batch"))
+
+
+@query("a24_threshold_sweep")
+def sweep(spark, sf):
+    return C.threshold_sweep(rows(spark, sf), (0.6, 0.75, 0.9))

@@ -1 +1,128 @@
-"""Registered queries."""
+"""Streaming operators run to the end of the stored tables as streams of files."""
+
+
+from pyspark.sql import functions as F
+
+from mediaops.functions.clock import whole_second
+from mediaops.operators import hooks, tables
+from mediaops.sources import writers  # noqa: F401
+from mediaops.streaming import operators as S
+from mediaops.workloads import roles as R
+from mediaops.workloads.registry import query
+from mediaops.workloads.storing import scratch
+
+
+def drain(spark, stream, mode: str = "append"):
+    """Run a stream over all present files and give the written rows."""
+    root = scratch(spark)
+    stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def staged(spark, df, order: str, files: int = 2):
+    """Write rows in ranges of ``order`` as the files of a stream and open it."""
+    root = scratch(spark)
+    df.repartitionByRange(files, order).write.parquet(root)
+    return S.file_stream(spark, root, df.schema)
+
+
+
+
+@query("u1_second_events", f"""SELECT user_id AS media, date_trunc('second', ts) AS second, count(*) AS "count", string_agg(event_type, ',' ORDER BY event_id) AS objects
+FROM events WHERE ts < (SELECT date_trunc('second', max(ts) - INTERVAL 10 SECOND) FROM events) GROUP BY ALL""")
+def second_events(spark, sf):
+    e = R.table(spark, sf, "events").select(
+        F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_no"), F.col("event_type").alias("label")
+    )
+    return drain(spark, S.second_events(staged(spark, e, "ts")))
+
+
+@query("u4_label_changes", f"""WITH {R.DET_SQL}, p AS (SELECT media, frame_no, label, lag(label) OVER (PARTITION BY media ORDER BY frame_no) AS previous_label FROM det)
+SELECT * FROM p WHERE previous_label IS NULL OR previous_label <> label""")
+def label_changes(spark, sf):
+    return drain(spark, S.label_changes(staged(spark, R.detections(spark, sf).select("media", "frame_no", "label"), "frame_no")))
+
+
+@query("u5_frame_batches", f"""WITH {R.DET_SQL}, n AS (SELECT media, frame_no, row_number() OVER (PARTITION BY media ORDER BY frame_no) - 1 AS i FROM det)
+SELECT media, i // 3 AS request_no, string_agg(CAST(frame_no AS VARCHAR), ',' ORDER BY frame_no) AS frames FROM n GROUP BY ALL HAVING count(*) = 3""")
+def frame_batches(spark, sf):
+    return drain(spark, S.frame_batches(staged(spark, R.detections(spark, sf).select("media", "frame_no"), "frame_no")))
+
+
+@query("u2_online_clusters")
+def online_clusters(spark, sf):
+    rows = R.vectors(spark, sf).select("media", "id", "t", "embedding")
+    return drain(spark, S.online_clusters(staged(spark, rows, "t"), 0.3))
+
+
+@query("u3_quiet_sessions")
+def quiet_sessions(spark, sf):
+    from mediaops.workloads.grouping import unique_stills
+
+    rows = unique_stills(spark, sf).select("dir", "name", "frame_no", F.col("taken_at").alias("ts"))
+    return drain(spark, S.quiet_sessions(staged(spark, rows, "ts")))
+
+
+@query("u6_sliding_segments", f"""WITH {R.UTT_SQL}, g AS (SELECT media, "start" AS t, length(text) AS n, unnest(range(CAST(greatest(0, ceil(("start" - 50 + 0.000001) / 35)) AS BIGINT), CAST(floor("start" / 35) AS BIGINT) + 1)) AS segment_index FROM utt)
+SELECT media, segment_index, count(*) AS utterances, sum(n) AS chars FROM g WHERE segment_index * 35 + 50 <= (SELECT max("start") - 60 FROM utt) GROUP BY ALL""")
+def sliding_segments(spark, sf):
+    u = R.utterances(spark, sf)
+    ts = F.timestamp_micros(F.round(F.col("start") * 1_000_000).cast("long"))
+    rows = u.select("media", "text", ts.alias("ts"))
+    return drain(spark, S.sliding_segments(staged(spark, rows, "ts")))
+
+
+@query("u7_incremental_upsert", """SELECT o_orderkey AS id, o_orderdate AS start_time, o_orderpriority AS description FROM orders""")
+def incremental(spark, sf):
+    """Files arrive in two parts and are merged into versions of a segment table."""
+    root = scratch(spark)
+    rows = R.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("start_time"), F.col("o_orderpriority").alias("description")
+    )
+    rows.withColumn("description", F.lit("old")).limit(0).write.parquet(f"{root}/v0")
+
+    def merge(batch, number):
+        base = spark.read.schema(rows.schema).parquet(f"{root}/v{number}")
+        tables.upsert_segments(base, batch).write.mode("overwrite").parquet(f"{root}/v{number + 1}")
+
+    source = staged(spark, rows, "id", 2)
+    S.upsert_batches(source, merge, f"{root}/state").awaitTermination()
+    last = max(p for p in range(1, 50) if writers._exists(spark, f"{root}/v{p}/_SUCCESS"))
+    return spark.read.schema(rows.schema).parquet(f"{root}/v{last}")
+
+
+@query("h1_scored_batches", "SELECT event_id, value * 2 AS score FROM events")
+def scored(spark, sf):
+    rows = R.table(spark, sf, "events").select("event_id", "value")
+    return hooks.score_batches(rows, lambda p: p.assign(score=p["value"] * 2)[["event_id", "score"]], "event_id long, score double", 500)
+
+
+@query("h2_embedded_texts", """SELECT doc_id, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 0.0 ELSE 1.0 END AS length FROM documents""")
+def embedded(spark, sf):
+    rows = hooks.embed(R.table(spark, sf, "documents").select("doc_id", "text"), "text", dim=384)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return rows.select("doc_id", F.round(F.sqrt(square), 4).alias("length"))
+
+
+@query("h3_keyed_fold", f"""WITH {R.DET_SQL} SELECT media, count(*) AS seconds FROM (SELECT DISTINCT media, CAST(round_even(t, 0) AS BIGINT) AS s FROM det) GROUP BY media""")
+def folded(spark, sf):
+    """Number of distinct seconds per media as a fold with the last second as state."""
+    import numpy as np
+
+    from mediaops.plans.folds import fold_by_key
+
+    det = R.detections(spark, sf).select("media", "id", whole_second(F.col("t")).alias("s"))
+
+    def walk(pdf, state, opened):
+        s = pdf["s"].to_numpy(float)
+        new = s != np.concatenate([[state], s[:-1]])
+        return pdf[["media", "s"]][new]
+
+    def probe(pdf):
+        return [0.0], [float(pdf["s"].iloc[-1])], [1]
+
+    schema = det.select("media", "s").schema
+    rows = fold_by_key(det, ["media"], ["s", "id"], walk, schema, float("nan"), probe, lambda state, marks: 0)
+    return rows.groupBy("media").agg(F.count(F.lit(1)).alias("seconds"))

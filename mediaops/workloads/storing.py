@@ -1 +1,324 @@
-"""Registered queries."""
+"""Upserts, deletes, queues, sources and sinks."""
+
+
+from pyspark.sql import functions as F
+
+from mediaops.operators import rollups, tables
+from mediaops.plans.staging import ensure_checkpoint_dir
+from mediaops.sources import readers, writers
+from mediaops.workloads import roles as R
+from mediaops.workloads.registry import query
+
+NOW = "1999-01-01 00:00:00"
+MED = f"WITH {R.MEDIA_SQL}"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def stored_media(spark, sf):
+    return R.media(spark, sf).select(
+        "media", "path", "language", "duration", "phase1_status", "phase2_status",
+        F.col("phase2_start_time").alias("created_at"), F.col("phase2_start_time").alias("updated_at"),
+    )
+
+
+@query("d1_upsert_media", f"""{MED}, u AS (SELECT l_orderkey AS media, 'new/' || CAST(l_orderkey AS VARCHAR) AS path, max(l_extendedprice) / 1000 AS duration FROM lineitem GROUP BY 1
+  UNION ALL SELECT -1 - c_custkey, 'customer', c_acctbal FROM customer)
+SELECT coalesce(u.media, m.media) AS media, coalesce(u.path, m.path) AS path, m.language, coalesce(u.duration, m.duration) AS duration,
+coalesce(m.phase1_status, 'pending') AS phase1_status, coalesce(m.phase2_status, 'pending') AS phase2_status,
+CASE WHEN m.media IS NULL THEN TIMESTAMP '{NOW}' ELSE phase2_start_time END AS created_at, CASE WHEN u.media IS NULL THEN phase2_start_time ELSE TIMESTAMP '{NOW}' END AS updated_at
+FROM med m FULL JOIN u ON u.media = m.media""")
+def upsert_media(spark, sf):
+    li = R.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("media")).agg((F.max("l_extendedprice") / 1000).alias("duration"))
+    changed = li.select("media", F.concat(F.lit("new/"), F.col("media").cast("string")).alias("path"), "duration")
+    added = R.table(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("media"), F.lit("customer").alias("path"), F.col("c_acctbal").alias("duration"))
+    return tables.upsert_media(stored_media(spark, sf), changed.unionByName(added), now())
+
+
+@query("d2_update_status", f"""{MED}, u AS (SELECT l_orderkey AS media, CASE WHEN max(l_returnflag) = 'R' THEN 'completed' END AS s FROM lineitem GROUP BY 1)
+SELECT med.media, path, language, duration, phase1_status, coalesce(s, phase2_status) AS phase2_status, phase2_start_time AS created_at,
+CASE WHEN u.media IS NULL THEN phase2_start_time ELSE TIMESTAMP '{NOW}' END AS updated_at FROM med LEFT JOIN u ON u.media = med.media""")
+def update_status(spark, sf):
+    changes = R.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("media")).agg(
+        F.when(F.max("l_returnflag") == "R", "completed").alias("phase2_status")
+    )
+    return tables.update_status(stored_media(spark, sf), changes, now())
+
+
+@query("d3_upsert_segments", """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_shipdate) AS start_time, min(l_quantity) AS duration, min(l_returnflag) AS description FROM lineitem GROUP BY 1),
+u AS (SELECT o_orderkey * 10 + 3 AS id, o_orderdate AS start_time, o_totalprice AS duration, o_orderpriority AS description FROM orders)
+SELECT coalesce(b.id, u.id) AS id, coalesce(b.start_time, u.start_time) AS start_time, coalesce(b.duration, u.duration) AS duration, coalesce(u.description, b.description) AS description
+FROM b FULL JOIN u ON u.id = b.id""")
+def upsert_segments(spark, sf):
+    base = R.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(
+        F.min("l_shipdate").alias("start_time"), F.min("l_quantity").alias("duration"), F.min("l_returnflag").alias("description")
+    )
+    new = R.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") * 10 + 3).alias("id"), F.col("o_orderdate").alias("start_time"), F.col("o_totalprice").alias("duration"),
+        F.col("o_orderpriority").alias("description"), F.col("o_custkey").alias("row_no"),
+    )
+    older = new.withColumn("description", F.lit("older")).withColumn("row_no", F.lit(-1).cast("long"))
+    return tables.upsert_segments(base, new.unionByName(older), batch_order=["row_no"])
+
+
+@query("d4_upsert_entities", f"""WITH {R.ENT_SQL}, u AS (SELECT user_id AS media, 'person_00' || CAST(event_id % 3 + 6 AS VARCHAR) AS entity_id, max(value) AS rep FROM events GROUP BY ALL)
+SELECT coalesce(ent.media, u.media) AS media, coalesce(ent.entity_id, u.entity_id) AS entity_id, coalesce(u.rep, ent.first_seen) AS representative,
+CASE WHEN ent.media IS NULL THEN 1 WHEN u.media IS NULL THEN ent.appearances ELSE ent.appearances + 1 END AS appearances, ent.name
+FROM ent FULL JOIN u ON u.media = ent.media AND u.entity_id = ent.entity_id""")
+def upsert_entities(spark, sf):
+    base = R.entities(spark, sf).select("media", "entity_id", F.col("first_seen").alias("representative"), "appearances", "name")
+    new = R.table(spark, sf, "events").groupBy(
+        F.col("user_id").alias("media"), F.concat(F.lit("person_00"), (F.col("event_id") % 3 + 6).cast("string")).alias("entity_id")
+    ).agg(F.max("value").alias("representative"))
+    return tables.upsert_entities(base, new)
+
+
+@query("d5_keyed_label_update", f"""WITH {R.DET_SQL} SELECT d.id, d.media, CASE WHEN e.value > 10 THEN 'post_' || e.event_type ELSE d.entity_id_batch END AS entity_id_batch
+FROM det d JOIN events e ON e.event_id = d.id""")
+def keyed_update(spark, sf):
+    table = R.detections(spark, sf).select("id", "media", "entity_id_batch")
+    changes = R.table(spark, sf, "events").filter("value > 10").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("media"), F.concat(F.lit("post_"), "event_type").alias("entity_id_batch")
+    )
+    return tables.keyed_update(table, changes, ["id", "media"], ["entity_id_batch"])
+
+
+def gone_media(spark, sf):
+    """Media with more than 66 detections, to be removed."""
+    return R.table(spark, sf, "events").groupBy(F.col("user_id").alias("media")).agg(F.count(F.lit(1)).alias("n")).filter("n > 66").select("media")
+
+
+GONE_SQL = "gone AS (SELECT user_id AS media FROM events GROUP BY user_id HAVING count(*) > 66)"
+
+
+@query("d6_delete_media_counts", f"""WITH {R.ENT_SQL}, {GONE_SQL} SELECT 'detections' AS table_name, count(*) AS deleted FROM det WHERE media IN (SELECT media FROM gone)
+UNION ALL SELECT 'entities', count(*) FROM ent WHERE media IN (SELECT media FROM gone)""")
+def delete_counts(spark, sf):
+    _, counts = tables.delete_media({"detections": R.detections(spark, sf), "entities": R.entities(spark, sf)}, gone_media(spark, sf))
+    return counts
+
+
+@query("d6_delete_media_rows", f"WITH {R.ENT_SQL}, {GONE_SQL} SELECT * FROM ent WHERE media NOT IN (SELECT media FROM gone)")
+def delete_rows(spark, sf):
+    kept, _ = tables.delete_media({"entities": R.entities(spark, sf)}, gone_media(spark, sf))
+    return kept["entities"]
+
+
+@query("d6_reset_media", f"""{MED}, g AS (SELECT DISTINCT l_orderkey AS media FROM lineitem WHERE l_quantity >= 50)
+SELECT med.media, duration, CASE WHEN g.media IS NULL THEN phase1_status ELSE 'pending' END AS phase1_status, CASE WHEN g.media IS NULL THEN phase2_status ELSE 'pending' END AS phase2_status,
+CASE WHEN g.media IS NULL THEN phase2_start_time END AS phase2_start_time, CASE WHEN g.media IS NULL THEN total_segments ELSE 0 END AS db_segments_loaded,
+CASE WHEN g.media IS NULL THEN phase2_start_time ELSE TIMESTAMP '{NOW}' END AS updated_at FROM med LEFT JOIN g ON g.media = med.media""")
+def reset(spark, sf):
+    m = R.media(spark, sf).select(
+        "media", "duration", "phase1_status", "phase2_status", "phase2_start_time", F.col("total_segments").alias("db_segments_loaded"),
+        F.col("phase2_start_time").alias("updated_at"),
+    )
+    gone = R.table(spark, sf, "lineitem").filter("l_quantity >= 50").select(F.col("l_orderkey").alias("media"))
+    return tables.reset_media(m, gone, now())
+
+
+@query("d7_delete_segments", f"WITH {R.SEG_SQL} SELECT media, segment_index FROM seg WHERE media <> 'src3'")
+def delete_segments(spark, sf):
+    return tables.delete_segments(R.segments(spark, sf).select("media", "segment_index"), "src3")
+
+
+ORPHAN_SQL = """SELECT 'lineitem part' AS reference, count(*) AS orphans FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'event customer', count(*) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)"""
+
+
+@query("d8_orphans", ORPHAN_SQL)
+def orphans(spark, sf):
+    li = R.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"))
+    part = R.table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    ev = R.table(spark, sf, "events").select(F.col("user_id").alias("k"))
+    sup = R.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    return tables.orphans(li, part, ["k"], "lineitem part").unionByName(tables.orphans(ev, sup, ["k"], "event customer"))
+
+
+@query("d8_delete_entities", f"""WITH {R.DET_SQL} SELECT id, media, CASE WHEN entity_id = 'person_002' THEN NULL ELSE entity_id END AS entity_id FROM det""")
+def delete_entities(spark, sf):
+    ent = R.entities(spark, sf)
+    gone = ent.filter("entity_id = 'person_002'")
+    _, cleared = tables.delete_entities(ent, R.detections(spark, sf).select("id", "media", "entity_id"), gone)
+    return cleared
+
+
+QUEUE_AS_OF = "1998-06-01 00:00:00"
+
+
+@query("d9_work_queue", f"""{MED} SELECT media, phase2_status, phase2_start_time, duration FROM (SELECT *, duration * 1000 AS d FROM med)
+WHERE phase1_status = 'completed' AND (phase2_status = 'pending' OR phase2_status = 'processing' AND NOT (epoch(TIMESTAMP '{QUEUE_AS_OF}') - epoch(phase2_start_time) < d * 2))""")
+def work_queue(spark, sf):
+    m = R.media(spark, sf).withColumn("duration", F.col("duration") * 1000)
+    rows = tables.work_queue(m, "phase1", "phase2", F.lit(QUEUE_AS_OF).cast("timestamp"))
+    return rows.select("media", "phase2_status", "phase2_start_time", (F.col("duration") / 1000).alias("duration"))
+
+
+@query("d10_forced_reindex", f"""{MED} SELECT media, CASE WHEN db_load_status = 'failed' THEN 'pending' ELSE phase2_status END AS phase2_status FROM med""")
+def forced(spark, sf):
+    m = R.media(spark, sf)
+    manifest = m.select("media", (F.col("db_load_status") == "failed").alias("force"))
+    return tables.reset_media(m.select("media", "phase2_status"), tables.forced_reindex(manifest), now())
+
+
+# --- files: tables are written to the shared scratch folder and read back -------------------------------
+
+
+def scratch(spark) -> str:
+    """A fresh folder next to the checkpoints, which all executors can reach."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query("s1_result_documents", """SELECT source AS media, doc_id AS segment_index, text AS transcript, n_chars % 7 AS frame_count FROM documents""")
+def result_documents(spark, sf):
+    """One JSON document per media, written and scanned; a media has a bounded number of segments per file part."""
+    d = R.table(spark, sf, "documents")
+    seg = F.struct(
+        F.col("doc_id").cast("int").alias("segment_index"), F.col("text").alias("transcript"), (F.col("n_chars") % 7).cast("int").alias("frame_count")
+    )
+    # One document per (media, hundred segments), so no document grows with the table.
+    docs = d.groupBy("source", F.floor(F.col("doc_id") / 100).alias("b")).agg(F.collect_list(seg).alias("segments"))
+    root = scratch(spark)
+    docs.select(F.col("source"), "segments").write.partitionBy("source").json(root)
+    rows = spark.read.schema("segments array<struct<segment_index:int,transcript:string,frame_count:int>>, source string").json(root)
+    return rows.select(F.col("source").alias("media"), F.explode("segments").alias("s")).select(
+        "media", F.col("s.segment_index").cast("long").alias("segment_index"), "s.transcript", F.col("s.frame_count").cast("long").alias("frame_count")
+    )
+
+
+@query("s2_utterance_csv", f"""WITH {R.UTT_SQL} SELECT round("start", 4) AS "start", round("end", 4) AS "end", text FROM utt""")
+def utterance_csv(spark, sf):
+    root = scratch(spark)
+    u = R.utterances(spark, sf).select(
+        "start", "end", "text", F.lit("00:00:00").alias("start_formatted"), F.lit("00:00:01").alias("end_formatted")
+    )
+    u.write.option("header", True).option("escape", '"').option("lineSep", "\n").csv(root)
+    rows = readers.read_utterances(spark, root)
+    return rows.select(F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "text")
+
+
+@query("s3_manifest", """SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'm' || CAST(o_orderkey AS VARCHAR) END AS media, 'video/m' || CAST(o_orderkey AS VARCHAR) || '.mp4' AS path,
+o_orderpriority AS language, o_orderstatus = 'P' AS force FROM orders""")
+def manifest(spark, sf):
+    o = R.table(spark, sf, "orders")
+    entry = F.struct(
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("name"),
+        F.concat(F.lit("video/m"), F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("path"),
+        F.col("o_orderpriority").alias("language"), F.when(F.col("o_orderstatus") == "P", True).alias("force"),
+    )
+    root = scratch(spark)
+    o.select(F.array(entry).alias("videos")).write.json(root)
+    from mediaops import schema as S
+
+    docs = spark.read.schema(S.MANIFEST).json(root)
+    return readers.manifest_rows(docs)
+
+
+@query("s8_event_export", """SELECT event_type AS media, event_id AS frame, value FROM events""")
+def export(spark, sf):
+    root = scratch(spark)
+    e = R.table(spark, sf, "events").select(F.col("event_type").alias("media"), F.col("event_id").alias("frame"), "value")
+    target = writers.export_csv(e, root, "objects")
+    return spark.read.schema("frame long, value double, media string").option("header", True).csv(target)
+
+
+@query("s9_result_versions", """SELECT o_orderkey AS media, CASE WHEN o_orderstatus = 'F' THEN 'second' ELSE 'first' END AS transcript, o_orderstatus <> 'F' AS success FROM orders""")
+def result_versions(spark, sf):
+    root = scratch(spark)
+    o = R.table(spark, sf, "orders")
+
+    def rows(df, text, ok):
+        return df.select(
+            F.col("o_orderkey").cast("string").alias("media"), F.lit(0).alias("segment_index"), F.lit(0.0).alias("start_time"),
+            F.lit(50.0).alias("end_time"), F.lit(50.0).alias("duration"), F.lit(text).alias("transcript"), F.lit("{}").alias("analysis"),
+            F.lit(1).alias("frame_count"), F.lit(ok).alias("success"), F.lit(None).cast("string").alias("parse_error"),
+            F.lit(None).cast("string").alias("error"),
+        )
+
+    writers.save_results(rows(o, "first", True), root)
+    writers.save_results(rows(o.filter("o_orderstatus = 'F'"), "second", False), root)
+    return writers.latest_results(spark, root).select(F.col("media").cast("long").alias("media"), "transcript", "success")
+
+
+@query("s10_appended_detections", """SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(DISTINCT id) AS ids FROM (SELECT row_number() OVER () AS id FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events))""")
+def appended(spark, sf):
+    root = scratch(spark)
+    e = R.table(spark, sf, "events").select("event_id", "user_id", "value")
+    writers.append_detections(e, root, ["event_id"], {"value": "float"})
+    writers.append_detections(e, root, ["event_id"], {"value": "float"})
+    return spark.read.parquet(root).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids")
+    )
+
+
+@query("s6_still_metadata", "SELECT o_orderstatus AS dir, 'img' || CAST(o_orderkey AS VARCHAR) AS path, CAST(floor(o_totalprice / 5000) AS INTEGER) AS speed FROM orders")
+def still_metadata(spark, sf):
+    root = scratch(spark)
+    rows = R.table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("dir"), F.lit("success").alias("status"),
+        F.struct(F.concat(F.lit("img"), F.col("o_orderkey").cast("string")).alias("path")).alias("file_info"),
+        F.struct(F.floor(F.col("o_totalprice") / 5000).cast("int").alias("speed")).alias("radar_data"),
+    )
+    writers.save_still_metadata(rows, root)
+    return readers.read_still_metadata(spark, root).select("dir", "path", F.col("radar_data.speed").alias("speed"))
+
+
+HEADS = ["FFD8FFE000104A46", "89504E470D0A1A0A", "424D000000000000", "25504446", "474946383961AA", "00"]
+
+
+@query("s5_header_check", """SELECT event_id AS path, CASE event_id % 6 WHEN 3 THEN 'unknown header' WHEN 5 THEN 'file too small' END AS error FROM events""")
+def header_check(spark, sf):
+    """Headers derived from the event number: four kinds of image, one other file, one too small."""
+    e = R.table(spark, sf, "events")
+    head = F.element_at(F.array(*[F.lit(h) for h in HEADS]), (F.col("event_id") % 6 + 1).cast("int"))
+    files = e.select(F.col("event_id").alias("path"), F.unhex(head).alias("header"), F.lit(100).cast("long").alias("size"))
+    valid, skipped = readers.check_headers(files)
+    return valid.select("path", F.lit(None).cast("string").alias("error")).unionByName(skipped.select("path", "error"))
+
+
+@query("s4_file_listing")
+def file_listing(spark, sf):
+    """Listing below a folder that holds one small file per media."""
+    root = scratch(spark)
+    e = R.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("media")).agg(F.count(F.lit(1)).alias("n"))
+    e.withColumn("value", F.col("n").cast("string")).drop("n").write.partitionBy("media").text(root)
+    return readers.list_images(spark, root, ("txt",)).select(F.regexp_extract("dir", r"media=\d+$", 0).alias("dir"), "size")
+
+
+
+
+@query("x17_run_log", """SELECT user_id AS run, count(*) FILTER (event_type = 'click') AS segments, count(*) AS "lines",
+date_trunc('second', max(ts) FILTER (event_type = 'view')) AS started, date_trunc('second', max(ts) FILTER (event_type = 'error')) AS ended FROM events GROUP BY user_id""")
+def run_log(spark, sf):
+    root = scratch(spark)
+    e = R.table(spark, sf, "events")
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "click", F.concat(F.lit("Segment "), F.col("event_id").cast("string"), F.lit(" processed successfully")))
+        .when(kind == "view", F.lit("Phase 2: VLLM Analysis...")).when(kind == "error", F.lit("Phase 2 results saved to: x"))
+        .otherwise(F.lit("other"))
+    )
+    line = F.concat_ws(" ", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), text)
+    e.select(F.col("user_id").alias("run"), line.alias("value")).write.partitionBy("run").text(root)
+    lines = readers.with_log_time(spark.read.schema("value string, run long").text(root).select("run", F.col("value").alias("line")))
+    return readers.mine_run_log(lines).drop("seconds")
+
+
+@query("e2_union_of_counts", """SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier""")
+def counts(spark, sf):
+    return rollups.table_counts({t: R.table(spark, sf, t) for t in ("customer", "supplier")})
+
+
+@query("d11_cleared_table", "SELECT 0 AS n, count(*) AS before FROM events")
+def cleared(spark, sf):
+    root = scratch(spark)
+    e = R.table(spark, sf, "events").select("event_id", "value")
+    e.write.parquet(root)
+    before = spark.read.parquet(root).count()
+    writers.clear_table(spark, "event_id long, value double", root)
+    return spark.read.parquet(root).agg(F.count(F.lit(1)).alias("n"), F.lit(before).alias("before"))

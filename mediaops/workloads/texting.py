@@ -1 +1,191 @@
-"""Registered queries."""
+"""Model responses, transcripts, translations, keyword texts."""
+
+from pyspark.sql import functions as F
+
+from mediaops.operators import labels, responses, segments, transcripts
+from mediaops.workloads import roles as R
+from mediaops.workloads.registry import query
+
+# A response per document: its head as description in one of several wrappings.
+RESP_SQL = """resp AS (SELECT source AS media, doc_id AS segment_index, lang, n_chars, doc_id % 6 AS form,
+  regexp_replace(substring(text, 1, 60), '[^a-zA-Z ]', '', 'g') AS d, string_split(regexp_replace(lower(substring(text, 1, 400)), '[^a-z ]', '', 'g'), ' ') AS words, text FROM documents)"""
+CASES = {
+    0: ("plain", '{"description": "%s", "confidence": "high"}'),
+    1: ("fenced", 'Answer:\n```json\n{"description": "%s", "confidence": "high",}\n```\nend'),
+    2: ("closed", '{"description": "%s", "confidence": "high"'),
+    3: ("markdown", "**Description:** %s\n\n**Keywords:** one, two; three\n\n**Mood:** calm"),
+    4: ("invalid", "no json: %s"),
+    5: ("plain", '{"description": "%s", "mchange": true, "information": "new", "keywords": "single"}'),
+}
+
+
+def response_rows(spark, sf):
+    d = R.table(spark, sf, "documents")
+    head = F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", "")
+    form = F.col("doc_id") % 6
+    text = F
+    for i, (_, template) in CASES.items():
+        text = text.when(form == i, F.concat(F.lit(template.split("%s")[0]), head, F.lit(template.split("%s")[1])))
+    words = F.split(F.regexp_replace(F.lower(F.substring("text", 1, 400)), "[^a-z ]", ""), " ")
+    return d.select(
+        F.col("source").alias("media"), F.col("doc_id").alias("segment_index"), "lang", form.alias("form"), head.alias("head"),
+        words.alias("words"), text.alias("response"), "text",
+    )
+
+
+@query("x7_response_outcomes", f"""WITH {RESP_SQL} SELECT segment_index, CASE form WHEN 1 THEN 'fenced' WHEN 2 THEN 'closed' WHEN 3 THEN 'markdown' WHEN 4 THEN 'invalid' ELSE 'plain' END AS outcome,
+CASE WHEN form = 4 THEN NULL WHEN form = 3 THEN coalesce(nullif(trim(d), ''), '**Keywords:** one, two; three') ELSE d END AS description FROM resp""")
+def outcomes(spark, sf):
+    rows = responses.repair_responses(response_rows(spark, sf))
+    described = F.get_json_object("json_text", "$.description")
+    return rows.select("segment_index", "outcome", described.alias("description"))
+
+
+@query("x7_outcome_counts", f"""WITH {RESP_SQL} SELECT CASE form WHEN 1 THEN 'fenced' WHEN 2 THEN 'closed' WHEN 3 THEN 'markdown' WHEN 4 THEN 'invalid' ELSE 'plain' END AS outcome, count(*) AS n FROM resp GROUP BY 1""")
+def outcome_counts(spark, sf):
+    return responses.outcome_counts(responses.repair_responses(response_rows(spark, sf)))
+
+
+@query("x8_field_repair", f"""WITH {RESP_SQL} SELECT segment_index,
+CASE WHEN form = 4 THEN NULL WHEN form = 3 THEN coalesce(nullif(trim(d), ''), '**Keywords:** one, two; three') ELSE d END AS description,
+CASE form WHEN 4 THEN NULL WHEN 3 THEN 'средняя' WHEN 5 THEN 'средняя' ELSE 'high' END AS confidence,
+CASE form WHEN 5 THEN 'true' WHEN 3 THEN 'false' END AS scene_change, CASE form WHEN 5 THEN 'new' WHEN 3 THEN 'Информация извлечена из markdown' END AS new_information,
+CASE form WHEN 5 THEN 'single' WHEN 3 THEN 'one|two|three' END AS keywords FROM resp""")
+def field_repair(spark, sf):
+    rows = responses.repair_fields(responses.repair_responses(response_rows(spark, sf)))
+    return rows.select(
+        "segment_index", "analysis.description", "analysis.confidence", "analysis.scene_change", "analysis.new_information",
+        F.array_join("analysis.keywords", "|").alias("keywords"),
+    )
+
+
+@query("x9_quality_flags", f"""WITH {RESP_SQL}, a AS (SELECT *, lag(d) OVER (PARTITION BY media ORDER BY segment_index) AS prev, list_filter(words, lambda x: x <> '') AS st FROM resp)
+SELECT media, segment_index, array_to_string(list_filter([
+  CASE WHEN length(d) < 20 THEN 'short_description' END,
+  CASE WHEN prev <> '' AND prev = d THEN 'duplicate_description' END,
+  CASE WHEN trim(d) = '' THEN 'empty_required_fields' END,
+  CASE WHEN lang NOT IN ('high', 'medium', 'low') THEN 'invalid_confidence' END,
+  CASE WHEN len(words) > 5 AND len(list_filter(range(len(words) - 3), lambda i: words[i + 1] = words[i + 2] AND words[i + 1] = words[i + 3] AND words[i + 1] = words[i + 4])) > 0 THEN 'keyword_loop' END,
+  CASE WHEN len(words) > 10 AND len(list_distinct(words)) / CAST(len(words) AS DOUBLE) < 0.3 THEN 'keyword_flood' END,
+  CASE WHEN length(array_to_string(words, ' ')) > 100 AND len(st) > 10 AND len(list_distinct(st)) / CAST(len(st) AS DOUBLE) < 0.3 THEN 'search_terms_loop' END
+], lambda x: x IS NOT NULL), ',') AS flags FROM a""")
+def quality(spark, sf):
+    rows = response_rows(spark, sf).withColumn(
+        "analysis",
+        F.struct(
+            F.col("head").alias("description"), F.col("lang").alias("confidence"), F.col("words").alias("keywords"),
+            F.array_join("words", " ").alias("search_terms"),
+        ),
+    ).withColumn("response", F.col("head"))
+    return responses.quality_flags(rows).select("media", "segment_index", F.array_join("flags", ",").alias("flags"))
+
+
+@query("p10_search_documents", f"""WITH {RESP_SQL} SELECT media || '_seg_' || CAST(segment_index AS VARCHAR) AS id, media, segment_index,
+regexp_replace(text || ' ' || d || ' ' || array_to_string(words, ' '), '^\\s+|\\s+$', '', 'g') AS document, nullif(substring(text, 1, 500), '') AS description,
+nullif(substring(array_to_string(words, ' '), 1, 200), '') AS keywords, 'средняя' AS confidence, substring(lang, 1, 50) AS content_type, nullif(substring(d, 1, 500), '') AS search_terms
+FROM resp WHERE regexp_replace(text || ' ' || d || ' ' || array_to_string(words, ' '), '^\\s+|\\s+$', '', 'g') <> ''""")
+def documents(spark, sf):
+    rows = response_rows(spark, sf).withColumn(
+        "analysis",
+        F.to_json(
+            F.struct(
+                F.col("text").alias("description"), F.col("head").alias("dialogue_translation"), F.col("words").alias("keywords"),
+                F.col("head").alias("search_terms"), F.col("lang").alias("content_type"),
+            )
+        ),
+    )
+    rows = rows.withColumns({"start_time": F.lit(0.0), "end_time": F.lit(50.0), "duration": F.lit(50.0)})
+    return responses.search_documents(rows).drop("start_time", "end_time", "duration")
+
+
+@query("a15_parse_quality", f"""WITH {RESP_SQL}, k AS (SELECT media, count(*) AS total, count(*) FILTER (form IN (0, 5)) AS parsed, count(*) FILTER (form NOT IN (0, 5)) AS fallback FROM resp GROUP BY media)
+SELECT *, round(100.0 * parsed / total, 6) AS parsed_pct, round(100.0 * fallback / total, 6) AS fallback_pct, round(100.0 * (parsed + fallback) / total, 6) AS kept_pct FROM k""")
+def parse_quality(spark, sf):
+    return responses.parse_quality(response_rows(spark, sf).withColumn("analysis", F.col("response")))
+
+
+@query("x10_normalised_utterances", f"""WITH {R.UTT_SQL}, n AS (SELECT media, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, "start", "end", CAST(floor("start") AS BIGINT) AS s FROM utt)
+SELECT media, pos, text, round("end" - "start", 6) AS duration, len(string_split_regex(text, '\\s+')) AS word_count,
+lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS start_formatted FROM n WHERE text <> ''""")
+def normalised(spark, sf):
+    rows = transcripts.normalise_utterances(R.utterances(spark, sf))
+    return rows.select("media", "pos", "text", F.round("duration", 6).alias("duration"), "word_count", "start_formatted")
+
+
+@query("x12_rendered_chunks", f"""WITH RECURSIVE {R.UTT_SQL}, n AS (SELECT *, length(text) AS size FROM utt),
+w(media, pos, chunk, used) AS (
+  SELECT media, pos, 0, size FROM n WHERE pos = 0
+  UNION ALL
+  SELECT n.media, n.pos, CASE WHEN w.used + n.size > 1500 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used + n.size > 1500 THEN n.size ELSE w.used + n.size END
+  FROM w JOIN n ON n.media = w.media AND n.pos = w.pos + 1)
+SELECT media, chunk, count(*) AS lines, string_agg(CAST(pos AS VARCHAR) || ',' || CAST(pos + 1 AS VARCHAR) || ',' || text || ',a,b', chr(10) ORDER BY pos) AS rendered
+FROM w JOIN n USING (media, pos) GROUP BY ALL""")
+def rendered(spark, sf):
+    chunked = segments.character_chunks(R.utterances(spark, sf), limit=1500)
+    rows = chunked.withColumns(
+        {"start": F.col("pos"), "end": F.col("pos") + 1, "start_formatted": F.lit("a"), "end_formatted": F.lit("b")}
+    )
+    return transcripts.render_chunks(rows)
+
+
+@query("x11_translated_lines", """WITH l AS (SELECT conv_id AS media, turn AS pos, CASE WHEN turn % 3 = 2 THEN 'x,' ELSE '' END || CAST(turn AS VARCHAR) || '.5,' || CAST(turn + 1 AS VARCHAR) || ',"' || replace(text, chr(10), ' ') || '",00:00:01,00:00:02' AS line,
+  replace(text, chr(10), ' ') AS clean FROM conversations)
+SELECT media, pos, pos % 3 <> 2 AS ok, CASE WHEN pos % 3 <> 2 THEN pos + 0.5 END AS "start", CASE WHEN pos % 3 <> 2 THEN regexp_replace(regexp_replace('"' || clean || '"', '^"+|"+$', '', 'g'), '^\\s+|\\s+$', '', 'g') END AS translated,
+CASE WHEN pos % 3 <> 2 THEN '00:00:02' END AS end_formatted FROM l""")
+def translated_lines(spark, sf):
+    c = R.table(spark, sf, "conversations")
+    line = F.concat(
+        F.when(F.col("turn") % 3 == 2, "x,").otherwise(""), F.col("turn").cast("string"), F.lit(".5,"),
+        (F.col("turn") + 1).cast("string"), F.lit(',"'), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('",00:00:01,00:00:02'),
+    )
+    rows = c.select(F.col("conv_id").alias("media"), F.col("turn").alias("pos"), line.alias("line"))
+    return transcripts.parse_lines(rows).select("media", "pos", "ok", "start", "translated", "end_formatted")
+
+
+@query("j12_matched_translations", """WITH c AS (SELECT conv_id AS media, turn AS line_no, replace(text, chr(10), ' ') AS text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+r AS (SELECT media, line_no, text AS original_text, CASE WHEN line_no % 4 = 1 THEN '[TRANSLATION_PARSE_FAILED]' ELSE 'T' || CAST(line_no AS VARCHAR) END AS translated_text FROM c WHERE line_no < last),
+n AS (SELECT media, count(*) AS k FROM r GROUP BY media)
+SELECT * FROM r UNION ALL SELECT c.media, line_no, text, '[TRANSLATION_MISSING]' FROM c LEFT JOIN n USING (media) WHERE line_no >= coalesce(k, 0)""")
+def matched(spark, sf):
+    c = R.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("media"), F.lit(0).alias("chunk"), F.col("turn").cast("int").alias("line_no"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
+    )
+    last = c.groupBy("media").agg(F.max("line_no").alias("last"))
+    line = F.when(F.col("line_no") % 4 == 1, F.lit("no numbers here")).otherwise(
+        F.concat(F.col("line_no").cast("string"), F.lit(",1,T"), F.col("line_no").cast("string"), F.lit(",a,b"))
+    )
+    # An answer holds the lines of one chunk, whose size is bounded by the character budget.
+    answers = (
+        c.join(last, "media").filter("line_no < last").groupBy("media", "chunk")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("answer"))
+    )
+    return transcripts.match_translations(answers, c).select("media", "line_no", "original_text", "translated_text")
+
+
+SIGNS = {"AUTOMOBILE": "Toyota Avenue", "BUILDING": "Проспект Mercedes", "FURNITURE": "ул. KIA BMW", "HOUSEHOLD": "High Street"}
+SIGN_SQL = "sign AS (SELECT c_custkey AS pos, c_nationkey AS image_id, c_acctbal AS confidence, c_name || ' ' || CASE c_mktsegment " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in SIGNS.items()) + " ELSE 'none' END AS text FROM customer)"
+
+
+def sign_rows(spark, sf):
+    c = R.table(spark, sf, "customer")
+    text = F
+    for segment, words in SIGNS.items():
+        text = text.when(F.col("c_mktsegment") == segment, words)
+    return c.select(
+        F.col("c_custkey").alias("pos"), F.col("c_nationkey").alias("image_id"), F.col("c_acctbal").alias("confidence"),
+        F.concat_ws(" ", "c_name", text.otherwise("none")).alias("text"),
+    )
+
+
+@query("j9_street_signs", f"""WITH {SIGN_SQL} SELECT pos, text, CASE WHEN contains(lower(text), 'проспект') THEN 'проспект' WHEN contains(lower(text), 'ул.') THEN 'ул.'
+WHEN contains(lower(text), 'street') THEN 'street' ELSE 'avenue' END AS keyword_found FROM sign WHERE regexp_matches(lower(text), 'проспект|ул\\.|street|avenue')""")
+def streets(spark, sf):
+    return labels.street_signs(sign_rows(spark, sf)).select("pos", "text", "keyword_found")
+
+
+@query("j9_brand_texts", f"""WITH {SIGN_SQL}, b AS (SELECT *, CASE WHEN contains(upper(text), 'TOYOTA') THEN 'TOYOTA' WHEN contains(upper(text), 'KIA') THEN 'KIA' END AS brand FROM sign)
+SELECT image_id, arg_min(brand, pos) AS brand, arg_min(confidence, pos) AS confidence FROM b WHERE brand IS NOT NULL GROUP BY image_id""")
+def brands(spark, sf):
+    return labels.brand_texts(sign_rows(spark, sf))
