@@ -6,7 +6,7 @@ here first count rows per key (a map-side combined aggregate over the key column
 
 * No key above ``max_rows``: the ordinary window or grouped fold is used as is.
 * Some key above it: the table is range-partitioned by (keys, order) into evenly sized
-  slices.  The slice number is stored by a checkpoint, work happens inside (key, slice),
+  slices.  The slice number is stored with the rows, work happens inside (key, slice),
   and what a slice needs from the slices before it travels in a summary of one row per
   slice.  Slices of one key are contiguous, so at most one key continues into any slice
   and the table of carried values has at most as many rows as there are slices.

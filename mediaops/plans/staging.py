@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, which all executors can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so that later steps never recompute it.
+    """Write ``df`` as a table in the checkpoint folder and read it back.
 
-    The result survives the loss of executors and, unlike a plain plan, gives every
-    consumer the very same rows even when ``df`` contains a sampled range partitioning.
+    Later steps never recompute it, executors may be lost, and every consumer sees the very
+    same rows even when ``df`` contains a sampled range partitioning.  A table rather than
+    ``checkpoint()``: that keeps the partitioning of the plan it cuts, and in a loop of joins
+    these descriptions double with every round until planning takes longer than the work.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

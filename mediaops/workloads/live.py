@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from mediaops.functions.clock import whole_second
 from mediaops.operators import hooks, tables
+from mediaops.plans.staging import scratch_folder as scratch
 from mediaops.sources import writers  # noqa: F401
 from mediaops.streaming import operators as S
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
-from mediaops.workloads.storing import scratch
 
 
 def drain(spark, stream, mode: str = "append"):

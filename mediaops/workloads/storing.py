@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from mediaops.operators import rollups, tables
-from mediaops.plans.staging import ensure_checkpoint_dir
+from mediaops.plans.staging import scratch_folder as scratch
 from mediaops.sources import readers, writers
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
@@ -166,14 +166,6 @@ def forced(spark, sf):
 # --- files: tables are written to the shared scratch folder and read back -------------------------------
 
 
-def scratch(spark) -> str:
-    """A fresh folder next to the checkpoints, which all executors can reach."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-
-
 @query("s1_result_documents", """SELECT source AS media, doc_id AS segment_index, text AS transcript, n_chars % 7 AS frame_count FROM documents""")
 def result_documents(spark, sf):
     """One JSON document per media, written and scanned; a media has a bounded number of segments per file part."""
