@@ -11,7 +11,7 @@ from mediaops.functions.clock import hms_round, whole_second
 from mediaops.functions.vectors import cosine_between
 from mediaops.plans.folds import fold_by_key
 from mediaops.plans.matching import SCORE_DIGITS
-from mediaops.plans.slices import MAX_GROUP_ROWS, SLICE, slice_by_order, with_previous
+from mediaops.plans.slices import MAX_GROUP_ROWS, SLICE, has_large_group, slice_by_order, with_previous
 
 PART_ROWS = 10_000
 
@@ -152,10 +152,12 @@ def distinct_values(events: DataFrame, column: str) -> DataFrame:
 
 def label_changes(
     frames: DataFrame, label: str = "label", order: Sequence[str] = ("frame_no",), keep: Sequence[str] = (),
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_GROUP_ROWS, large: bool | None = None,
 ) -> DataFrame:
     """First row of each media, then one row per change of the label, with the label before."""
-    seen = with_previous(frames.select("media", *order, label, *keep), ["media"], order, [label], "previous_", max_rows)
+    seen = with_previous(
+        frames.select("media", *order, label, *keep), ["media"], order, [label], "previous_", max_rows, large
+    )
     previous = F.col(f"previous_{label}")
     return seen.filter(previous.isNull() | (previous != F.col(label))).withColumn("change_detected", previous.isNotNull())
 
@@ -168,8 +170,9 @@ def change_similarity(
 
     Only change rows carry a reference vector, so this is a look at the preceding change.
     """
-    changes = label_changes(frames, label, order, [vec], max_rows)
-    seen = with_previous(changes, ["media"], order, [vec], max_rows=max_rows)
+    large = has_large_group(frames, ["media"], max_rows)
+    changes = label_changes(frames, label, order, [vec], max_rows, large)
+    seen = with_previous(changes, ["media"], order, [vec], max_rows=max_rows, large=large)
     score = F.when(F.col("change_detected"), F.round(cosine_between(vec, f"prev_{vec}"), SCORE_DIGITS)).otherwise(1.0)
     return seen.withColumn("similarity", score).drop(vec, f"prev_{vec}")
 
@@ -195,10 +198,12 @@ def restart_alerts(
         [segments.schema["media"], segments.schema["segment_index"], T.StructField("reason", T.StringType())]
     )
 
-    def run(rows: pd.DataFrame, state: float) -> tuple[list, float]:
+    def run(rows: pd.DataFrame, first: np.ndarray, state: float) -> tuple[list, float]:
         found = []
         count = int(state)
-        for i, bad in zip(rows["segment_index"].to_numpy(), rows["degraded"].to_numpy()):
+        for new, i, bad in zip(first, rows["segment_index"].to_numpy(), rows["degraded"].to_numpy()):
+            if new:
+                count = 0
             if (i + 1) % interval == 0:
                 found.append("interval")
             elif count >= limit:
@@ -209,16 +214,16 @@ def restart_alerts(
             count += int(bad)
         return found, float(count)
 
-    def walk(rows: pd.DataFrame, state: float, opened: int) -> pd.DataFrame:
-        found, _ = run(rows, state)
+    def walk(rows: pd.DataFrame, first: np.ndarray, state: float, opened: int) -> tuple[pd.DataFrame, float, int]:
+        found, state = run(rows, first, state)
         out = rows[["media", "segment_index"]].assign(reason=found)
-        return out[out["reason"].notna()]
+        return out[out["reason"].notna()], state, opened
 
     # Above ``limit`` the next plain check resets, so any larger count acts like a known one.
     states = list(range(limit * 2 + 2))
 
     def probe(rows: pd.DataFrame) -> tuple[list[float], list[float], list[int]]:
-        return [float(s) for s in states], [run(rows, s)[1] for s in states], [1] * len(states)
+        return [float(s) for s in states], [run(rows, np.zeros(len(rows), bool), s)[1] for s in states], [1] * len(states)
 
     def choose(state: float, marks: np.ndarray) -> int:
         at = np.nonzero(marks == state)[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.operators.segments import strip_text
-from mediaops.plans.slices import MAX_GROUP_ROWS, with_previous
+from mediaops.plans.slices import MAX_GROUP_ROWS, has_large_group, with_previous
 
 FENCE = "```"
 # Headings that mark a structured text answer.
@@ -156,7 +156,8 @@ def quality_flags(
     The repeat test looks at the preceding segment of the same media.
     """
     rows = segments.withColumn("_d", F.coalesce(F.col(f"{analysis}.description"), F.lit("")))
-    rows = with_previous(rows, ["media"], ["segment_index"], ["_d"], max_rows=max_rows)
+    large = has_large_group(segments, ["media"], max_rows)
+    rows = with_previous(rows, ["media"], ["segment_index"], ["_d"], max_rows=max_rows, large=large)
     a = F.col(analysis)
     confidence = F.lower(F.coalesce(a["confidence"], F.lit("")))
     words = a["keywords"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaops.functions.clock import whole_second
 from mediaops.plans.folds import budget_chunks
-from mediaops.plans.slices import MAX_GROUP_ROWS, with_previous
+from mediaops.plans.slices import MAX_GROUP_ROWS, has_large_group, with_previous
+from mediaops.plans.staging import cut_lineage
 
 SEGMENT_SECONDS = 50.0
 OVERLAP_SECONDS = 15.0
@@ -74,16 +75,23 @@ def frames_in_segments(frames: DataFrame, segments: DataFrame, width: float = SE
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: a lambda variable is not computed again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _repetitive(text: Column) -> Column:
     """More than 5 words and one of them over 70% of all.
 
-    A word above half of a sorted list fills its middle, so only one candidate is counted
-    (without a lambda: an expression inside one would be evaluated again for every word).
+    A word above half of a sorted list fills its middle, so only one candidate is counted.
     """
-    words = F.split(text, r"\s+")
-    middle = F.element_at(F.sort_array(words), F.floor(F.size(words) / 2).cast("int") + 1)
-    top = F.size(words) - F.size(F.array_remove(words, middle))
-    return (F.size(words) > 5) & (top / F.size(words) > 0.7)
+
+    def test(words: Column) -> Column:
+        n = F.size(words)
+        middle = F.element_at(F.sort_array(words), F.floor(n / 2).cast("int") + 1)
+        return (n > 5) & ((n - F.size(F.array_remove(words, middle))) / n > 0.7)
+
+    return _once(F.split(text, r"\s+"), test)
 
 
 def strip_text(text: Column) -> Column:
@@ -100,9 +108,11 @@ def clean_repetitive(
     Dropping an equal neighbour cannot change which text was kept last, so the fold is a
     comparison with the preceding survivor of the first two tests.
     """
+    # Filtering only makes keys smaller, so the count is taken before the costly test.
+    large = has_large_group(utterances, keys, max_rows)
     text = strip_text(F.col("text"))
     rows = utterances.withColumn("_t", text).filter("_t <> ''").filter(~_repetitive(F.col("_t")))
-    seen = with_previous(rows, keys, order, ["_t"], max_rows=max_rows)
+    seen = with_previous(rows, keys, order, ["_t"], max_rows=max_rows, large=large)
     return seen.filter(F.col("prev__t").isNull() | (F.col("prev__t") != F.col("_t"))).drop("_t", "prev__t")
 
 
@@ -114,9 +124,10 @@ def character_chunks(
     from mediaops.plans.slices import running_sum
 
     size = F.length("text").cast("long")
-    rows = running_sum(utterances, keys, order, size, "_reach", max_rows)
+    large = has_large_group(utterances, keys, max_rows)
+    rows = running_sum(utterances, keys, order, size, "_reach", max_rows, large)
     rows = rows.withColumn("_enter", F.col("_reach") - size)
-    return budget_chunks(rows, keys, order, "_enter", "_reach", float(limit), max_rows).drop(
+    return budget_chunks(rows, keys, order, "_enter", "_reach", float(limit), max_rows, large).drop(
         "_enter", "_reach", "chunk_enter", "opens", "left_enter"
     )
 
@@ -147,13 +158,15 @@ def speech_segments(utterances: DataFrame, media: DataFrame, max_rows: int = MAX
     chain, which also works for a media of any length.
     """
     order = ("start", "pos")
-    rows = with_previous(utterances, ["media"], order, ["end"], max_rows=max_rows)
+    large = has_large_group(utterances, ["media"], max_rows)
+    rows = with_previous(utterances, ["media"], order, ["end"], max_rows=max_rows, large=large)
     first = F.col("prev_end").isNull()
     enter = F.when(first & (F.col("start") <= SPEECH_LIMIT), 0.0).when(first, F.col("start")).otherwise(
         F.greatest("prev_end", "start")
     )
     rows = rows.withColumn("enter", enter)
-    packed = budget_chunks(rows, ["media"], order, "enter", "end", SPEECH_LIMIT, max_rows)
+    # Stored once: five kinds of rows are read from it.
+    packed = cut_lineage(budget_chunks(rows, ["media"], order, "enter", "end", SPEECH_LIMIT, max_rows, large))
 
     gap = F.col("start") - F.col("prev_end")
     taken = F.col("opens") & ~first & (gap > SILENCE_GAP) & (F.col("start") - F.col("left_enter") <= SPEECH_LIMIT)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaops.plans.slices import MAX_GROUP_ROWS, running_sum, with_previous
+from mediaops.plans.slices import MAX_GROUP_ROWS, has_large_group, running_sum, with_previous
 
 JOIN_GAP = 0.5
 
@@ -51,10 +51,11 @@ def build_sequences(files: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFra
         "dir", "name", "taken_at", "frame_no", F.col("name").alias("sequence_id"), F.lit(1).cast("long").alias("pos")
     )
     clocked = clocked.withColumn("at", F.unix_micros("taken_at"))
-    seen = with_previous(clocked, ["dir"], ["name"], ["at"], max_rows=max_rows)
+    large = has_large_group(files, ["dir"], max_rows)
+    seen = with_previous(clocked, ["dir"], ["name"], ["at"], max_rows=max_rows, large=large)
     gap = int(JOIN_GAP * 1_000_000)
     starts = F.when(F.abs(F.col("at") - F.col("prev_at")) <= gap, 0).otherwise(1)
-    runs = running_sum(seen, ["dir"], ["name"], starts, "run", max_rows)
+    runs = running_sum(seen, ["dir"], ["name"], starts, "run", max_rows, large)
     schema = T.StructType(
         [
             T.StructField("dir", T.StringType()), T.StructField("name", T.StringType()),
@@ -100,13 +101,14 @@ def simple_sequences(files: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFr
     Built-in scans only; equal to ``build_sequences`` when sequences do not overlap in time.
     """
     rows = files.filter("taken_at is not null and frame_no is not null").withColumn("at", F.unix_micros("taken_at"))
-    seen = with_previous(rows, ["dir"], ["name"], ["at", "frame_no"], max_rows=max_rows)
+    large = has_large_group(files, ["dir"], max_rows)
+    seen = with_previous(rows, ["dir"], ["name"], ["at", "frame_no"], max_rows=max_rows, large=large)
     follows = (
         (F.col("frame_no") > 1)
         & (F.col("frame_no") == F.col("prev_frame_no") + 1)
         & (F.col("at") - F.col("prev_at") <= int(JOIN_GAP * 1_000_000))
     )
-    numbered = running_sum(seen, ["dir"], ["name"], F.when(follows, 0).otherwise(1), "sequence_no", max_rows)
+    numbered = running_sum(seen, ["dir"], ["name"], F.when(follows, 0).otherwise(1), "sequence_no", max_rows, large)
     return numbered.select("dir", "name", "frame_no", "sequence_no")
 
 

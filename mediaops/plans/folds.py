@@ -1,7 +1,8 @@
 """Ordered folds per key (pandas inside tasks) that also work when one key is very large.
 
-A fold walks the rows of a key in order with a small state.  Small keys are folded in one
-grouped call.  For a large key the rows are cut into slices (see ``slices``) and three
+A fold walks the rows of a key in order with a small state.  Rows are brought together by key
+and sorted by Spark, and the fold streams over the sorted partition, so it holds one Arrow
+batch and not a key, and many small keys cost no call each.  For a large key the rows are cut into slices (see ``slices``) and three
 distributed steps replace the single walk:
 
 1. *probe*: every slice reports, for each state it could be entered with, the state in
@@ -14,7 +15,7 @@ Only folds whose possible entry states can be enumerated per slice have a probe.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from mediaops.plans.slices import MAX_GROUP_ROWS, SLICE, attach_carry, slice_by_order
 
-Walk = Callable[[pd.DataFrame, float, int], pd.DataFrame]
+Walk = Callable[[pd.DataFrame, np.ndarray, float, int], tuple[pd.DataFrame, float, int]]
 Probe = Callable[[pd.DataFrame], tuple[list[float], list[float], list[int]]]
 Choose = Callable[[float, np.ndarray], int]
 
@@ -39,22 +40,32 @@ def fold_by_key(
     probe: Probe,
     choose: Choose,
     max_rows: int = MAX_GROUP_ROWS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Fold each key in order.
 
-    ``walk(rows, state, opened)`` returns the output rows for sorted ``rows`` entered with
-    ``state`` after ``opened`` units.  ``probe(rows)`` returns parallel lists (entry mark,
+    ``walk(rows, first, state, opened)`` goes over sorted ``rows`` entered with ``state`` after
+    ``opened`` units, starts anew at rows flagged in ``first``, and returns the output rows and
+    the state and count it ends with.  ``probe(rows)`` returns parallel lists (entry mark,
     state on leaving, units opened).  ``choose(state, marks)`` picks the position of the
     entry that ``state`` takes, or -1 when it passes through the slice unchanged.
     """
     keys, order = list(keys), list(order)
-    sliced, large = slice_by_order(df, keys, order, max_rows)
+    sliced, large = slice_by_order(df, keys, order, max_rows, large)
     if not large:
 
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return walk(pdf.sort_values(order, kind="stable", ignore_index=True), start, 0)
+        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state, opened, last = start, 0, None
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                first = _key_starts(pdf, keys, last)
+                last = pdf[keys].iloc[-1:]
+                out, state, opened = walk(pdf.reset_index(drop=True), first, state, opened)
+                yield out
 
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        together = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return together.mapInPandas(stream, schema)
 
     on = [*keys, SLICE]
     key_fields = [sliced.schema[k] for k in on]
@@ -99,11 +110,26 @@ def fold_by_key(
     def walk_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order, kind="stable", ignore_index=True)
         state, opened = float(rows["_state"].iloc[0]), int(rows["_opened"].iloc[0])
-        return walk(rows.drop(columns=[SLICE, "_state", "_opened"]), state, opened)
+        same = np.zeros(len(rows), bool)
+        return walk(rows.drop(columns=[SLICE, "_state", "_opened"]), same, state, opened)[0]
 
     return entered.groupBy(*on).applyInPandas(walk_slice, schema)
 
 
+def _key_starts(pdf: pd.DataFrame, keys: list[str], last: pd.DataFrame | None) -> np.ndarray:
+    """Flags of the rows whose key differs from the row before (``last`` ends the batch before)."""
+    seen = pdf[keys] if last is None else pd.concat([last, pdf[keys]])
+    differs = np.zeros(len(seen), bool)
+    for k in keys:
+        column = seen[k].reset_index(drop=True)
+        before = column.shift(1)
+        differs |= ((column != before) & ~(column.isna() & before.isna())).to_numpy(bool)
+    if last is None:
+        differs[0] = True
+        return differs
+    return differs[1:]
+
+
 def budget_chunks(
     df: DataFrame,
     keys: Sequence[str],
@@ -112,6 +138,7 @@ def budget_chunks(
     reach: str,
     budget: float,
     max_rows: int = MAX_GROUP_ROWS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Greedy packing: a row joins the open chunk while reach(row) - enter(first row) <= budget.
 
@@ -130,19 +157,21 @@ def budget_chunks(
     )
     names = [f.name for f in df.schema.fields]
 
-    def walk(rows: pd.DataFrame, state: float, opened: int) -> pd.DataFrame:
+    def walk(rows: pd.DataFrame, first: np.ndarray, state: float, opened: int) -> tuple[pd.DataFrame, float, int]:
         enters, reaches = rows[enter].to_numpy(float), rows[reach].to_numpy(float)
         n = len(rows)
         chunk, at, opens = np.empty(n, np.int64), np.empty(n), np.zeros(n, bool)
         left = np.full(n, np.nan)
         for i in range(n):
-            if np.isnan(state) or reaches[i] - state > budget:
+            if first[i]:
+                state, opened = np.nan, 0
+            if state != state or reaches[i] - state > budget:
                 left[i], opens[i] = state, True
                 state, opened = enters[i], opened + 1
             chunk[i], at[i] = opened - 1, state
         left_values = pd.array(np.where(np.isnan(left), 0.0, left), dtype="Float64")
         left_values[np.isnan(left)] = pd.NA
-        return rows[names].assign(chunk=chunk, chunk_enter=at, opens=opens, left_enter=left_values)
+        return rows[names].assign(chunk=chunk, chunk_enter=at, opens=opens, left_enter=left_values), state, opened
 
     def probe(rows: pd.DataFrame) -> tuple[list[float], list[float], list[int]]:
         enters, reaches = rows[enter].to_numpy(float), rows[reach].to_numpy(float)
@@ -184,4 +213,4 @@ def budget_chunks(
             raise ValueError(f"{enter} must not decrease inside a key")
         return int(over[0]) if over.size else -1
 
-    return fold_by_key(df, keys, order, walk, schema, float("nan"), probe, choose, max_rows)
+    return fold_by_key(df, keys, order, walk, schema, float("nan"), probe, choose, max_rows, large)

@@ -35,10 +35,16 @@ def has_large_group(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROU
 
 
 def slice_by_order(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_GROUP_ROWS, large: bool | None = None
 ) -> tuple[DataFrame, bool]:
-    """Add ``_slice`` (constant 0 when every key is small); also tell whether slicing was needed."""
-    if not has_large_group(df, keys, max_rows):
+    """Add ``_slice`` (constant 0 when every key is small); also tell whether slicing was needed.
+
+    ``large`` is the answer of ``has_large_group`` when the caller already knows it, for
+    example from the table that ``df`` was computed from.
+    """
+    if large is None:
+        large = has_large_group(df, keys, max_rows)
+    if not large:
         return df.withColumn(SLICE, F.lit(0)), False
     slices = max(2, math.ceil(df.count() / max_rows))
     ranged = df.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id())
@@ -70,9 +76,10 @@ def with_previous(
     columns: Sequence[str],
     prefix: str = "prev_",
     max_rows: int = MAX_GROUP_ROWS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Add the values of ``columns`` in the preceding row of the same key."""
-    sliced, large = slice_by_order(df, keys, order, max_rows)
+    sliced, large = slice_by_order(df, keys, order, max_rows, large)
     if not large:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in columns])
@@ -97,10 +104,11 @@ def running_sum(
     value: Column | str,
     out: str,
     max_rows: int = MAX_GROUP_ROWS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``value`` inside each key."""
     value = F.col(value) if isinstance(value, str) else value
-    sliced, large = slice_by_order(df.withColumn("_v", value), keys, order, max_rows)
+    sliced, large = slice_by_order(df.withColumn("_v", value), keys, order, max_rows, large)
     rows = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if not large:
         rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

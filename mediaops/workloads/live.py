@@ -115,10 +115,10 @@ def folded(spark, sf):
 
     det = R.detections(spark, sf).select("media", "id", whole_second(F.col("t")).alias("s"))
 
-    def walk(pdf, state, opened):
+    def walk(pdf, first, state, opened):
         s = pdf["s"].to_numpy(float)
-        new = s != np.concatenate([[state], s[:-1]])
-        return pdf[["media", "s"]][new]
+        new = first | (s != np.concatenate([[state], s[:-1]]))
+        return pdf[["media", "s"]][new], float(s[-1]), opened + int(new.sum())
 
     def probe(pdf):
         return [0.0], [float(pdf["s"].iloc[-1])], [1]
