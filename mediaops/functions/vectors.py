@@ -64,9 +64,3 @@ def cosine_between(a: Column | str, b: Column | str) -> Column:
         return pa.array(np.einsum("ij,ij->i", unit_rows(x), unit_rows(y)), mask=null)
 
     return score(a, b)
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product inside the JVM, for short vectors in wider expressions."""
-    pair = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pair, F.lit(0.0), lambda acc, x: acc + x)

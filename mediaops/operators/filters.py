@@ -9,8 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.functions.vectors import cosine_to  # noqa: F401  (re-exported for search projections)
-
 #: Label columns a caller may choose from; anything else means the online label.
 LABEL_COLUMNS = {"onthefly": "entity_id", "postclustering": "entity_id_batch", "alt": "entity_id_alt"}
 

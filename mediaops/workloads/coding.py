@@ -63,11 +63,9 @@ def rejects(spark, sf):
     return bad.select("id", "text")
 
 
-@query("x1_code_classification_with_separators", f"""WITH {CODE_SQL} SELECT id, CASE WHEN regexp_matches(translate(upper(text), 'АВЕКМНОРСТУХЯ', 'ABEKMHOPCTYXR'), '^[A-Z]{{1,3}}-[A-Z]{{1,2}}\\s?\\d{{1,4}}$') THEN 'germany' END AS rule FROM code
-WHERE text LIKE '%-%'""")
+@query("x1_code_classification_with_separators", f"""WITH {CODE_SQL}, {RULES_SQL} SELECT id, CASE WHEN text NOT LIKE '%-%' THEN rule END AS rule FROM c""")
 def with_separators(spark, sf):
-    rows = codes.classify_codes(code_rows(spark, sf).filter("text like '%-%'"), keep_separators=True)
-    return rows.select("id", "rule")
+    return codes.classify_codes(code_rows(spark, sf), keep_separators=True).select("id", "rule")
 
 
 @query("x2_national_codes", f"""WITH {CODE_SQL}, c AS (SELECT id, text, upper(trim(text)) AS cleaned FROM code),

@@ -6,9 +6,9 @@ from mediaops.operators import labels, responses, segments, transcripts
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
 
-# A response per document: its head as description in one of several wrappings.
+# A response per document: its letters as description in one of several wrappings.
 RESP_SQL = """resp AS (SELECT source AS media, doc_id AS segment_index, lang, n_chars, doc_id % 6 AS form,
-  regexp_replace(substring(text, 1, 60), '[^a-zA-Z ]', '', 'g') AS d, string_split(regexp_replace(lower(substring(text, 1, 400)), '[^a-z ]', '', 'g'), ' ') AS words, text FROM documents)"""
+  regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS d, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS words, text FROM documents)"""
 CASES = {
     0: ("plain", '{"description": "%s", "confidence": "high"}'),
     1: ("fenced", 'Answer:\n```json\n{"description": "%s", "confidence": "high",}\n```\nend'),
@@ -21,12 +21,12 @@ CASES = {
 
 def response_rows(spark, sf):
     d = R.table(spark, sf, "documents")
-    head = F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", "")
+    head = F.regexp_replace("text", "[^a-zA-Z ]", "")
     form = F.col("doc_id") % 6
     text = F
     for i, (_, template) in CASES.items():
         text = text.when(form == i, F.concat(F.lit(template.split("%s")[0]), head, F.lit(template.split("%s")[1])))
-    words = F.split(F.regexp_replace(F.lower(F.substring("text", 1, 400)), "[^a-z ]", ""), " ")
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
     return d.select(
         F.col("source").alias("media"), F.col("doc_id").alias("segment_index"), "lang", form.alias("form"), head.alias("head"),
         words.alias("words"), text.alias("response"), "text",
