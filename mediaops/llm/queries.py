@@ -7,11 +7,13 @@ from mediaops.llm.mixing import OP8_SQL, op8_mix_sources
 from mediaops.llm.packing import op2_packing
 from mediaops.llm.secrets import op1_secret_scan
 from mediaops.llm.simhash import op5_simhash_dedup
+from mediaops.llm.substring_dedup import op3_substring_dedup
 from mediaops.llm.token_files import op9_token_files
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
