@@ -9,6 +9,7 @@ from mediaops.llm.secrets import op1_secret_scan
 from mediaops.llm.simhash import op5_simhash_dedup
 from mediaops.llm.substring_dedup import op3_substring_dedup
 from mediaops.llm.token_files import op9_token_files
+from mediaops.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL}
