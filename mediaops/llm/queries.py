@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mediaops.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from mediaops.llm.lm_scoring import op6_lm_scoring
 from mediaops.llm.mixing import OP8_SQL, op8_mix_sources
 from mediaops.llm.packing import op2_packing
 from mediaops.llm.secrets import op1_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_files": op9_token_files,
