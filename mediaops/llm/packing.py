@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import read_table, texts
-from mediaops.llm.tokens import encoder, text_groups
+from mediaops.llm.tokens import encoder
+from mediaops.llm.words import text_slices
 from mediaops.plans.staging import cut_lineage
 
 Combination = tuple[tuple[int, ...], int]  # lengths in a window, number of such windows
@@ -149,13 +150,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
-            for rows, group in text_groups(batch):
-                out: list[tuple] = []
-                for name, ids in zip(rows.column(0).to_pylist(), tool.encode(group)):
-                    ids += end
+            for rows, data, offsets in text_slices(batch):
+                found, at = tool.encode(data, offsets)
+                raw, out = found.astype("<u4").tobytes(), []
+                for name, a, b in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    ids = raw[4 * a : 4 * b] + end
                     n = len(ids) // 4
                     out += [
-                        (name, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)
+                        (name, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)
                     ]
                 columns = [pa.array(c, pa.int64()) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays(columns, schema=fields)
@@ -213,14 +215,15 @@ def sequences(
 
     Ids of documents must be unique.
     """
-    end = int(end_id).to_bytes(4, "little")
+    end = np.uint32(end_id)
     fields = pa.schema([("doc_id", pa.int64()), ("all", pa.list_(pa.int32()))])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
-            for rows, group in text_groups(batch):
-                values = [np.frombuffer(x + end, "<u4").astype(np.int32) for x in tool.encode(group)]
+            for rows, data, offsets in text_slices(batch):
+                found, at = tool.encode(data, offsets)
+                values = [np.append(found[a:b], end).astype(np.int32) for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(values, fields[1].type)], schema=fields)
 
     encoded = texts(docs).mapInArrow(ids, "doc_id long, all array<int>")

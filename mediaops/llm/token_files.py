@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaops.llm.common import partitions, read_table, texts
-from mediaops.llm.tokens import encoder, text_groups
+from mediaops.llm.tokens import encoder
+from mediaops.llm.words import text_slices
 from mediaops.plans.staging import scratch_folder
 
 MAGIC = b"IDPLANE1"
@@ -98,7 +99,7 @@ def write_token_files(
     spark = docs.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     ordered = texts(docs, id_col, text_col).repartitionByRange(partitions(spark), order[0]).sortWithinPartitions(*order)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
     fields = pa.schema(
         [("part", pa.int32()), ("chunk", pa.int32()), ("part_offset", pa.int64()), ("n_ids", pa.int64()),
          ("doc_ids", pa.list_(pa.int64())), ("doc_counts", pa.list_(pa.int64())), ("payload_bytes", pa.int64()),
@@ -110,19 +111,20 @@ def write_token_files(
         chunk, offset, held, names, counts, size = 0, 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            payload = encode_planes(np.frombuffer(b"".join(held), "<u4"), planes, block)
+            payload = encode_planes(np.concatenate(held), planes, block)
             values = [part, chunk, offset, size, names, counts, len(payload), zlib.crc32(payload), payload]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, fields)], schema=fields)
 
         for batch in batches:
-            for rows, group in text_groups(batch):
-                for name, ids in zip(rows.column(0).to_pylist(), tool.encode(group)):
-                    if held and size + len(ids) // 4 + 1 > chunk_ids:
+            for rows, data, offsets in text_slices(batch):
+                found, at = tool.encode(data, offsets)
+                for name, a, b in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    if held and size + b - a + 1 > chunk_ids:
                         yield row()
                         chunk, offset, held, names, counts, size = chunk + 1, offset + size, [], [], [], 0
-                    held += [ids, end]
+                    held += [found[a:b], end]
                     names.append(name)
-                    counts.append(len(ids) // 4 + 1)
+                    counts.append(b - a + 1)
                     size += counts[-1]
         if held:
             yield row()
