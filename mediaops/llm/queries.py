@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mediaops.llm.ann_search import op4_ann_search
 from mediaops.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from mediaops.llm.lm_scoring import op6_lm_scoring
 from mediaops.llm.mixing import OP8_SQL, op8_mix_sources
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ann_search": op4_ann_search,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_exact_dedup": op7_exact_dedup,
