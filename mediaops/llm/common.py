@@ -37,3 +37,16 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, salt: str) -> Data
     """
     spread = groups.withColumn(salt, F.explode("salts")).drop("salts")
     return rows.join(spread, [key, salt])
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most_broadcast: int = 500_000) -> DataFrame:
+    """Rows of ``docs`` whose keys (null-safe) are not in ``dropped``, which is sent out only if it has few rows.
+
+    ``dropped`` must be cheap to read again, such as a written table.
+    """
+    few = dropped.count() <= most_broadcast
+    right = dropped.select(*[F.col(k).alias(f"_dropped_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & docs[k].eqNullSafe(right[f"_dropped_{k}"])
+    return docs.join(F.broadcast(right) if few else right, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import read_table, spread_join, texts
+from mediaops.llm.common import read_table, spread_join, texts, without
 from mediaops.plans.staging import cut_lineage
 
 SALTS = 64
@@ -68,6 +68,24 @@ def exact_duplicates(
     )
 
 
+def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which no equal text with a better id exists.
+
+    Rows that repeat the id and the text of a row that stays are dropped too: one of them stays.
+    """
+    found = cut_lineage(exact_duplicates(docs, id_col, text_col, keep).withColumn("_sha", F.unhex("text_sha256")))
+    named = found.select(F.col("doc_id").alias("_id"), "_sha", "kept")
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    rows = rows.withColumn("_id", F.col(id_col).cast("long"))
+    left = without(rows, cut_lineage(named.filter("not kept").select("_id", "_sha").distinct()), ["_id", "_sha"])
+    twice = named.filter("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_sha")
+    twice = cut_lineage(twice)
+    if not twice.isEmpty():
+        again = left.join(twice.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")))
+        left = without(left, twice, ["_id", "_sha"]).unionByName(again.drop("_i", "_s").dropDuplicates(["_id", "_sha"]))
+    return left.drop("_sha", "_id").select(*docs.columns)
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
 

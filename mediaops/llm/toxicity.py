@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -299,6 +300,26 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     return plain_docs.mapInArrow(score, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``.  Nothing is shuffled."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, weights = Matcher(model.terms, model.ordinary), np.array(model.weights)
+        for batch in batches:
+            only = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], ["text"])
+            begin = 0
+            for rows, data, offsets in text_slices(only):
+                x = features(find_words(lower_ascii(data), offsets), matcher)
+                clean = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) < threshold
+                yield batch.slice(begin, rows.num_rows).filter(pa.array(clean))
+                begin += rows.num_rows
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
