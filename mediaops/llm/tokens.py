@@ -48,10 +48,13 @@ class IdCache:
         begin = np.cumsum(size) - size
         self.parts[1] = self._merged(self.parts[1], (one, two, begin, size, ids))
         if len(self.parts[1][0]) > self.most // 8:
-            if len(self.parts[0][0]) > self.most:
-                self.parts[0] = self._empty()
             self.parts = [self._merged(*self.parts), self._empty()]
 
+    def trim(self) -> None:
+        """Forget the large part when it is full; not while chunks that were found are still to be read."""
+        if len(self.parts[0][0]) > self.most:
+            self.parts[0] = self._empty()
+
     @staticmethod
     def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         first = np.concatenate([a[0], b[0]])
@@ -76,7 +79,7 @@ class ChunkEncoder:
     or the end after it, are encoded as a whole.  Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -140,6 +143,8 @@ class ChunkEncoder:
 
     def _found(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part, begin, length = self.cache.find(one, two)
+        if (part < 0).any():
+            raise RuntimeError("a chunk is not in the cache")
         flats = [p[4] for p in self.cache.parts]
         return gather(np.concatenate(flats), begin + np.where(part == 1, len(flats[0]), 0), length), length
 
@@ -147,6 +152,7 @@ class ChunkEncoder:
         """(ids of all texts in a row, offsets of texts in them) for UTF-8 bytes and their offsets."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        self.cache.trim()
         cut = (data == 32) | (data == 10)
         before_end = np.append(_MAY_BEGIN_WHITE[data[1:]], True)
         before_end[offsets[1:][offsets[1:] > 0] - 1] = True
