@@ -66,23 +66,16 @@ def _edges(prefix: str) -> dict:
     return {e: F.col(f"{prefix}{e}") for e in ("left", "top", "right", "bottom")}
 
 
-def token_pairs(tokens: DataFrame, crop: str = "crop_id", max_tokens: int = 4) -> DataFrame:
+def token_pairs(tokens: DataFrame, crop: str = "crop_id") -> DataFrame:
     """Ordered token pairs of one crop where the first is above, or directly left of, the second.
 
-    Layout rules look at pairs only in crops of up to ``max_tokens`` tokens (larger crops have
-    no such rule), so pairs are formed inside small arrays, never over a whole large crop.
-    ``tokens`` has crop, pos (dense from 0), left, top, right, bottom.
+    Every crop, whatever its number of tokens.  Tokens of a crop are gathered in an array, the
+    texts read off one small picture, and its relations come as rows.
+    ``tokens`` has crop, pos, left, top, right, bottom.
     """
     item = F.struct("pos", "left", "top", "right", "bottom")
-    small = (
-        tokens.groupBy(crop)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sort_array(F.collect_list(F.when(F.col("pos") < max_tokens, item))).alias("items"),
-        )
-        .filter(F.col("n").between(2, max_tokens))
-    )
-    pairs = small.select(crop, F.explode("items").alias("a"), "items").select(crop, "a", F.explode("items").alias("b"))
+    items = tokens.groupBy(crop).agg(F.sort_array(F.collect_list(item)).alias("items")).filter(F.size("items") > 1)
+    pairs = items.select(crop, F.explode("items").alias("a"), "items").select(crop, "a", F.explode("items").alias("b"))
     a, b = _edges("a."), _edges("b.")
     return (
         pairs.filter("a.pos <> b.pos")

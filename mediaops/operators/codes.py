@@ -381,21 +381,13 @@ def region_rewrites(tokens: DataFrame) -> DataFrame:
     )
 
 
-def region_texts(tokens: DataFrame, keys: tuple[str, ...] = ("region_id",), part_rows: int = 10_000) -> DataFrame:
-    """Text of each region: tokens above 0.3 in order, without spaces, upper case.
-
-    ``part`` counts on when one region has more than ``part_rows`` tokens.
-    """
-    from mediaops.plans.slices import SLICE, slice_by_order
-
+def region_texts(tokens: DataFrame, keys: tuple[str, ...] = ("region_id",)) -> DataFrame:
+    """Text of each region, always one row: tokens above 0.3 in order, without spaces, upper case."""
     rows = tokens.filter("confidence > 0.3").select(
         *keys, "pos", F.upper(F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), " ", "")).alias("text")
     )
-    sliced, _ = slice_by_order(rows, keys, ["pos"], part_rows)
     first = F.sort_array(F.collect_list(F.struct("pos", "text")))
-    return sliced.groupBy(*keys, F.col(SLICE).alias("part")).agg(
-        F.array_join(F.transform(first, lambda x: x["text"]), "").alias("text")
-    )
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(first, lambda x: x["text"]), "").alias("text"))
 
 
 def overlay_readings(tokens: DataFrame, image: str = "image_id") -> DataFrame:

@@ -13,8 +13,6 @@ from mediaops.plans.folds import fold_by_key
 from mediaops.plans.matching import SCORE_DIGITS
 from mediaops.plans.slices import MAX_GROUP_ROWS, SLICE, has_large_group, slice_by_order, with_previous
 
-PART_ROWS = 10_000
-
 
 def with_second(detections: DataFrame, t: str = "t") -> DataFrame:
     """Add the whole second (nearest, halves to even) and its ``HH:MM:SS`` text."""
@@ -28,33 +26,24 @@ def list_events(
     lists: Mapping[str, Column],
     counts: Mapping[str, Column] | None = None,
     count_name: str = "count",
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """One row per key with parallel comma-joined lists in row order, counts, and ``part``.
+    """One row per key with parallel comma-joined lists in row order, and counts.
 
-    ``part`` is 0 unless one key has more than ``part_rows`` detections; then its lists go on
-    in parts 0, 1, ... in order, so nothing is dropped and no list grows without bound.
+    Always one row, however crowded a key is: each task collects its own part of a list before
+    the shuffle, so the task that joins the parts holds one key's list, as its row does.
     """
-    sliced, large = slice_by_order(
-        detections.select(*keys, *order, *[c.cast("string").alias(f"_l_{n}") for n, c in lists.items()],
-                          *[c.alias(f"_c_{n}") for n, c in (counts or {}).items()]),
-        keys, order, part_rows,
+    rows = detections.select(
+        *keys, *order, *[c.cast("string").alias(f"_l_{n}") for n, c in lists.items()],
+        *[c.alias(f"_c_{n}") for n, c in (counts or {}).items()],
     )
     names = [f"_l_{n}" for n in lists]
     item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *names)
-    grouped = sliced.groupBy(*keys, SLICE).agg(
+    grouped = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(item)).alias("_items"),
         F.count(F.lit(1)).alias(count_name),
         *[F.sum(F.col(f"_c_{n}").cast("long")).alias(n) for n in (counts or {})],
     )
-    joined = {n: F.array_join(F.col(f"_items._l_{n}"), ",") for n in lists}
-    out = grouped.withColumns(joined).drop("_items")
-    if not large:
-        return out.withColumn("part", F.lit(0)).drop(SLICE)
-    first = grouped.groupBy(*keys).agg(F.min(SLICE).alias("_first"))
-    return (
-        out.join(first, list(keys)).withColumn("part", F.col(SLICE) - F.col("_first")).drop(SLICE, "_first")
-    )
+    return grouped.withColumns({n: F.array_join(F.col(f"_items._l_{n}"), ",") for n in lists}).drop("_items")
 
 
 def two_digits(value: Column) -> Column:
@@ -70,27 +59,27 @@ KEYS = ("media", "second", "timestamp")
 ORDER = ("frame_no", "pos")
 
 
-def object_events(detections: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def object_events(detections: DataFrame) -> DataFrame:
     """Objects per second: classes, confidences, centres."""
     lists = {"objects": F.col("label"), "confidences": two_digits(F.col("confidence")), "coordinates": _point()}
-    return list_events(with_second(detections), KEYS, ORDER, lists, part_rows=part_rows)
+    return list_events(with_second(detections), KEYS, ORDER, lists)
 
 
-def code_events(codes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def code_events(codes: DataFrame) -> DataFrame:
     """Codes per second: numbers, countries, types, regions, confidences, centres."""
     lists = {
         "plate_numbers": F.col("plate_number"), "countries": F.col("country"), "plate_types": F.col("plate_type"),
         "regions": F.col("region"), "confidences": two_digits(F.col("confidence")), "coordinates": _point(),
     }
-    return list_events(with_second(codes), KEYS, ORDER, lists, part_rows=part_rows)
+    return list_events(with_second(codes), KEYS, ORDER, lists)
 
 
-def vehicle_events(vehicles: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def vehicle_events(vehicles: DataFrame) -> DataFrame:
     """Vehicles per second with a ``type:count`` summary in order of first appearance."""
     rows = with_second(vehicles)
     lists = {"vehicle_types": F.col("label"), "confidences": two_digits(F.col("confidence")), "coordinates": _point()}
-    events = list_events(rows, KEYS, ORDER, lists, part_rows=part_rows)
-    # Counted per type first, so the summary covers all parts of a crowded second.
+    events = list_events(rows, KEYS, ORDER, lists)
+    # Counted per type first: few rows per second are gathered.
     by_type = rows.groupBy(*KEYS, "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ORDER)).alias("at"))
     text = F.concat(F.col("label"), F.lit(":"), F.col("n").cast("string"))
     summary = by_type.groupBy(*KEYS).agg(
@@ -101,7 +90,7 @@ def vehicle_events(vehicles: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
     return events.join(summary, list(KEYS))
 
 
-def make_events(vehicles: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def make_events(vehicles: DataFrame) -> DataFrame:
     """Make, model and year per second with identified and unknown counts."""
     lists = {
         "makes": F.col("make"), "models": F.col("model"), "years": F.col("year"),
@@ -109,27 +98,27 @@ def make_events(vehicles: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     }
     known = F.col("make") != "Unknown"
     return list_events(
-        with_second(vehicles), KEYS, ORDER, lists, {"identified_count": known, "unknown_count": ~known}, part_rows=part_rows
+        with_second(vehicles), KEYS, ORDER, lists, {"identified_count": known, "unknown_count": ~known}
     )
 
 
-def entity_events(detections: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def entity_events(detections: DataFrame) -> DataFrame:
     """Entities per second: ids, centres, confidences and attributes."""
     lists = {
         "entities": F.col("entity_id"), "coordinates": _point(), "confidences": two_digits(F.col("confidence")),
         "ages": F.col("age"), "genders": F.col("gender"), "emotions": F.col("emotion"),
     }
-    return list_events(with_second(detections), KEYS, ORDER, lists, part_rows=part_rows)
+    return list_events(with_second(detections), KEYS, ORDER, lists)
 
 
-def pose_events(poses: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def pose_events(poses: DataFrame) -> DataFrame:
     """Poses per second: gestures, confidences, centres, head, arms and body."""
     lists = {
         "gestures": F.col("gesture"), "confidences": two_digits(F.col("confidence")), "coordinates": _point(),
         "head_poses": F.col("head_pose"), "arm_positions": F.col("arm_position"),
         "body_orientations": F.col("body_orientation"),
     }
-    return list_events(with_second(poses), KEYS, ORDER, lists, count_name="person_count", part_rows=part_rows)
+    return list_events(with_second(poses), KEYS, ORDER, lists, count_name="person_count")
 
 
 def category_counts(events: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -188,7 +177,8 @@ def restart_alerts(
 
     Rows (media, segment_index, degraded).  The check looks at the segments before the row.
     An interval alert comes first and leaves the count as it is; a degradation alert resets it.
-    The count after a check is below ``limit`` + 1, so a slice has few entry states.
+    A count of ``limit`` acts like any larger one until the next check resets it, so counting
+    stops there and a slice has ``limit`` + 1 entry states.
     """
     import numpy as np
     import pandas as pd
@@ -200,7 +190,7 @@ def restart_alerts(
 
     def run(rows: pd.DataFrame, first: np.ndarray, state: float) -> tuple[list, float]:
         found = []
-        count = int(state)
+        count = min(int(state), limit)
         for new, i, bad in zip(first, rows["segment_index"].to_numpy(), rows["degraded"].to_numpy()):
             if new:
                 count = 0
@@ -211,7 +201,7 @@ def restart_alerts(
                 count = 0
             else:
                 found.append(None)
-            count += int(bad)
+            count = min(count + int(bad), limit)
         return found, float(count)
 
     def walk(rows: pd.DataFrame, first: np.ndarray, state: float, opened: int) -> tuple[pd.DataFrame, float, int]:
@@ -219,17 +209,13 @@ def restart_alerts(
         out = rows[["media", "segment_index"]].assign(reason=found)
         return out[out["reason"].notna()], state, opened
 
-    # Above ``limit`` the next plain check resets, so any larger count acts like a known one.
-    states = list(range(limit * 2 + 2))
+    states = list(range(limit + 1))
 
     def probe(rows: pd.DataFrame) -> tuple[list[float], list[float], list[int]]:
         return [float(s) for s in states], [run(rows, np.zeros(len(rows), bool), s)[1] for s in states], [1] * len(states)
 
     def choose(state: float, marks: np.ndarray) -> int:
-        at = np.nonzero(marks == state)[0]
-        if not at.size:
-            raise ValueError("more degraded segments between two checks than expected")
-        return int(at[0])
+        return int(np.nonzero(marks == state)[0][0])
 
     rows = segments.select("media", "segment_index", "degraded")
     return fold_by_key(rows, ["media"], ["segment_index"], walk, schema, 0.0, probe, choose, max_rows)

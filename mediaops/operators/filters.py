@@ -96,15 +96,15 @@ def search_cards(hits: DataFrame) -> DataFrame:
     )
 
 
-def entity_cards(rollup: DataFrame) -> DataFrame:
-    """Cluster rollup as shown to a user: times to 2 digits, whole mean age."""
+def entity_cards(rollup: DataFrame, preview: int = 5) -> DataFrame:
+    """Cluster rollup as shown to a user: times to 2 digits, whole mean age, a preview of the ids."""
     return rollup.select(
         "media", "cluster_id", "detection_count",
         half_even(F.col("first_seen"), 2).alias("first_seen"),
         half_even(F.col("last_seen"), 2).alias("last_seen"),
         half_even(F.col("avg_age"), 0).cast("long").alias("avg_age"),
         F.col("common_gender").alias("gender"),
-        "detection_ids",
+        F.array_join(F.slice(F.split("detection_ids", ","), 1, preview), ",").alias("detection_ids"),
     )
 
 

@@ -26,26 +26,32 @@ def _pct(part: Column, whole: Column) -> Column:
 # --- clusters and entities -----------------------------------------------------------------
 
 
-def cluster_rollup(detections: DataFrame, kind: str = "onthefly", preview: int = 5) -> DataFrame:
+def cluster_rollup(detections: DataFrame, kind: str = "onthefly") -> DataFrame:
     """Clusters of each media under the chosen labeling, most detections first.
 
-    Count, first and last time, mean age, most frequent gender and the first ``preview``
-    detection ids (comma-joined).  All ids of a cluster come as rows from ``cluster_members``.
+    Count, first and last time, mean age, most frequent gender (the smaller one on ties) and all
+    distinct detection ids in order, comma-joined.  One scan: rows are counted per (cluster,
+    gender) with partial sums first, and the few rows of a cluster are put together after that.
     """
     label = label_column(kind)
-    rows = detections.filter(F.col(label).isNotNull()).withColumn("cluster_id", F.col(label))
     keys = ["media", "cluster_id"]
-    stats = rows.groupBy(*keys).agg(
-        _n().alias("detection_count"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"),
-        F.round(F.avg("age"), 6).alias("avg_age"),
-    )
-    modes = modes_by(rows, keys, ["gender"])
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
-    ids = ranked.filter(F.col("_r") <= preview).groupBy(*keys).agg(
-        F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("detection_ids")
+    rows = detections.filter(F.col(label).isNotNull()).withColumn("cluster_id", F.col(label))
+    parts = rows.groupBy(*keys, "gender").agg(
+        _n().alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.sum("age").alias("ages"),
+        F.count("age").alias("aged"), F.collect_set("id").alias("ids"),
     )
+    known = F.col("gender").isNotNull()
+    best = F.struct(-F.col("n"), F.col("gender"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids"))))
     return (
-        stats.join(modes, keys, "left").join(ids, keys).orderBy("media", F.desc("detection_count"), "cluster_id")
+        parts.groupBy(*keys)
+        .agg(
+            F.sum("n").alias("detection_count"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+            F.round(F.sum("ages") / F.sum("aged"), 6).alias("avg_age"),
+            F.min_by(F.when(known, F.col("gender")), F.when(known, best)).alias("common_gender"),
+            F.array_join(ids.cast("array<string>"), ",").alias("detection_ids"),
+        )
+        .orderBy("media", F.desc("detection_count"), "cluster_id")
     )
 
 
@@ -297,7 +303,7 @@ def frame_context(frames: DataFrame, objects: DataFrame, entities: DataFrame, te
     """Context text of each frame time from the events of the same second.
 
     First 5 objects, first 3 entities and first 3 texts, in this order; null when there is
-    none.  Events have one row per (media, timestamp); only their first part is needed.
+    none.  Events have one row per (media, timestamp).
     """
     # Headings of the three parts.
     parts = [
@@ -305,8 +311,6 @@ def frame_context(frames: DataFrame, objects: DataFrame, entities: DataFrame, te
     ]
     rows = frames
     for df, column, sep, n, heading in parts:
-        if "part" in df.columns:
-            df = df.filter("part = 0")
         value = F.concat(F.lit(heading), F.array_join(F.slice(F.split(column, sep), 1, n), ", "))
         found = df.filter(F.col(column) != "").select("media", "timestamp", value.alias(f"_{column}"))
         rows = rows.join(found, ["media", "timestamp"], "left")

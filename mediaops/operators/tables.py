@@ -32,14 +32,20 @@ def upsert(
     """Next version of ``base`` after inserting or updating by key.
 
     A matched row takes each column by its rule: ``new`` (also a null), ``coalesce`` (new
-    unless null), ``old`` or ``increment`` (old + 1).  Unmatched updates are inserted with
-    ``defaults`` for the columns they lack.  With ``batch_order`` the last row per key in the
-    batch is used, and its order columns are not stored unless ``base`` has them.
+    unless null), ``old`` or ``increment`` (old + the number of updates of the key).  Unmatched
+    updates are inserted with ``defaults`` for the columns they lack; the further updates of an
+    inserted key count as increments.  The batch is reduced to one row per key before the join:
+    the last by ``batch_order``, whose columns are not stored unless ``base`` has them; without
+    it, the greatest row, so that the result does not depend on the order of arrival.
     """
     defaults = dict(defaults or {})
-    if batch_order:
-        updates = last_per_key(updates, keys, batch_order)
-    u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in keys], F.lit(True).alias("_u"))
+    rest = [c for c in updates.columns if c not in keys]
+    if rest:
+        last = F.max_by(F.struct(*rest), F.struct(*(batch_order or rest)))
+        reduced = updates.groupBy(*keys).agg(last.alias("_r"), F.count(F.lit(1)).alias("_times")).select(*keys, "_r.*", "_times")
+    else:
+        reduced = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    u = reduced.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in rest], "_times", F.lit(True).alias("_u"))
     both = base.withColumn("_b", F.lit(True)).join(u, list(keys), "full_outer")
     has_old, has_new = F.col("_b").isNotNull(), F.col("_u").isNotNull()
     out = []
@@ -52,7 +58,7 @@ def upsert(
         new = F.col(f"_u_{c}") if given else defaults.get(c, F.lit(None))
         rule = rules.get(c, default_rule)
         if rule == INCREMENT:
-            matched = old + 1
+            matched = old + F.col("_times")
         elif rule == COALESCE:
             matched = F.coalesce(new, old) if given else old
         elif rule == NEW:
@@ -60,6 +66,8 @@ def upsert(
         else:
             matched = old
         inserted = F.coalesce(new, defaults[c]) if c in defaults else new
+        if rule == INCREMENT:
+            inserted = inserted + F.col("_times") - 1
         value = F.when(has_old & has_new, matched).when(has_old, old).otherwise(inserted)
         out.append(value.cast(base.schema[c].dataType).alias(c))
     return both.select(*out)

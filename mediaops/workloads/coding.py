@@ -149,11 +149,27 @@ def rewrites(spark, sf):
     return codes.region_rewrites(tokens(spark, sf))
 
 
-@query("j14_j15_token_pairs", """SELECT p_partkey % 12 AS form, count(*) AS pairs FROM part, (SELECT unnest(range(7)) AS i) WHERE i <
-CASE p_partkey % 12 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 6 WHEN 7 THEN 4 WHEN 8 THEN 1 WHEN 11 THEN 3 ELSE 0 END GROUP BY 1""")
+# Boxes of the tokens of each form, as crop_rows places them: form, position, left, top, right, bottom.
+_BOXES = {
+    1: "LR", 2: "LR", 3: "LBT", 4: "LRT", 5: "TBL", 6: "LRTB", 7: "LCTD", 8: "LR", 9: "LRTBU", 11: "LRT",
+}
+_PLACES = {"L": (0, 0), "R": (45, 1), "T": (100, 0), "B": (100, 30), "U": (45, 30), "C": (0, 18), "D": (100, 18)}
+_BOX_SQL = ", ".join(
+    f"({form}, {i}, {x}, {y}, {x + 40}, {y + 20})" for form, names in _BOXES.items() for i, (x, y) in enumerate(_PLACES[n] for n in names)
+)
+
+
+@query("j14_j15_token_pairs", f"""WITH g(form, pos, l, t, r, b) AS (VALUES {_BOX_SQL}),
+c AS (SELECT p_partkey AS crop_id, g.* FROM part JOIN g ON p_partkey % 12 = form),
+p AS (SELECT u.crop_id, u.pos AS first_pos, v.pos AS second_pos,
+ u.b < v.t OR (u.t < v.t AND u.b - v.t <= least(u.b - u.t, v.b - v.t) * 0.4
+   AND greatest(0, least(u.r, v.r) - greatest(u.l, v.l)) >= least(u.r - u.l, v.r - v.l) * 0.5) AS above,
+ abs(u.t - v.t) < least(u.b - u.t, v.b - v.t) * 0.25 AND abs(u.b - v.b) < least(u.b - u.t, v.b - v.t) * 0.25 AND u.l < v.l
+   AND (least(u.r, v.r) - greatest(u.l, v.l) <= 0 OR least(u.r, v.r) - greatest(u.l, v.l) < least(u.r - u.l, v.r - v.l) * 0.3) AS beside
+ FROM c u JOIN c v ON u.crop_id = v.crop_id AND u.pos <> v.pos)
+SELECT * FROM p WHERE above OR beside""")
 def pairs(spark, sf):
-    rows = boxes.token_pairs(tokens(spark, sf).select("crop_id", "pos", "left", "top", "right", "bottom"))
-    return rows.groupBy((F.col("crop_id") % 12).alias("form")).agg(F.count(F.lit(1)).alias("pairs"))
+    return boxes.token_pairs(tokens(spark, sf).select("crop_id", "pos", "left", "top", "right", "bottom"))
 
 
 @query("a20_token_confidence", """SELECT p_partkey AS crop_id, CASE p_partkey % 12 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN 4 WHEN 8 THEN 2 WHEN 9 THEN 5 WHEN 10 THEN 1 ELSE 3 END AS tokens,
@@ -170,7 +186,7 @@ def combined(spark, sf):
     )
 
 
-@query("a22_region_texts", """SELECT user_id AS region_id, 0 AS part, string_agg(upper(replace(event_type, ' ', '')), '' ORDER BY event_id) AS text FROM events WHERE value > 0.3 GROUP BY user_id""")
+@query("a22_region_texts", """SELECT user_id AS region_id, string_agg(upper(replace(event_type, ' ', '')), '' ORDER BY event_id) AS text FROM events WHERE value > 0.3 GROUP BY user_id""")
 def region_texts(spark, sf):
     rows = R.table(spark, sf, "events").select(
         F.col("user_id").alias("region_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.col("value").alias("confidence")

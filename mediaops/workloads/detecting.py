@@ -125,7 +125,7 @@ def media_cards(spark, sf):
 
 ROLLUP = """r AS (SELECT media, {label} AS cluster_id, count(*) AS detection_count, min(t) AS first_seen, max(t) AS last_seen,
   round(avg(age), 6) AS avg_age, mode() WITHIN GROUP (ORDER BY gender) AS common_gender,
-  array_to_string((list(DISTINCT id ORDER BY id))[1:5], ',') AS detection_ids
+  array_to_string(list(DISTINCT id ORDER BY id), ',') AS detection_ids
   FROM det WHERE {label} IS NOT NULL GROUP BY media, {label})"""
 
 
@@ -146,7 +146,7 @@ def members(spark, sf):
 
 @query("p11_entity_cards", f"""{DET}, {ROLLUP.format(label='entity_id')} SELECT media, cluster_id, detection_count,
 round_even(first_seen, 2) AS first_seen, round_even(last_seen, 2) AS last_seen, CAST(round_even(avg_age, 0) AS BIGINT) AS avg_age,
-common_gender AS gender, detection_ids FROM r""")
+common_gender AS gender, array_to_string(string_split(detection_ids, ',')[1:5], ',') AS detection_ids FROM r""")
 def entity_cards(spark, sf):
     return filters.entity_cards(rollups.cluster_rollup(R.detections(spark, sf)))
 

@@ -18,7 +18,7 @@ def hourly(spark, sf):
     return R.detections(spark, sf).withColumn("t", F.col("t") / 3600)
 
 
-@query("a3_object_events", f"""{SEC} SELECT media, second, "timestamp", 0 AS part, string_agg(label, ',' ORDER BY frame_no) AS objects,
+@query("a3_object_events", f"""{SEC} SELECT media, second, "timestamp", string_agg(label, ',' ORDER BY frame_no) AS objects,
 string_agg(conf, ',' ORDER BY frame_no) AS confidences, string_agg(pt, ',' ORDER BY frame_no) AS coordinates, count(*) AS "count"
 FROM ts GROUP BY media, second, "timestamp" """)
 def objects(spark, sf):
@@ -32,7 +32,7 @@ def code_rows(spark, sf):
     )
 
 
-@query("a4_code_events", f"""{SEC} SELECT media, second, "timestamp", 0 AS part, string_agg('N' || CAST(k AS VARCHAR), ',' ORDER BY frame_no) AS plate_numbers,
+@query("a4_code_events", f"""{SEC} SELECT media, second, "timestamp", string_agg('N' || CAST(k AS VARCHAR), ',' ORDER BY frame_no) AS plate_numbers,
 string_agg(label, ',' ORDER BY frame_no) AS countries, string_agg(emotion, ',' ORDER BY frame_no) AS plate_types, string_agg(gender, ',' ORDER BY frame_no) AS regions,
 string_agg(conf, ',' ORDER BY frame_no) AS confidences, string_agg(pt, ',' ORDER BY frame_no) AS coordinates, count(*) AS "count"
 FROM ts GROUP BY media, second, "timestamp" """)
@@ -42,7 +42,7 @@ def codes(spark, sf):
 
 @query("a5_vehicle_events", f"""{SEC}, ty AS (SELECT media, second, label, count(*) AS n, min(frame_no) AS f FROM ts GROUP BY ALL),
 su AS (SELECT media, second, string_agg(label || ':' || CAST(n AS VARCHAR), ', ' ORDER BY f) AS vehicle_summary FROM ty GROUP BY ALL)
-SELECT media, second, "timestamp", 0 AS part, string_agg(label, ',' ORDER BY frame_no) AS vehicle_types, string_agg(conf, ',' ORDER BY frame_no) AS confidences,
+SELECT media, second, "timestamp", string_agg(label, ',' ORDER BY frame_no) AS vehicle_types, string_agg(conf, ',' ORDER BY frame_no) AS confidences,
 string_agg(pt, ',' ORDER BY frame_no) AS coordinates, count(*) AS "count", any_value(vehicle_summary) AS vehicle_summary
 FROM ts JOIN su USING (media, second) GROUP BY media, second, "timestamp" """)
 def vehicles(spark, sf):
@@ -58,14 +58,14 @@ def make_rows(spark, sf):
 
 
 @query("a6_make_events", f"""{SEC}, mk AS (SELECT *, {MAKE} AS make FROM ts)
-SELECT media, second, "timestamp", 0 AS part, string_agg(make, ',' ORDER BY frame_no) AS makes, count(*) AS "count",
+SELECT media, second, "timestamp", string_agg(make, ',' ORDER BY frame_no) AS makes, count(*) AS "count",
 count(*) FILTER (make <> 'Unknown') AS identified_count, count(*) FILTER (make = 'Unknown') AS unknown_count, string_agg(conf, ',' ORDER BY frame_no) AS confidences
 FROM mk GROUP BY media, second, "timestamp" """)
 def makes(spark, sf):
     return events.make_events(make_rows(spark, sf)).drop("models", "years", "coordinates")
 
 
-@query("a7_entity_events", f"""{SEC} SELECT media, second, "timestamp", 0 AS part, string_agg(entity_id, ',' ORDER BY frame_no) AS entities,
+@query("a7_entity_events", f"""{SEC} SELECT media, second, "timestamp", string_agg(entity_id, ',' ORDER BY frame_no) AS entities,
 string_agg(pt, ',' ORDER BY frame_no) AS coordinates, string_agg(conf, ',' ORDER BY frame_no) AS confidences, string_agg(CAST(age AS VARCHAR), ',' ORDER BY frame_no) AS ages,
 string_agg(gender, ',' ORDER BY frame_no) AS genders, string_agg(emotion, ',' ORDER BY frame_no) AS emotions, count(*) AS "count"
 FROM ts WHERE entity_id IS NOT NULL GROUP BY media, second, "timestamp" """)

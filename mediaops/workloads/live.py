@@ -74,22 +74,29 @@ def sliding_segments(spark, sf):
     return drain(spark, S.sliding_segments(staged(spark, rows, "ts")))
 
 
-@query("u7_incremental_upsert", """SELECT o_orderkey AS id, o_orderdate AS start_time, o_orderpriority AS description FROM orders""")
+@query("u7_incremental_upsert", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS start_time,
+o_orderpriority AS description FROM orders""")
 def incremental(spark, sf):
-    """Files arrive in two parts and are merged into versions of a segment table."""
+    """A table that has a third of the segments; files arrive one by one, and every segment comes twice."""
     root = scratch(spark)
     rows = R.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("start_time"), F.col("o_orderpriority").alias("description")
     )
-    rows.withColumn("description", F.lit("old")).limit(0).write.parquet(f"{root}/v0")
+    old = rows.filter("id % 3 = 0").withColumn("description", F.lit("old"))
+    old.withColumn("start_time", F.col("start_time") - F.expr("INTERVAL 1 DAY")).write.parquet(f"{root}/v0")
 
     def merge(batch, number):
         base = spark.read.schema(rows.schema).parquet(f"{root}/v{number}")
         tables.upsert_segments(base, batch).write.mode("overwrite").parquet(f"{root}/v{number + 1}")
 
-    source = staged(spark, rows, "id", 2)
+    arrived = f"{root}/arrived"
+    for text in (rows.withColumn("description", F.lit("draft")), rows):
+        text.repartitionByRange(2, "id").sortWithinPartitions("id").write.mode("append").parquet(arrived)
+    source = S.file_stream(spark, arrived, rows.schema, 1)
     S.upsert_batches(source, merge, f"{root}/state").awaitTermination()
-    last = max(p for p in range(1, 50) if writers._exists(spark, f"{root}/v{p}/_SUCCESS"))
+    last = 0
+    while writers._exists(spark, f"{root}/v{last + 1}/_SUCCESS"):
+        last += 1
     return spark.read.schema(rows.schema).parquet(f"{root}/v{last}")
 
 

@@ -63,15 +63,16 @@ def upsert_segments(spark, sf):
     return tables.upsert_segments(base, new.unionByName(older), batch_order=["row_no"])
 
 
-@query("d4_upsert_entities", f"""WITH {R.ENT_SQL}, u AS (SELECT user_id AS media, 'person_00' || CAST(event_id % 3 + 6 AS VARCHAR) AS entity_id, max(value) AS rep FROM events GROUP BY ALL)
+@query("d4_upsert_entities", f"""WITH {R.ENT_SQL}, u AS (SELECT user_id AS media, 'person_00' || CAST(event_id % 3 + 6 AS VARCHAR) AS entity_id, max(value) AS rep, count(*) AS n FROM events GROUP BY ALL)
 SELECT coalesce(ent.media, u.media) AS media, coalesce(ent.entity_id, u.entity_id) AS entity_id, coalesce(u.rep, ent.first_seen) AS representative,
-CASE WHEN ent.media IS NULL THEN 1 WHEN u.media IS NULL THEN ent.appearances ELSE ent.appearances + 1 END AS appearances, ent.name
+coalesce(ent.appearances, 0) + coalesce(u.n, 0) AS appearances, ent.name
 FROM ent FULL JOIN u ON u.media = ent.media AND u.entity_id = ent.entity_id""")
 def upsert_entities(spark, sf):
     base = R.entities(spark, sf).select("media", "entity_id", F.col("first_seen").alias("representative"), "appearances", "name")
-    new = R.table(spark, sf, "events").groupBy(
-        F.col("user_id").alias("media"), F.concat(F.lit("person_00"), (F.col("event_id") % 3 + 6).cast("string")).alias("entity_id")
-    ).agg(F.max("value").alias("representative"))
+    new = R.table(spark, sf, "events").select(
+        F.col("user_id").alias("media"), F.concat(F.lit("person_00"), (F.col("event_id") % 3 + 6).cast("string")).alias("entity_id"),
+        F.col("value").alias("representative"),
+    )
     return tables.upsert_entities(base, new)
 
 

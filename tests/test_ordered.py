@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from mediaops.operators import events, segments
+from mediaops.operators import events, rollups, segments
 from mediaops.plans import slices
 from mediaops.plans.folds import budget_chunks
 
@@ -146,16 +146,35 @@ def test_alerts_cut(spark):
     assert rows(events.restart_alerts(df, max_rows=30)) == sorted(want)
 
 
-def test_crowded_second_goes_on_in_parts(spark):
-    det = spark.range(95).select(
-        F.lit(1).alias("media"), F.lit(4.2).alias("t"), "id", F.col("id").alias("frame_no"), F.lit(0).alias("pos"),
-        F.concat(F.lit("c"), F.col("id") % 3).alias("label"), F.lit(0.5).alias("confidence"), F.lit(1).alias("cx"), F.lit(2).alias("cy"),
-    )
-    whole = events.vehicle_events(det).first()
-    parts = events.vehicle_events(det, part_rows=30).orderBy("part").collect()
-    assert whole["part"] == 0 and len(parts) > 1 and [p["part"] for p in parts] == list(range(len(parts)))
-    assert ",".join(p["vehicle_types"] for p in parts) == whole["vehicle_types"]
-    assert {p["vehicle_summary"] for p in parts} == {whole["vehicle_summary"]} == {"c0:32, c1:32, c2:31"}
+def test_crowded_second_among_ordinary_ones(spark):
+    """200 seconds of 6 rows and one of 30,000: one row each, and contexts as if nothing were crowded."""
+    ordinary = spark.range(1200).select((F.col("id") % 200).alias("s"), "id")
+    crowded = spark.range(5000, 35_000).select(F.lit(500).cast("long").alias("s"), "id")
+
+    def detections(rows):
+        return rows.select(
+            F.lit(1).alias("media"), F.col("s").cast("double").alias("t"), "id", F.col("id").alias("frame_no"), F.lit(0).alias("pos"),
+            F.concat(F.lit("c"), F.col("id") % 7).alias("label"), F.lit(0.5).alias("confidence"), F.lit(1).alias("cx"), F.lit(2).alias("cy"),
+        )
+
+    def contexts(rows):
+        found = events.object_events(detections(rows))
+        assert found.groupBy("media", "second").count().filter("count > 1").isEmpty() and "part" not in found.columns
+        people = found.withColumnRenamed("objects", "entities")
+        texts = found.withColumnRenamed("objects", "texts")
+        frames = found.select("media", "timestamp")
+        return {(r["timestamp"], r["context"]) for r in rollups.frame_context(frames, found, people, texts).collect()}
+
+    alone, both = contexts(ordinary), contexts(ordinary.union(crowded))
+    assert len(alone) == 200 and len(both) == 201 and alone < both
+    got = events.vehicle_events(detections(crowded)).collect()
+    assert len(got) == 1 and got[0]["count"] == 30_000 and len(got[0]["vehicle_types"].split(",")) == 30_000
+
+
+def test_restart_alerts_at_every_interval(spark):
+    data = [(1, i, True) for i in range(60)]
+    df = spark.createDataFrame(data, "media long, segment_index long, degraded boolean")
+    assert rows(events.restart_alerts(df, interval=1)) == rows(events.restart_alerts(df, interval=1, max_rows=9))
 
 
 def test_segments_of_a_35_minute_media(spark):
