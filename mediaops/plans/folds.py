@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,7 @@ def fold_by_key(
     choose: Choose,
     max_rows: int = MAX_GROUP_ROWS,
     large: bool | None = None,
+    bound: str | None = None,
 ) -> DataFrame:
     """Fold each key in order.
 
@@ -49,6 +50,9 @@ def fold_by_key(
     the state and count it ends with.  ``probe(rows)`` returns parallel lists (entry mark,
     state on leaving, units opened).  ``choose(state, marks)`` picks the position of the
     entry that ``state`` takes, or -1 when it passes through the slice unchanged.
+
+    With ``bound``, the probe also gets the greatest value of that column in the slices of the
+    key before its own (NaN in the first one), which is how far entry states can reach.
     """
     keys, order = list(keys), list(order)
     sliced, large = slice_by_order(df, keys, order, max_rows, large)
@@ -78,8 +82,16 @@ def fold_by_key(
         ]
     )
 
+    probed = sliced
+    if bound is not None:
+        earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        tops = sliced.groupBy(*on).agg(F.max(bound).alias("_top"))
+        carry = tops.select(*on, F.max("_top").over(earlier).alias("_bound")).filter("_bound is not null")
+        probed = attach_carry(sliced, carry, keys, "_bound")
+
     def probe_slice(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        marks, leave, opened = probe(pdf.sort_values(order, kind="stable", ignore_index=True))
+        rows = pdf.sort_values(order, kind="stable", ignore_index=True)
+        marks, leave, opened = probe(rows) if bound is None else probe(rows, float(rows["_bound"].iloc[0]))
         return pd.DataFrame([[*key, marks, leave, opened]], columns=[f.name for f in report.fields])
 
     entry = T.StructType(
@@ -98,7 +110,7 @@ def fold_by_key(
     def follow_named(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return follow(key, pdf.assign(slice_no=pdf[SLICE]))
 
-    reports = sliced.groupBy(*on).applyInPandas(probe_slice, report)
+    reports = probed.groupBy(*on).applyInPandas(probe_slice, report)
     entries = reports.groupBy(*keys).applyInPandas(follow_named, entry)
     carried = entries.filter((F.col("_opened") > 0)).withColumn("_entry", F.struct("_state", "_opened"))
     entered = attach_carry(sliced, carried, keys, "_entry").select(
@@ -173,7 +185,7 @@ def budget_chunks(
         left_values[np.isnan(left)] = pd.NA
         return rows[names].assign(chunk=chunk, chunk_enter=at, opens=opens, left_enter=left_values), state, opened
 
-    def probe(rows: pd.DataFrame) -> tuple[list[float], list[float], list[int]]:
+    def probe(rows: pd.DataFrame, latest: float) -> tuple[list[float], list[float], list[int]]:
         enters, reaches = rows[enter].to_numpy(float), rows[reach].to_numpy(float)
         n = len(rows)
         # Leaving state and chunk count of a chunk opened at row i, from the back.
@@ -187,10 +199,11 @@ def budget_chunks(
                     break
                 j, span = min(n, j + span), span * 2
             leave[i], count[i] = (leave[j], count[j] + 1) if j < n else (enters[i], 1)
-        # Only a new maximum of reach can be the first row out of budget, and an entering
-        # chunk started no later than this slice does.
+        # Only a new maximum of reach can be the first row out of budget.  A chunk that enters
+        # began at one of the earlier slices' ``enter`` values, of which ``latest`` is the
+        # greatest: they need not be below this slice's own.
         marks, out, opened, top = [], [], [], -np.inf
-        complete = True
+        passed = True
         for i in range(n):
             if reaches[i] <= top:
                 continue
@@ -198,10 +211,10 @@ def budget_chunks(
             marks.append(float(top))
             out.append(float(leave[i]))
             opened.append(int(count[i]))
-            if top - enters[0] > budget:
-                complete = i == n - 1
+            if top - latest > budget:
+                passed = False
                 break
-        if complete:  # a chunk may pass through the whole slice
+        if passed:  # a chunk may pass through the whole slice
             marks, out, opened = [*marks, -np.inf], [*out, np.nan], [*opened, 0]
         return marks, out, opened
 
@@ -209,8 +222,6 @@ def budget_chunks(
         if np.isnan(state):
             return 0
         over = np.nonzero(marks - state > budget)[0]
-        if not over.size and marks[-1] != -np.inf:
-            raise ValueError(f"{enter} must not decrease inside a key")
         return int(over[0]) if over.size else -1
 
-    return fold_by_key(df, keys, order, walk, schema, float("nan"), probe, choose, max_rows, large)
+    return fold_by_key(df, keys, order, walk, schema, float("nan"), probe, choose, max_rows, large, enter)

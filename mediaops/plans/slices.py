@@ -60,13 +60,13 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def attach_carry(sliced: DataFrame, carry: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Left join the carried values; broadcast is safe, there is at most one row per slice."""
+    """Left join the carried values, one row per slice at most; they may be long texts, so Spark picks the join."""
     on = [*keys, SLICE]
     renamed = carry.select(*[F.col(k).alias(f"_c_{k}") for k in on], value)
     cond = F.lit(True)
     for k in on:
         cond = cond & sliced[k].eqNullSafe(renamed[f"_c_{k}"])
-    return sliced.join(F.broadcast(renamed), cond, "left").drop(*[f"_c_{k}" for k in on])
+    return sliced.join(renamed, cond, "left").drop(*[f"_c_{k}" for k in on])
 
 
 def with_previous(

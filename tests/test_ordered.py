@@ -188,3 +188,17 @@ def test_clean_repetitive(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "media int, pos int, text string")
     assert [r["pos"] for r in segments.clean_repetitive(df).orderBy("pos").collect()] == [1, 4, 5, 6]
     assert [r["pos"] for r in segments.clean_repetitive(df, max_rows=2).orderBy("pos").collect()] == [1, 4, 5, 6]
+
+
+def test_speech_segments_of_overlapping_utterances_do_not_depend_on_slices(spark):
+    """200 media with long utterances before short ones: the sliced layout agrees with the plain one."""
+    rnd = random.Random(12)
+    data = []
+    for m in range(200):
+        for p in range(rnd.randrange(1, 40)):
+            start = round(rnd.uniform(0, 150), 1)
+            data.append((m, p, start, round(start + rnd.choice([1, 3, 8, 90]) * rnd.random(), 2), f"t{p}"))
+    utterances = spark.createDataFrame(data, "media long, pos long, start double, end double, text string")
+    media = spark.range(200).select(F.col("id").alias("media"), F.lit(200.0).alias("duration"))
+    plain = rows(segments.speech_segments(utterances, media))
+    assert len(plain) > 1000 and rows(segments.speech_segments(utterances, media, max_rows=6)) == plain
