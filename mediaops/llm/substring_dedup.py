@@ -47,10 +47,10 @@ def _seed_minima(words: Words, seed: int, window: int) -> tuple[np.ndarray, np.n
 
 
 def _window_hashes(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits per window from two independent hashes of words and of word sequences."""
+    """96 bits per window, 64 and 32, from two independent hashes of words and of word sequences."""
     one = run_hashes(words.hashes(BASES[0]), starts, starts + window, BASES[1])
     two = run_hashes(words.hashes(BASES[2]), starts, starts + window, BASES[3])
-    return one, two
+    return one, (two >> np.uint64(32)).astype(np.uint32)
 
 
 def _counted(block: int, *keys: np.ndarray) -> tuple[pa.Array, ...]:
@@ -62,8 +62,8 @@ def _counted(block: int, *keys: np.ndarray) -> tuple[pa.Array, ...]:
         new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(order)))
-    columns = [pa.array(k[first].astype(np.int64)) for k in keys]
-    return (pa.array(np.full(len(first), block), pa.int64()), *columns, pa.array(counts, pa.int64()))
+    columns = [pa.array(k[first].view(np.int64 if k.itemsize == 8 else np.int32)) for k in keys]
+    return (pa.array(np.full(len(first), block), pa.int32()), *columns, pa.array(counts, pa.int32()))
 
 
 def _repeated(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,10 +96,10 @@ def remove_repeated_windows(
     plain = texts(docs, id_col, text_col)
     total = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(partitions(spark), "block")
+    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(partitions(spark), "block")
     seed = (window + 1) // 2
-    seed_fields = pa.schema([("block", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
-    window_fields = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    seed_fields = pa.schema([("block", pa.int32()), ("s", pa.int64()), ("n", pa.int32())])
+    window_fields = pa.schema([("block", pa.int32()), ("a", pa.int64()), ("b", pa.int32()), ("n", pa.int32())])
     kept_fields = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def seeds(table: pa.Table) -> pa.Table:
@@ -125,8 +125,9 @@ def remove_repeated_windows(
             starts = _windows(words, window)
             one, two = _window_hashes(words, starts, window)
             known = repeated.column("a").to_numpy().astype(np.uint64)
-            order = np.lexsort((repeated.column("b").to_numpy().astype(np.uint64), known))
-            known, other = known[order], repeated.column("b").to_numpy().astype(np.uint64)[order]
+            other = repeated.column("b").to_numpy().astype(np.uint32)
+            order = np.lexsort((other, known))
+            known, other = known[order], other[order]
             low, high = np.searchsorted(known, one, "left"), np.searchsorted(known, one, "right")
             hit = np.zeros(len(starts), bool)
             while (open_ := low < high).any():  # once, unless two windows share 64 bits
@@ -154,8 +155,8 @@ def remove_repeated_windows(
         return pa.Table.from_arrays(columns, schema=kept_fields)
 
     by_block = dealt.groupBy("block")
-    level1 = _repeated(by_block.applyInArrow(seeds, "block long, s long, n long"), ["s"])
-    level2 = by_block.cogroup(level1.groupBy("block")).applyInArrow(extend, "block long, a long, b long, n long")
+    level1 = _repeated(by_block.applyInArrow(seeds, "block int, s long, n int"), ["s"])
+    level2 = by_block.cogroup(level1.groupBy("block")).applyInArrow(extend, "block int, a long, b int, n int")
     windows = _repeated(level2, ["a", "b"])
     return by_block.cogroup(windows.groupBy("block")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, text string")
 
