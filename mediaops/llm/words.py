@@ -104,7 +104,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``size`` bytes of text, with bytes and offsets; a longer text is alone."""
     at = batch.schema.get_field_index(column)
     if not batch.num_rows:
