@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.plans.matching import nearest
+from mediaops.functions.vectors import batch_matrix, unit_rows
+from mediaops.plans.matching import nearest, score_tiles
 
 # Vehicle classes by detector class id.
 VEHICLE_CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
@@ -132,18 +136,42 @@ def brand_texts(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
 
 
 def zero_shot_labels(
-    frames: DataFrame, labels: DataFrame, frame_id: str = "id", vec: str = "embedding"
+    frames: DataFrame, labels: DataFrame, frame_id: str = "id", vec: str = "embedding", max_bytes: int = 32 << 20
 ) -> DataFrame:
     """Most similar label vector of each frame vector; the lowest label number on ties.
 
-    ``labels`` has label_no, label, embedding.  The small side is the label set: frames play
-    the corpus of the exact match, so they are never shuffled by it when labels are few.
+    ``labels`` has label_no, label, embedding.  Label vectors of up to ``max_bytes`` go to every
+    task, which picks the best label where the frame is read: frames are never shuffled.  A
+    larger label set is matched block by block.
     """
-    matched = nearest(frames, labels, 1, frame_id, "label_no", vec, "embedding")
-    named = labels.select(F.col("label_no").alias("match_id"), "label")
-    return matched.join(named, "match_id").select(
-        F.col("query_id").alias(frame_id), F.col("match_id").alias("label_no"), "label", F.col("score").alias("similarity")
-    )
+    size = labels.agg(F.sum(F.size("embedding") * F.lit(8))).first()[0] or 0
+    if size > max_bytes:
+        matched = nearest(frames, labels, 1, frame_id, "label_no", vec, "embedding")
+        named = labels.select(F.col("label_no").alias("match_id"), "label")
+        return matched.join(named, "match_id").select(
+            F.col("query_id").alias(frame_id), F.col("match_id").alias("label_no"), "label", F.col("score").alias("similarity")
+        )
+    few = labels.filter("embedding is not null").orderBy("label_no").select("label_no", "label", "embedding").collect()
+    rows = frames.select(F.col(frame_id).cast("long").alias(frame_id), F.col(vec).alias("vec")).filter("vec is not null")
+    schema = f"{frame_id} long, label_no long, label string, similarity double"
+    if not few:
+        return rows.sparkSession.createDataFrame([], schema)
+    numbers, names = [int(r["label_no"]) for r in few], [r["label"] for r in few]
+    matrix = unit_rows(np.array([r["embedding"] for r in few], dtype=np.float64))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, _ = batch_matrix(batch.column("vec"))
+            best, score = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows)
+            for part, scores in score_tiles(unit_rows(vectors), matrix):
+                best[part] = scores.argmax(axis=1)
+                score[part] = scores.max(axis=1)
+            columns = [
+                batch.column(0), pa.array([numbers[i] for i in best], pa.int64()), pa.array([names[i] for i in best], pa.string()), pa.array(score),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[frame_id, "label_no", "label", "similarity"])
+
+    return rows.mapInArrow(pick, schema)
 
 
 def speed_bands(readings: DataFrame, speed: str = "speed") -> DataFrame:

@@ -27,26 +27,38 @@ from mediaops.functions.vectors import batch_matrix, unit_rows
 SCORE_DIGITS = 6
 BROADCAST_QUERIES = 10_000
 BLOCK_ROWS = 20_000
+TILE_BYTES = 64 << 20  # of scores held at once in a task
+
+
+def score_tiles(queries: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rounded scores of some queries at a time against all vectors, at most ``TILE_BYTES`` of them."""
+    step = max(1, TILE_BYTES // (8 * max(1, len(vectors))))
+    for at in range(0, len(queries), step):
+        part = slice(at, min(at + step, len(queries)))
+        yield part, np.round(queries[part] @ vectors.T, SCORE_DIGITS)
 
 
 def _best(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, other_only: bool
 ) -> pd.DataFrame:
     """Best ``k`` of ``ids`` for each query, ordered by (score desc, id)."""
-    scores = np.round(queries @ vectors.T, SCORE_DIGITS)
-    if other_only:
-        scores[query_ids[:, None] == ids[None, :]] = -np.inf
-    order = np.argsort(ids, kind="stable")
-    ranked = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-    picked = order[ranked]
-    out = pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, picked.shape[1]),
-            "match_id": ids[picked].ravel(),
-            "score": np.take_along_axis(scores, picked, axis=1).ravel(),
-        }
-    )
-    return out[np.isfinite(out["score"])]
+    by_id = np.argsort(ids, kind="stable")
+    ids, vectors = ids[by_id], vectors[by_id]
+    found: list[pd.DataFrame] = []
+    for part, scores in score_tiles(queries, vectors):
+        if other_only:
+            scores[query_ids[part][:, None] == ids[None, :]] = -np.inf
+        least = np.full(len(scores), -np.inf)
+        if k < len(ids):
+            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        value = scores[row, col]
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        found.append(pd.DataFrame({"query_id": query_ids[part][row[keep]], "match_id": ids[col[keep]], "score": value[keep]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

@@ -350,7 +350,24 @@ def shape_colour(spark, sf):
     )
 
 
-@query("x15_pose_labels")
+# The poses of pose_rows and the labels of each, as SQL; points are numbered from 1 here.
+POSE_SQL = f"""{R.VEC_SQL}, pts AS (SELECT id, media, t, [{{'x': least(1.0, greatest(0.0, embedding[i] * 2 + 0.5)), 'y': least(1.0, greatest(0.0, embedding[i + 15] * 2 + 0.5)),
+ 'v': least(1.0, least(1.0, greatest(0.0, embedding[i + 31] * 2 + 0.5)) + 0.2)}} FOR i IN range(1, 34)] AS p FROM vec),
+vis AS (SELECT *, [q FOR q IN p IF q.v > 0.5] AS s, p[1] AS nose, p[8] AS le, p[9] AS re, p[12] AS ls, p[13] AS rs, p[16] AS lw, p[17] AS rw FROM pts),
+sums AS (SELECT *, len(s) AS points, list_sum([q.v FOR q IN s]) / len(s) AS pose_confidence, (ls.y + rs.y) / 2 AS sy, lw.v > 0.5 AS lseen, rw.v > 0.5 AS rseen,
+ CAST(floor(list_min([q.x * 1280 FOR q IN s])) AS BIGINT) AS lx, CAST(floor(list_max([q.x * 1280 FOR q IN s])) AS BIGINT) AS hx,
+ CAST(floor(list_min([q.y * 720 FOR q IN s])) AS BIGINT) AS ly, CAST(floor(list_max([q.y * 720 FOR q IN s])) AS BIGINT) AS hy FROM vis WHERE len(s) > 0),
+pose AS (SELECT id, media, t, points, pose_confidence,
+ CASE WHEN (lw.y < sy - 0.1 AND lseen) OR (rw.y < sy - 0.1 AND rseen) THEN 'presenting' WHEN (lw.y < nose.y + 0.1 AND lseen) OR (rw.y < nose.y + 0.1 AND rseen) THEN 'speaking'
+  WHEN (lw.y < ls.y AND lseen) OR (rw.y < rs.y AND rseen) THEN 'gesturing' WHEN lw.y > ls.y + 0.2 AND rw.y > rs.y + 0.2 THEN 'standing' ELSE 'neutral' END AS gesture,
+ CASE WHEN le.v > 0.5 AND re.v > 0.5 THEN CASE WHEN abs(le.x - re.x) < 0.05 THEN 'front' WHEN le.x - re.x > 0 THEN 'right' ELSE 'left' END ELSE 'unknown' END AS head_pose,
+ CASE WHEN lw.y < ls.y AND lseen AND rw.y < rs.y AND rseen THEN 'both_raised' WHEN lw.y < ls.y AND lseen THEN 'left_raised' WHEN rw.y < rs.y AND rseen THEN 'right_raised' ELSE 'down' END AS arm_position,
+ CASE WHEN ls.v > 0.5 AND rs.v > 0.5 THEN CASE WHEN abs(ls.x - rs.x) > 0.15 THEN 'angled' ELSE 'front' END ELSE 'side' END AS body_orientation,
+ greatest(0, lx - 20) AS x1, greatest(0, ly - 20) AS y1, least(1280, hx + 20) AS x2, least(720, hy + 20) AS y2 FROM sums WHERE pose_confidence >= 0.5)"""
+
+
+@query("x15_pose_labels", f"""WITH {POSE_SQL} SELECT id, media, gesture, head_pose, arm_position, body_orientation, x1, y1, x2, y2,
+CAST(floor((x1 + x2) / 2) AS BIGINT) AS cx, CAST(floor((y1 + y2) / 2) AS BIGINT) AS cy, round(pose_confidence, 6) AS pose_confidence, points FROM pose""")
 def poses(spark, sf):
     """Body points from the values of an embedding: x and y from two shifted reads, visibility from a third."""
     return pose_rows(spark, sf).select(

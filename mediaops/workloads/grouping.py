@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mediaops.operators import events, labels, rollups, sequences
 from mediaops.workloads import roles as R
-from mediaops.workloads.detecting import pose_rows
+from mediaops.workloads.detecting import POSE_SQL, pose_rows
 from mediaops.workloads.registry import query
 
 DET = f"WITH {R.DET_SQL}"
@@ -73,7 +73,12 @@ def entities(spark, sf):
     return events.entity_events(hourly(spark, sf).filter("entity_id is not null"))
 
 
-@query("a8_pose_events")
+@query("a8_pose_events", f"""WITH {POSE_SQL}, sec AS (SELECT *, CAST(round_even(id / 20, 0) AS BIGINT) AS second, printf('%.2f', pose_confidence) AS conf,
+ '(' || CAST(CAST(floor((x1 + x2) / 2) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor((y1 + y2) / 2) AS BIGINT) AS VARCHAR) || ')' AS pt FROM pose)
+SELECT media, second, lpad(CAST(second // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(second % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(second % 60 AS VARCHAR), 2, '0') AS "timestamp",
+string_agg(gesture, ',' ORDER BY id) AS gestures, string_agg(conf, ',' ORDER BY id) AS confidences, string_agg(pt, ',' ORDER BY id) AS coordinates,
+string_agg(head_pose, ',' ORDER BY id) AS head_poses, string_agg(arm_position, ',' ORDER BY id) AS arm_positions, string_agg(body_orientation, ',' ORDER BY id) AS body_orientations,
+count(*) AS person_count FROM sec GROUP BY media, second""")
 def poses(spark, sf):
     rows = pose_rows(spark, sf).select(
         "media", (F.col("id") / 20).alias("t"), F.col("id").alias("frame_no"), F.lit(0).alias("pos"), "gesture",

@@ -274,11 +274,11 @@ def header_check(spark, sf):
     return valid.select("path", F.lit(None).cast("string").alias("error")).unionByName(skipped.select("path", "error"))
 
 
-@query("s4_file_listing")
+@query("s4_file_listing", """SELECT 'media=' || CAST(user_id AS VARCHAR) AS dir, length(CAST(count(*) AS VARCHAR)) + 1 AS size FROM events GROUP BY user_id""")
 def file_listing(spark, sf):
     """Listing below a folder that holds one small file per media."""
     root = scratch(spark)
-    e = R.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("media")).agg(F.count(F.lit(1)).alias("n"))
+    e = R.table(spark, sf, "events").groupBy(F.col("user_id").alias("media")).agg(F.count(F.lit(1)).alias("n"))
     e.withColumn("value", F.col("n").cast("string")).drop("n").write.partitionBy("media").text(root)
     return readers.list_images(spark, root, ("txt",)).select(F.regexp_extract("dir", r"media=\d+$", 0).alias("dir"), "size")
 

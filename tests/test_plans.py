@@ -3,9 +3,11 @@
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from mediaops.operators import filters, rollups, search, segments
+from mediaops.operators import filters, labels, rollups, search, segments
+from mediaops.plans import matching
 from mediaops.workloads import roles as R
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,27 @@ def test_ranks_are_limited_before_the_shuffle(spark):
 def test_rollup_combines_before_the_shuffle(spark):
     p = plan(rollups.speed_statistics(R.detections(spark, SF).withColumn("speed", F.col("confidence")), ("media",)))
     assert "partial_min" in p and p.count("Exchange") <= 4
+
+
+def test_labels_are_matched_where_frames_are_read(spark):
+    frames = R.table(spark, SF, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    named = frames.filter("id < 5").select(F.col("id").alias("label_no"), F.col("id").cast("string").alias("label"), "embedding")
+    assert "Exchange" not in plan(labels.zero_shot_labels(frames, named))
+    few = {tuple(r) for r in labels.zero_shot_labels(frames, named).collect()}
+    assert few == {tuple(r) for r in labels.zero_shot_labels(frames, named, max_bytes=0).collect()}
+
+
+def test_cluster_rollup_reads_once(spark):
+    detections = R.detections(spark, SF)
+    assert plan(rollups.cluster_rollup(detections)).count("Scan parquet") == plan(detections).count("Scan parquet")
+
+
+def test_best_of_tiles_equals_a_full_sort():
+    rng = np.random.default_rng(1)
+    queries, vectors = rng.normal(size=(40, 3)).round(1), rng.normal(size=(90, 3)).round(1)
+    ids = rng.permutation(90)
+    scores = np.round(queries @ vectors.T, 6)
+    for k in (1, 5, 90, 200):
+        got = matching._best(np.arange(40), queries, ids, vectors, k, False)
+        want = [(q, ids[j], scores[q, j]) for q in range(40) for j in sorted(range(90), key=lambda j: (-scores[q, j], ids[j]))[:k]]
+        assert [tuple(r) for r in got.itertuples(index=False)] == want
