@@ -102,12 +102,17 @@ def label_changes(frames: DataFrame) -> DataFrame:
 
 
 def frame_batches(frames: DataFrame, size: int = 3) -> DataFrame:
-    """Frames of each media in requests of ``size``; a request is emitted when it is full."""
+    """Frames of each media in requests of ``size``; a request is emitted when it is full.
+
+    A row without a frame number ends the media: what waits is its last request.
+    """
 
     def step(key: tuple, pdf: pd.DataFrame, state: tuple | None):
         number, waiting = (state[0], list(state[1])) if state else (0, [])
-        waiting += pdf["frame_no"].tolist()
+        waiting += [int(f) for f in pdf["frame_no"].dropna()]
         full = len(waiting) // size
+        if pdf["frame_no"].isna().any():
+            full = -(-len(waiting) // size)
         rows = [
             [key[0], number + i, ",".join(str(f) for f in waiting[i * size : (i + 1) * size])] for i in range(full)
         ]
@@ -142,7 +147,7 @@ def online_clusters(detections: DataFrame, threshold: float, policy: str = "best
         return out, (dim, np.concatenate(known).tolist())
 
     return keyed_fold(
-        detections.select("media", "id", "t", "embedding"), ["media"], ["t", "id"], step,
+        detections.select("media", "id", "t", "embedding").filter("embedding is not null"), ["media"], ["t", "id"], step,
         "media long, id long, entity_no long", "dim int, vectors array<double>",
     )
 

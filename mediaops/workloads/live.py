@@ -2,6 +2,7 @@
 
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.functions.clock import whole_second
 from mediaops.operators import hooks, tables
@@ -21,22 +22,37 @@ def drain(spark, stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def staged(spark, df, order: str, files: int = 2):
-    """Write rows in ranges of ``order`` as the files of a stream and open it."""
+def staged(spark, df, order: str, files: int = 3, closing=None):
+    """Rows as the files of a stream, one after the other in ranges of ``order``; each file is a micro-batch.
+
+    ``closing`` has rows of the last file, which tell the operator that the input has ended.
+    """
     root = scratch(spark)
-    df.repartitionByRange(files, order).write.parquet(root)
-    return S.file_stream(spark, root, df.schema)
+    df.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()).write.partitionBy("_file").parquet(f"{root}/ranges")
+    schema = T.StructType([*df.schema.fields, T.StructField("_file", T.IntegerType())])
+    ranges = spark.read.schema(schema).parquet(f"{root}/ranges")
+    for number in range(files):
+        ranges.filter(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    return S.file_stream(spark, f"{root}/arrived", df.schema, 1)
+
+
+def later(df, ts: str = "ts"):
+    """One row a day after all others, otherwise null: it closes every window and session before it."""
+    end = df.agg((F.max(ts) + F.expr("INTERVAL 1 DAY")).alias("_end"))
+    return end.select(*[(F.col("_end") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 
 
 @query("u1_second_events", f"""SELECT user_id AS media, date_trunc('second', ts) AS second, count(*) AS "count", string_agg(event_type, ',' ORDER BY event_id) AS objects
-FROM events WHERE ts < (SELECT date_trunc('second', max(ts) - INTERVAL 10 SECOND) FROM events) GROUP BY ALL""")
+FROM events GROUP BY ALL""")
 def second_events(spark, sf):
     e = R.table(spark, sf, "events").select(
         F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_no"), F.col("event_type").alias("label")
     )
-    return drain(spark, S.second_events(staged(spark, e, "ts")))
+    return drain(spark, S.second_events(staged(spark, e, "ts", closing=later(e))))
 
 
 @query("u4_label_changes", f"""WITH {R.DET_SQL}, p AS (SELECT media, frame_no, label, lag(label) OVER (PARTITION BY media ORDER BY frame_no) AS previous_label FROM det)
@@ -46,9 +62,11 @@ def label_changes(spark, sf):
 
 
 @query("u5_frame_batches", f"""WITH {R.DET_SQL}, n AS (SELECT media, frame_no, row_number() OVER (PARTITION BY media ORDER BY frame_no) - 1 AS i FROM det)
-SELECT media, i // 3 AS request_no, string_agg(CAST(frame_no AS VARCHAR), ',' ORDER BY frame_no) AS frames FROM n GROUP BY ALL HAVING count(*) = 3""")
+SELECT media, i // 3 AS request_no, string_agg(CAST(frame_no AS VARCHAR), ',' ORDER BY frame_no) AS frames FROM n GROUP BY ALL""")
 def frame_batches(spark, sf):
-    return drain(spark, S.frame_batches(staged(spark, R.detections(spark, sf).select("media", "frame_no"), "frame_no")))
+    frames = R.detections(spark, sf).select("media", "frame_no")
+    ends = frames.select("media").distinct().withColumn("frame_no", F.lit(None).cast("long"))
+    return drain(spark, S.frame_batches(staged(spark, frames, "frame_no", closing=ends)))
 
 
 @query("u2_online_clusters")
@@ -62,16 +80,16 @@ def quiet_sessions(spark, sf):
     from mediaops.workloads.grouping import unique_stills
 
     rows = unique_stills(spark, sf).select("dir", "name", "frame_no", F.col("taken_at").alias("ts"))
-    return drain(spark, S.quiet_sessions(staged(spark, rows, "ts")))
+    return drain(spark, S.quiet_sessions(staged(spark, rows, "ts", closing=later(rows))))
 
 
 @query("u6_sliding_segments", f"""WITH {R.UTT_SQL}, g AS (SELECT media, "start" AS t, length(text) AS n, unnest(range(CAST(greatest(0, ceil(("start" - 50 + 0.000001) / 35)) AS BIGINT), CAST(floor("start" / 35) AS BIGINT) + 1)) AS segment_index FROM utt)
-SELECT media, segment_index, count(*) AS utterances, sum(n) AS chars FROM g WHERE segment_index * 35 + 50 <= (SELECT max("start") - 60 FROM utt) GROUP BY ALL""")
+SELECT media, segment_index, count(*) AS utterances, sum(n) AS chars FROM g GROUP BY ALL""")
 def sliding_segments(spark, sf):
     u = R.utterances(spark, sf)
     ts = F.timestamp_micros(F.round(F.col("start") * 1_000_000).cast("long"))
     rows = u.select("media", "text", ts.alias("ts"))
-    return drain(spark, S.sliding_segments(staged(spark, rows, "ts")))
+    return drain(spark, S.sliding_segments(staged(spark, rows, "ts", closing=later(rows))))
 
 
 @query("u7_incremental_upsert", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS start_time,
