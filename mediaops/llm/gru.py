@@ -69,9 +69,28 @@ def step(p: dict[str, np.ndarray], h: np.ndarray, symbols: np.ndarray) -> tuple[
     return candidate + gates[:, n:] * (h - candidate), gates, candidate, part
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of x (in place) less its maximum, and per row the maximum plus the logarithm of the sum."""
+    top = x.max(initial=-np.inf)
+    low = x.max(axis=1) if len(x) and top - x.min() > 60 else None
+    x -= top if low is None else low[:, None]
+    np.exp(x, out=x)
+    return x, np.log(x.sum(axis=1)) + (top if low is None else low)
+
+
+def _target_logs(x: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    own = x[np.arange(len(targets)), targets]
+    return own - _exponentials(x)[1]
+
+
+def _loss_and_slope(x: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of the targets under the softmax of x, and its derivative by x."""
+    rows = np.arange(len(targets))
+    own = x[rows, targets]
+    e, logs = _exponentials(x)
+    e /= e.sum(axis=1, keepdims=True)
+    e[rows, targets] -= 1
+    return float((logs - own).sum()), e
 
 
 def log_probabilities(p: dict[str, np.ndarray], classes: Classes, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -79,8 +98,7 @@ def log_probabilities(p: dict[str, np.ndarray], classes: Classes, states: np.nda
     kind = classes.of[targets]
     order = np.argsort(kind, kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(len(classes.bounds)))
-    rows = np.arange(len(targets))
-    out = _log_softmax(states @ p["class_weights"] + p["class_bias"])[rows, kind].astype(np.float64)
+    out = _target_logs(states @ p["class_weights"] + p["class_bias"], kind).astype(np.float64)
     sorted_states, sorted_targets = states[order], targets[order]
     inside = np.zeros(len(targets))
     for k in range(len(cuts) - 1):
@@ -88,23 +106,25 @@ def log_probabilities(p: dict[str, np.ndarray], classes: Classes, states: np.nda
         low, high = classes.bounds[k], classes.bounds[k + 1]
         if a == b or high - low == 1:
             continue
-        logs = _log_softmax(sorted_states[a:b] @ p["word_weights"][low:high].T + p["word_bias"][low:high])
-        inside[a:b] = logs[np.arange(b - a), sorted_targets[a:b] - low]
+        scores = sorted_states[a:b] @ p["word_weights"][low:high].T + p["word_bias"][low:high]
+        inside[a:b] = _target_logs(scores, sorted_targets[a:b] - low)
     out[order] += inside
     return out
 
 
 def gradients(
     p: dict[str, np.ndarray], classes: Classes, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray
-) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradients of the loss over one window (steps x lanes), the state after it, and its loss.
+) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
+    """Gradients of the loss over one window (steps x lanes), the state after it, and its loss per token.
+
+    The gradient of the inputs has only the rows of the symbols read, which are returned too.
 
     ``fresh`` marks steps where a text begins: the state is zero before them.  Targets below zero are padding.  The
     gradient stops at the window's first step; the state does not.
     """
     steps, lanes = inputs.shape
     n = h.shape[1]
-    g = {name: np.zeros_like(p[name]) for name in NAMES}
+    g = {name: np.zeros_like(p[name]) for name in NAMES if name != "inputs"}
     before, gates, candidates, parts, states = [], [], [], [], []
     for t in range(steps):
         h = np.where(fresh[t][:, None], F32(0), h)
@@ -119,11 +139,7 @@ def gradients(
     use = np.flatnonzero(wanted >= 0)
     s, y = all_states[use], wanted[use]
     kind = classes.of[y]
-    rows = np.arange(len(y))
-    logs = _log_softmax(s @ p["class_weights"] + p["class_bias"])
-    loss = -float(logs[rows, kind].sum())
-    d = np.exp(logs)
-    d[rows, kind] -= 1
+    loss, d = _loss_and_slope(s @ p["class_weights"] + p["class_bias"], kind)
     g["class_weights"], g["class_bias"] = s.T @ d, d.sum(axis=0)
     ds = d @ p["class_weights"].T
     order = np.argsort(kind, kind="stable")
@@ -134,11 +150,9 @@ def gradients(
         low, high = classes.bounds[k], classes.bounds[k + 1]
         if a == b or high - low == 1:
             continue
-        logs = _log_softmax(sorted_s[a:b] @ p["word_weights"][low:high].T + p["word_bias"][low:high])
-        own = np.arange(b - a)
-        loss -= float(logs[own, sorted_y[a:b] - low].sum())
-        d = np.exp(logs)
-        d[own, sorted_y[a:b] - low] -= 1
+        scores = sorted_s[a:b] @ p["word_weights"][low:high].T + p["word_bias"][low:high]
+        more, d = _loss_and_slope(scores, sorted_y[a:b] - low)
+        loss += more
         g["word_weights"][low:high] = d.T @ sorted_s[a:b]
         g["word_bias"][low:high] = d.sum(axis=0)
         back[a:b] = d @ p["word_weights"][low:high]
@@ -163,19 +177,21 @@ def gradients(
     flat, rows_of = d_inputs.reshape(-1, 3 * n), inputs.ravel()
     order = np.argsort(rows_of, kind="stable")
     names, first = np.unique(rows_of[order], return_index=True)
-    g["inputs"][names] = np.add.reduceat(flat[order], first, axis=0)
-    return g, h, loss / max(1, len(use))
+    g["inputs"] = np.add.reduceat(flat[order], first, axis=0)
+    return g, names, h, loss / max(1, len(use))
 
 
 class Adagrad:
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.05):
         self.rate, self.sums = F32(rate), {n: np.full_like(p[n], 1e-4) for n in NAMES}
 
-    def update(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], scale: float) -> None:
+    def update(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], read: np.ndarray, scale: float) -> None:
         for n in NAMES:
+            rows = read if n == "inputs" else slice(None)
             d = g[n] * F32(scale)
-            self.sums[n] += d * d
-            p[n] -= self.rate * d / np.sqrt(self.sums[n])
+            sums = self.sums[n][rows] + d * d
+            self.sums[n][rows] = sums
+            p[n][rows] -= self.rate * d / np.sqrt(sums)
 
 
 def lanes_of(ids: np.ndarray, offsets: np.ndarray, lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,3 +222,9 @@ def lanes_of(ids: np.ndarray, offsets: np.ndarray, lanes: int, start: int) -> tu
     full = lengths > 0
     fresh[place[full], lane[full]] = True
     return inputs, targets, fresh
+
+
+def pieces_of(offsets: np.ndarray, longest: int) -> np.ndarray:
+    """Offsets with texts longer than ``longest`` cut into pieces."""
+    cuts = [np.arange(a + longest, b, longest) for a, b in zip(offsets[:-1], offsets[1:]) if b - a > longest]
+    return np.sort(np.concatenate([offsets, *cuts])) if cuts else offsets

@@ -18,7 +18,9 @@ from mediaops.llm.words import find_words, lower_ascii, text_slices
 from mediaops.plans.staging import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
-SEGMENT = 2_000_000  # tokens that a task works on at once; a longer text is alone
+SEGMENT = 1_200_000  # tokens that a task works on at once; a longer text is alone
+TIERS = (1024, 4096, 1 << 62)  # words; texts of a tier come together
+PIECE = 2048  # words after which training begins anew inside a text, so that many lanes go side by side
 LN10 = math.log(10)
 
 
@@ -103,29 +105,48 @@ def learn_vocabulary(counts: DataFrame, training_texts: int, head: int, known: i
     return Vocabulary(h[:head], n[:head], h[order], n[order], tokens, distinct, training_texts)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray, list, list]]:
-    """(ids, symbols with ends, offsets, hashes per slice, words per text) for about SEGMENT tokens at a time."""
-    names, symbols, hashes, counts, size = [], [], [], [], 0
+class _Segment:
+    """Texts that a task works on at once."""
 
-    def flush():
-        lengths = np.concatenate(counts)
+    def __init__(self) -> None:
+        self.names, self.symbols, self.hashes, self.counts, self.size = [], [], [], [], 0
+
+    def add(self, names: list, symbols: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.names += names
+        self.symbols.append(symbols)
+        self.hashes.append(hashes)
+        self.counts.append(counts)
+        self.size += len(symbols) + len(names)
+
+    def whole(self, end: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, symbols with ends, offsets in them, hashes of words)"""
+        lengths = np.concatenate(self.counts)
         offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
-        found = np.insert(np.concatenate(symbols), np.cumsum(lengths), vocabulary.end_symbol).astype(np.int32)
-        return names, found, offsets, hashes, counts
+        found = np.insert(np.concatenate(self.symbols), np.cumsum(lengths), end).astype(np.int32)
+        return self.names, found, offsets, np.concatenate(self.hashes)
+
 
+def _segments(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments of about SEGMENT tokens, by tiers of length, as a segment takes as many steps as its longest text."""
+    tiers = [_Segment() for _ in TIERS]
     for batch in batches:
         for rows, data, offsets in text_slices(batch):
             words = find_words(lower_ascii(data), offsets)
-            if size and size + len(words.starts) > SEGMENT:
-                yield flush()
-                names, symbols, hashes, counts, size = [], [], [], [], 0
-            hashes.append(words.hashes())
-            symbols.append(vocabulary.symbols(hashes[-1]))
-            counts.append(words.counts)
-            names += rows.column(0).to_pylist()
-            size += len(words.starts) + rows.num_rows
-    if names:
-        yield flush()
+            hashes, counts, names = words.hashes(), words.counts, np.arange(rows.num_rows)
+            symbols, ids = vocabulary.symbols(hashes), rows.column(0).to_pylist()
+            tier = np.searchsorted(TIERS, counts)
+            for number, segment in enumerate(tiers):
+                chosen = tier == number
+                if not chosen.any():
+                    continue
+                which = np.repeat(chosen, counts)
+                if segment.size and segment.size + which.sum() > SEGMENT:
+                    yield segment.whole(vocabulary.end_symbol)
+                    segment.__init__()
+                segment.add([ids[i] for i in names[chosen]], symbols[which], hashes[which], counts[chosen])
+    for segment in tiers:
+        if segment.size:
+            yield segment.whole(vocabulary.end_symbol)
 
 
 def _live(targets: np.ndarray, window: int) -> Iterator[tuple[slice, np.ndarray]]:
@@ -145,15 +166,16 @@ def train_round(
         like = gru.start_parameters(vocabulary.symbol_counts(), classes, hidden)
         p = gru.unpack(flat, like)
         descent, trained = gru.Adagrad(p, rate), 0
-        for _, found, offsets, _, _ in _segments(batches, vocabulary):
+        for _, found, offsets, _ in _segments(batches, vocabulary):
+            offsets = gru.pieces_of(offsets, PIECE)
             fit = int(min(lanes, max(1, len(found) // int(np.diff(offsets).max()))))
             inputs, targets, fresh = gru.lanes_of(found, offsets, fit, vocabulary.end_symbol)
             state = np.zeros((inputs.shape[1], hidden), gru.F32)
             for part, live in _live(targets, window):
                 y = targets[part, live]
-                g, state[live], _ = gru.gradients(p, classes, state[live], inputs[part, live], y, fresh[part, live])
+                g, read, state[live], _ = gru.gradients(p, classes, state[live], inputs[part, live], y, fresh[part, live])
                 # A window of few lanes moves the model as little as it has tokens.
-                descent.update(p, g, 1 / max(int((y >= 0).sum()), lanes * window))
+                descent.update(p, g, read, 1 / max(int((y >= 0).sum()), lanes * window))
             trained += len(found)
         if trained:
             columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(trained)]), pa.array([gru.pack(p).tobytes()], pa.binary())]
@@ -197,9 +219,9 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, classes: gru.Classes, f
         p = gru.unpack(flat, gru.start_parameters(vocabulary.symbol_counts(), classes, hidden))
         row = TaskContext.get().partitionId() << 33
         head_logs = np.log10(vocabulary.head_counts + 1.0)
-        for names, found, offsets, hashes, counts in _segments(batches, vocabulary):
+        for names, found, offsets, all_hashes in _segments(batches, vocabulary):
             n = len(names)
-            text_of = np.repeat(np.arange(n), np.diff(offsets))
+            text_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
             fit = int(min(lanes, max(1, len(found) // int(np.diff(offsets).max()))))
             inputs, targets, fresh = gru.lanes_of(found, offsets, fit, vocabulary.end_symbol)
             _, which, _ = gru.lanes_of(np.arange(len(found), dtype=np.int32), offsets, fit, 0)
@@ -227,10 +249,9 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, classes: gru.Classes, f
                     states, wanted, places, held = [], [], [], 0
             if held:
                 flush()
-            lengths = np.concatenate(counts)
+            lengths = np.diff(offsets) - 1
             words = np.delete(found, offsets[1:] - 1)
-            text_of_word = np.repeat(np.arange(n), lengths)
-            all_hashes = np.concatenate(hashes)
+            text_of_word = np.repeat(np.arange(n, dtype=np.int32), lengths)
             tail = np.flatnonzero(words == vocabulary.tail_symbol)
             c = vocabulary.known_count(all_hashes[tail])
             logs = np.zeros(len(words))
@@ -255,7 +276,7 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, classes: gru.Classes, f
 
 def language_model_scores(
     docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, head: int = 4096, known: int = 262_144, hidden: int = 16,
-    classes: int = 64, rounds: int = 3, lanes: int = 256, window: int = 16, rate: float = 0.04,
+    classes: int = 48, rounds: int = 3, lanes: int = 512, window: int = 32, rate: float = 0.15,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -285,7 +306,7 @@ def language_model_scores(
         share = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
         mean = average_models(train_round(share, vocabulary, kinds, flat, hidden, lanes, window, rate))
         flat = flat if mean is None else mean
-    scored = cut_lineage(score_texts(plain, vocabulary, kinds, flat, hidden, lanes, window))
+    scored = cut_lineage(score_texts(plain, vocabulary, kinds, flat, hidden, 4 * lanes, window))
     rest = scored.select("row", F.explode("rest").alias("h")).join(counts, "h")
     more = rest.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.count(F.lit(1)).alias("found"))
     logs, found = F.coalesce("logs", F.lit(0.0)), F.coalesce("found", F.lit(0))
