@@ -212,6 +212,18 @@ def forced_reindex(manifest: DataFrame) -> DataFrame:
     return manifest.filter("force").select("media")
 
 
+def reindex_forced(
+    manifest: DataFrame, media: DataFrame, children: Mapping[str, DataFrame], now: Column
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Forced media of a manifest: their rows leave the tables below ``media``, their statuses begin anew.
+
+    The media that result can be queued with ``work_queue``.
+    """
+    gone = forced_reindex(manifest)
+    kept, _ = delete_media(children, gone)
+    return reset_media(media, gone, now), kept
+
+
 def merge_results(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("media", "segment_index")) -> DataFrame:
     """Results by key, new ones replacing old ones; one aggregate that combines before the shuffle."""
     rest = [c for c in old.columns if c not in keys]

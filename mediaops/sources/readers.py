@@ -33,10 +33,11 @@ def file_stem(path):
 
 
 def read_results(spark: SparkSession, path: str, suffix: str = "_phase2_vllm_analysis") -> DataFrame:
-    """Segments of result documents (one JSON per media); media comes from the file name."""
-    docs = spark.read.schema(S.RESULT_FILE).option("multiLine", True).json(path)
+    """Segments of result documents (one JSON per media); media as the document says, else from the file name."""
+    docs = spark.read.schema(S.RESULT_FILE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     name = F.regexp_replace(file_stem(F.col("_metadata.file_name")), suffix + "$", "")
-    return docs.select(name.alias("media"), F.explode("segments").alias("s")).select("media", "s.*")
+    media = F.coalesce(F.nullif(F.col("video_info.video_name"), F.lit("")), name)
+    return docs.select(media.alias("media"), F.explode("segments").alias("s")).select("media", "s.*")
 
 
 def read_utterances(spark: SparkSession, path: str, suffix: str = "_transcription") -> DataFrame:
@@ -48,7 +49,7 @@ def read_utterances(spark: SparkSession, path: str, suffix: str = "_transcriptio
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Media of a manifest; the name defaults to the stem of the path, entries without a path are skipped."""
-    return manifest_rows(spark.read.schema(S.MANIFEST).option("multiLine", True).json(path))
+    return manifest_rows(spark.read.schema(S.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).json(path))
 
 
 def manifest_rows(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ def export_csv(rows: DataFrame, root: str, suffix: str) -> str:
         raise ValueError(f"no {suffix} rows to export")
     target = f"{root}/{suffix}"
     writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy("media") if "media" in rows.columns else writer).csv(target)
     return target
 

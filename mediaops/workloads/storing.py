@@ -2,6 +2,7 @@
 
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.operators import rollups, tables
 from mediaops.plans.staging import scratch_folder as scratch
@@ -164,6 +165,24 @@ def forced(spark, sf):
     return tables.reset_media(m.select("media", "phase2_status"), tables.forced_reindex(manifest), now())
 
 
+@query("d10_deleted_and_queued", f"""WITH {R.MEDIA_SQL}, {R.ENT_SQL}, f AS (SELECT media FROM med WHERE db_load_status = 'failed'),
+q AS (SELECT med.media, 'queue' AS part, 1 AS n FROM med LEFT JOIN f ON f.media = med.media
+ WHERE f.media IS NOT NULL OR phase2_status = 'pending' OR phase2_status = 'processing' AND NOT (epoch(TIMESTAMP '{QUEUE_AS_OF}') - epoch(phase2_start_time) < duration * 2))
+SELECT * FROM q UNION ALL SELECT media, 'detections', count(*) FROM det WHERE media NOT IN (SELECT media FROM f) GROUP BY media
+UNION ALL SELECT media, 'entities', count(*) FROM ent WHERE media NOT IN (SELECT media FROM f) GROUP BY media""")
+def deleted_and_queued(spark, sf):
+    """What forced media leave: rows of the other media, and the queue of the phase with the forced ones in it."""
+    m = R.media(spark, sf)
+    manifest = m.select("media", (F.col("db_load_status") == "failed").alias("force"))
+    children = {"detections": R.detections(spark, sf), "entities": R.entities(spark, sf)}
+    after, kept = tables.reindex_forced(manifest, m.select("media", "duration", "phase2_status", "phase2_start_time"), children, now())
+    queue = tables.work_queue(after, None, "phase2", F.lit(QUEUE_AS_OF).cast("timestamp"))
+    out = queue.select("media", F.lit("queue").alias("part"), F.lit(1).cast("long").alias("n"))
+    for name, rows in kept.items():
+        out = out.unionByName(rows.groupBy("media").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name)))
+    return out
+
+
 # --- files: tables are written to the shared scratch folder and read back -------------------------------
 
 
@@ -261,6 +280,81 @@ def still_metadata(spark, sf):
     return readers.read_still_metadata(spark, root).select("dir", "path", F.col("radar_data.speed").alias("speed"))
 
 
+@query("s1_result_files", """SELECT 'user ' || CAST(user_id AS VARCHAR) AS media, event_id AS segment_index, value AS start_time, event_type AS transcript,
+event_type <> 'error' AS success, CASE WHEN event_type = 'error' THEN 'broken' END AS "error" FROM events""")
+def result_files(spark, sf):
+    """Result documents, one JSON file per media in a folder of its own, read as the loader reads them."""
+    root = scratch(spark)
+    bad = F.col("event_type") == "error"
+    segment = F.struct(
+        F.col("event_id").cast("int").alias("segment_index"), F.col("value").alias("start_time"), F.col("event_type").alias("transcript"),
+        (~bad).alias("success"), F.when(bad, "broken").alias("error"),
+    )
+    docs = R.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(segment).alias("segments"), F.count(F.lit(1)).cast("int").alias("n"))
+    info = F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("video_name"), F.col("n").alias("total_segments"))
+    text = F.to_json(F.struct(info.alias("video_info"), F.col("segments")))
+    docs.select(F.col("user_id").alias("folder"), text.alias("value")).write.partitionBy("folder").text(root)
+    return readers.read_results(spark, root).select("media", F.col("segment_index").cast("long").alias("segment_index"), "start_time", "transcript", "success", "error")
+
+
+@query("s3_manifest_files", """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'f' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS media, '/in/f' || CAST(c_custkey AS VARCHAR) || '.mp4' AS path,
+c_mktsegment AS language, c_custkey % 5 = 0 AS force FROM customer WHERE c_custkey % 7 <> 0""")
+def manifest_files(spark, sf):
+    """A manifest file per nation; names are missing for some media, paths for others."""
+    root = scratch(spark)
+    c = R.table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    entry = F.struct(
+        F.when(key % 3 != 0, F.col("c_name")).alias("name"),
+        F.when(key % 7 != 0, F.concat(F.lit("/in/f"), key.cast("string"), F.lit(".mp4"))).alias("path"),
+        F.col("c_mktsegment").alias("language"), F.when(key % 5 == 0, True).alias("force"),
+    )
+    docs = c.groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(entry).alias("videos"))).alias("value"))
+    docs.withColumnRenamed("c_nationkey", "folder").write.partitionBy("folder").text(root)
+    return readers.read_manifest(spark, root)
+
+
+@query("s12_description_csv", r"""SELECT source AS media, doc_id AS frame_index, text AS description, length(text) AS description_length FROM documents WHERE text <> ''""")
+def description_csv(spark, sf):
+    """Frame descriptions with line feeds and quotes to CSV and back; media are the folders."""
+    root = scratch(spark)
+    d = R.table(spark, sf, "documents").filter("text <> ''").select(
+        F.col("source").alias("media"), F.col("n_chars").alias("timestamp"), F.col("doc_id").alias("frame_index"), F.col("text").alias("description"),
+        F.lit(False).alias("context_provided"),
+    )
+    rows = writers.description_rows(d)
+    target = writers.export_csv(rows, root, "vllm_analysis")
+    kept = [f for f in rows.schema.fields if f.name != "media"]
+    read = spark.read.schema(T.StructType([*kept, rows.schema["media"]])).option("header", True).option("multiLine", True).option("escape", '"')
+    back = read.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(target)
+    return back.select("media", "frame_index", "description", "description_length")
+
+
+@query("s13_segmentation_csv", f"""WITH {R.UTT_SQL} SELECT media % 10 AS media, "start", "end", 'speech' AS type, true AS has_speech, text AS audio_text FROM utt""")
+def segmentation_csv(spark, sf):
+    root = scratch(spark)
+    u = R.utterances(spark, sf).select(
+        (F.col("media") % 10).alias("media"), F.col("start").alias("start_time"), F.col("end").alias("end_time"), (F.col("end") - F.col("start")).alias("duration"),
+        F.lit("speech").alias("kind"), F.lit(True).alias("has_speech"), "text",
+    )
+    rows = writers.segmentation_rows(u)
+    target = writers.export_csv(rows, root, "scene_segmentation")
+    kept = [f for f in rows.schema.fields if f.name != "media"]
+    read = spark.read.schema(T.StructType([*kept, rows.schema["media"]])).option("header", True).option("multiLine", True).option("escape", '"')
+    return read.csv(target).select("media", "start", "end", "type", "has_speech", "audio_text")
+
+
+@query("s8_scene_csv", """SELECT l_orderkey % 10 AS media, l_quantity AS "start", l_extendedprice AS "end" FROM lineitem""")
+def scene_csv(spark, sf):
+    """Of a scene row only the second and third column are written."""
+    root = scratch(spark)
+    scenes = R.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 10).alias("media"), F.col("l_linenumber").alias("scene"), F.col("l_quantity").alias("start"), F.col("l_extendedprice").alias("end"), "l_tax"
+    )
+    target = writers.export_scenes(scenes, root)
+    return spark.read.schema("start double, end double, media long").option("header", True).csv(target)
+
+
 HEADS = ["FFD8FFE000104A46", "89504E470D0A1A0A", "424D000000000000", "25504446", "474946383961AA", "00"]
 
 

@@ -189,3 +189,35 @@ def streets(spark, sf):
 SELECT image_id, arg_min(brand, pos) AS brand, arg_min(confidence, pos) AS confidence FROM b WHERE brand IS NOT NULL GROUP BY image_id""")
 def brands(spark, sf):
     return labels.brand_texts(sign_rows(spark, sf))
+
+
+@query("x10_word_times", f"""WITH {R.UTT_SQL}, w AS (SELECT media, pos, "start", unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM utt
+ WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
+SELECT media, pos, i AS word_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS word, CASE i % 2 WHEN 0 THEN 0.5 ELSE 0.0 END AS probability,
+lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS start_formatted
+FROM (SELECT *, CAST(floor("start" + i) AS BIGINT) AS s FROM w)""")
+def word_times(spark, sf):
+    """Nested words, one a second, half of them without a probability."""
+    u = R.utterances(spark, sf)
+    words = F.transform(
+        F.split("text", " "),
+        lambda w, i: F.struct(
+            w.alias("word"), (F.col("start") + i).alias("start"), (F.col("start") + i + 1).alias("end"),
+            F.when(i % 2 == 0, F.lit(0.5)).alias("probability"),
+        ),
+    )
+    rows = transcripts.normalise_utterances(u.withColumn("words", words), words=True)
+    return rows.select("media", "pos", F.posexplode("words").alias("word_no", "w")).select(
+        "media", "pos", F.col("word_no").cast("long").alias("word_no"), "w.word", "w.probability", "w.start_formatted"
+    )
+
+
+SCENE_TEXTS = list(labels.SCENES)[:9]
+
+
+@query("j7_scene_names", "SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{labels.SCENES[t]}'" for i, t in enumerate(SCENE_TEXTS))
+       + f" ELSE '{labels.UNKNOWN_SCENE}' END AS scene FROM events")
+def scene_names(spark, sf):
+    e = R.table(spark, sf, "events")
+    text = F.get(F.array(*[F.lit(t) for t in SCENE_TEXTS], F.lit("something else")), (F.col("event_id") % 10).cast("int"))
+    return e.select("event_id", labels.scene_name(text).alias("scene"))
