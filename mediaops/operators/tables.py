@@ -73,9 +73,6 @@ def upsert(
     return both.select(*out)
 
 
-MEDIA_FIELDS = ("path", "language", "duration", "total_segments", "width", "height", "fps")
-
-
 def upsert_media(media: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
     """Create media rows or replace the given columns of existing ones; ``updated_at`` becomes ``now``.
 

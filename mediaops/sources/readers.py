@@ -32,12 +32,13 @@ def file_stem(path):
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def read_results(spark: SparkSession, path: str, suffix: str = "_phase2_vllm_analysis") -> DataFrame:
-    """Segments of result documents (one JSON per media); media as the document says, else from the file name."""
+def read_results(spark: SparkSession, path: str, suffix: str = "_phase2_vllm_analysis", named: bool = False) -> DataFrame:
+    """Segments of result documents (one JSON per media); media from the file name, or from the document if ``named``."""
     docs = spark.read.schema(S.RESULT_FILE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     name = F.regexp_replace(file_stem(F.col("_metadata.file_name")), suffix + "$", "")
-    media = F.coalesce(F.nullif(F.col("video_info.video_name"), F.lit("")), name)
-    return docs.select(media.alias("media"), F.explode("segments").alias("s")).select("media", "s.*")
+    if named:
+        name = F.coalesce(F.nullif(F.col("video_info.video_name"), F.lit("")), name)
+    return docs.select(name.alias("media"), F.explode("segments").alias("s")).select("media", "s.*")
 
 
 def read_utterances(spark: SparkSession, path: str, suffix: str = "_transcription") -> DataFrame:

@@ -294,7 +294,7 @@ def result_files(spark, sf):
     info = F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("video_name"), F.col("n").alias("total_segments"))
     text = F.to_json(F.struct(info.alias("video_info"), F.col("segments")))
     docs.select(F.col("user_id").alias("folder"), text.alias("value")).write.partitionBy("folder").text(root)
-    return readers.read_results(spark, root).select("media", F.col("segment_index").cast("long").alias("segment_index"), "start_time", "transcript", "success", "error")
+    return readers.read_results(spark, root, named=True).select("media", F.col("segment_index").cast("long").alias("segment_index"), "start_time", "transcript", "success", "error")
 
 
 @query("s3_manifest_files", """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'f' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS media, '/in/f' || CAST(c_custkey AS VARCHAR) || '.mp4' AS path,

@@ -244,7 +244,11 @@ def test_upsert_rules(spark):
     base = spark.createDataFrame([("s1", 0.0, "old", 1), ("s2", 5.0, "keep", 2)], "id string, start_time double, description string, n int")
     new = spark.createDataFrame([("s1", 9.0, "first", 1), ("s1", 9.0, None, 2), ("s3", 7.0, "new", 1)], "id string, start_time double, description string, seq int")
     got = rows(tables.upsert(base, new, ["id"], {"description": tables.NEW, "n": tables.INCREMENT}, {"n": F.lit(1)}, ["seq"]))
-    assert got == [("s1", 0.0, None, 2), ("s2", 5.0, "keep", 2), ("s3", 7.0, "new", 1)]
+    # The last update wins; each of the two counts.
+    assert got == [("s1", 0.0, None, 3), ("s2", 5.0, "keep", 2), ("s3", 7.0, "new", 1)]
+    twice = new.filter("seq = 1").unionByName(new.filter("id = 's3'").withColumn("seq", F.lit(2)))
+    got = rows(tables.upsert(base, twice, ["id"], {"n": tables.INCREMENT}, {"n": F.lit(1)}))
+    assert got == [("s1", 0.0, "old", 2), ("s2", 5.0, "keep", 2), ("s3", 7.0, "new", 2)]
 
 
 def test_speed_band(spark):
