@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm import golay
-from mediaops.llm.common import read_table, spread_join, texts
+from mediaops.llm.common import partitions, read_table, spread_join, texts
 from mediaops.llm.components import smallest_labels
 from mediaops.llm.words import BASES, U64, Words, lower_ascii, mix, single_spaced, text_slices
 from mediaops.plans.staging import cut_lineage
@@ -210,18 +210,75 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def shared_keys(keys: DataFrame, first_limit: int) -> DataFrame:
+    """(key, id, probe, n) for keys with a nearest codeword of one id and any codeword of another; n ids share the key.
+
+    Two unrelated ids often have a key to themselves.  Such a pair is judged in the aggregate, by its first lanes.
+    """
+    sizes = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("probe").alias("asked"), F.min("id").alias("low"), F.max("id").alias("high")
+    )
+    plausible = (F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= first_limit)
+    sizes = sizes.filter((F.col("n") > 1) & F.col("asked") & plausible)
+    return keys.join(sizes.select("key", "n"), "key")
+
+
+def differing_bits(la: str, lb: str) -> Column:
+    """Bits that differ between two arrays of lanes."""
+    return F.aggregate(F.zip_with(la, lb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def linked_within(prints: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of which at most ``limit`` bits over all lanes differ; ``prints`` has (fp, lanes)."""
+    met = pairs.join(prints.select(F.col("fp").alias("a"), F.col("lanes").alias("la")), "a")
+    met = met.join(prints.select(F.col("fp").alias("b"), F.col("lanes").alias("lb")), "b")
+    return met.filter(differing_bits("la", "lb") <= limit).select("a", "b")
+
+
+def leader_links(shared: DataFrame, prints: DataFrame, limit: int, crowd: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links of ids to a leader of their key, and what crowded keys have left; ``shared`` has (key, id).
+
+    In a round the smallest id of a key is compared with all others of the key: a pair per row and not per two rows.
+    Keys that more than ``crowd`` ids share go on without the leader and what links to it; in a group of near copies,
+    however large, little is left after a few rounds.
+    """
+    links, left, now = None, None, shared
+    for turn in range(rounds):
+        leaders = now.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members"))
+        rows = now.join(leaders, "key").filter("id <> leader")
+        rows = cut_lineage(rows)
+        pairs = rows.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        found = cut_lineage(linked_within(prints, pairs, limit))
+        links = found if links is None else links.unionByName(found)
+        gone = found.select(F.col("a").alias("leader"), F.col("b").alias("id"))
+        rest = rows.filter(F.col("members") > crowd).join(gone, ["leader", "id"], "left_anti").select("key", "id")
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rest = cut_lineage(rest.join(sizes, "key"))
+        few = rest.filter(F.col("n") <= crowd).select("key", "id")
+        left = few if left is None else left.unionByName(few)
+        now = rest.filter(F.col("n") > crowd).select("key", "id")
+        if now.isEmpty():
+            break
+    return links, left.unionByName(now)
+
+
 def near_duplicate_classes(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 13, tables: int = 32, equal: int = 12,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 13, tables: int = 24, equal: int = 12,
+    crowd: int = 256, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id; texts link when their shingles are similar enough.
 
     Three bits of 64 mean nearly equal texts.  For a Jaccard similarity of 0.8 about 15 of 100 bits differ, so the
     fingerprint is longer (``lanes`` times 64 bits) and ``tables`` random tables look for a Golay word within decoding
-    distance beside ``equal`` equal bits: pairs at 0.8 to 0.85 are met by 32 tables with a chance of 0.9, pairs at 0.9 with
-    0.99 and more.  A pair that meets links when, over all lanes, no more bits differ than expected at ``similarity``,
-    plus one standard deviation, so that pairs at the limit count as similar.  In the join a pair must pass a wide limit
-    on the first lane, which keeps pairs that only share a key from leaving it.
+    distance beside ``equal`` equal bits: pairs at 0.8 to 0.85 are met by 24 tables with a chance of 0.83, pairs at 0.85 to
+    0.9 with 0.95, and above 0.9 with 0.99.  A pair that meets links when, over all lanes, no more bits differ than expected at ``similarity``,
+    plus one standard deviation, so that pairs at the limit count as similar.
+
+    Keys that one id has alone are dropped first.  Then ids are compared with the leader of the key of their nearest
+    codeword (``leader_links``), which connects groups of near copies with a pair per row.  Then the ids of a key are compared with each other, but
+    only those that are not connected yet, and that pass a wide limit on the first lane, so that neither a group of copies
+    nor a key that unrelated texts share makes many pairs.  Of keys with more than ``crowd`` ids, only those that none of
+    several leaders links take part in that.
 
     Texts whose first lane is equal are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
     rows and an empty table are treated as in ``fingerprint_classes``.
@@ -236,13 +293,23 @@ def near_duplicate_classes(
     groups = cut_lineage(
         parts.groupBy("fp").agg(F.min("label").alias("label"), F.min("lanes").alias("lanes"), F.collect_set("salt").alias("salts"))
     )
-    keys = golay_keys(groups.select(F.col("fp").alias("id"), "lanes"), random_tables(lanes, tables, equal))
-    met = cut_lineage(candidate_pairs(keys, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= first_limit))
-    whole = groups.select("fp", "lanes")
-    pairs = met.join(whole.select(F.col("fp").alias("a"), F.col("lanes").alias("la")), "a")
-    pairs = pairs.join(whole.select(F.col("fp").alias("b"), F.col("lanes").alias("lb")), "b")
-    differing = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = cut_lineage(pairs.filter(differing <= limit).select("a", "b"))
+    # A fingerprint makes some 130 keys: many small tasks keep the partial counts of each small.
+    spread = groups.select(F.col("fp").alias("id"), "lanes").repartition(partitions(docs.sparkSession))
+    keys = golay_keys(spread, random_tables(lanes, tables, equal))
+    shared = cut_lineage(shared_keys(keys, first_limit))
+    nearest, _ = leader_links(shared.filter("probe").select("key", "id"), groups, limit, crowd, 1)
+    crowded, left = leader_links(shared.filter(F.col("n") > crowd).select("key", "id"), groups, limit, crowd, rounds)
+    first = nearest.unionByName(crowded)
+    joined = smallest_labels(groups.select(F.col("fp").alias("node"), F.col("fp").alias("label")), first)
+    few = shared.filter(F.col("n") <= crowd).select("key", "id", "probe").unionByName(left.withColumn("probe", F.lit(True)))
+    few = few.join(joined.select(F.col("node").alias("id"), "label"), "id", "left")
+    few = few.join(groups.select(F.col("fp").alias("id"), "lanes"), "id")
+    few = cut_lineage(few.select("key", "id", "probe", F.coalesce("label", "id").alias("part"), "lanes"))
+    x = few.filter("probe").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("lanes").alias("la"))
+    y = few.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("lanes").alias("lb"))
+    same_first = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= first_limit
+    near = x.join(y, "key").filter((F.col("pa") != F.col("pb")) & same_first & (differing_bits("la", "lb") <= limit))
+    links = cut_lineage(first.unionByName(near.select("a", "b")).distinct())
     found = smallest_labels(groups.select(F.col("fp").alias("node"), "label"), links)
     named = groups.join(found.select(F.col("node").alias("fp"), F.col("label").alias("reached")), "fp", "left")
     named = named.select("fp", "salts", F.coalesce("reached", "label").alias("component_id"))

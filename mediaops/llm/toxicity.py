@@ -18,7 +18,7 @@ from mediaops.llm.common import id_remainder, read_table, texts
 from mediaops.llm.words import Words, find_words, lower_ascii, text_slices
 
 HELD_OUT = 5
-SAMPLE = 4000  # labelled rows per class that the lexicon and the weights are fitted on
+SAMPLE = 3000  # labelled rows per class that the lexicon and the weights are fitted on
 REACH = 8  # words of context on either side of a hit
 FEATURES = 5
 # Marks and words around a quotation, and characters written for letters.
@@ -55,7 +55,7 @@ class LexiconAutomaton:
     first letter of a word must be right.
     """
 
-    def __init__(self, terms: list[str], most_states: int = 50_000):
+    def __init__(self, terms: list[str], most_states: int = 5_000):
         self.root, self.most_states = Node(), most_states
         for term in terms:
             stem = term.endswith("*")
