@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,31 +235,54 @@ def linked_within(prints: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
     return met.filter(differing_bits("la", "lb") <= limit).select("a", "b")
 
 
-def leader_links(shared: DataFrame, prints: DataFrame, limit: int, crowd: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links of ids to a leader of their key, and what crowded keys have left; ``shared`` has (key, id).
+def links_within_keys(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], crowd: int, rounds: int) -> DataFrame:
+    """Links (a, b) that connect all ids which links inside a key connect; ``shared`` has (key, id).
 
-    In a round the smallest id of a key is compared with all others of the key: a pair per row and not per two rows.
-    Keys that more than ``crowd`` ids share go on without the leader and what links to it; in a group of near copies,
-    however large, little is left after a few rounds.
+    ``judge`` keeps those of the pairs (a, b) that link.  Ids are first compared with the leader of their key, which
+    connects a group of near copies with a pair per row.  While a key has more than ``crowd`` ids outside its largest
+    part, a further leader follows: the id with most links so far that has not led yet, linked or not.  At last all ids of
+    a key are compared that are not connected yet, each with each, in blocks of ``crowd`` ids.  Only pairs that are
+    connected already are left out, so neither ``crowd`` nor ``rounds`` decides what is found.
     """
-    links, left, now = None, None, shared
-    for turn in range(rounds):
-        leaders = now.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members"))
-        rows = now.join(leaders, "key").filter("id <> leader")
-        rows = cut_lineage(rows)
-        pairs = rows.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        found = cut_lineage(linked_within(prints, pairs, limit))
+    now = shared.select("key", "id", F.col("id").alias("part"), F.lit(0).cast("long").alias("degree"), F.lit(False).alias("led"))
+    links = None
+    for turn in range(max(rounds, 1)):
+        best = F.max(F.when(~F.col("led"), F.struct("degree", "id", "part"))).alias("leader")
+        leaders = now.groupBy("key").agg(best).filter("leader IS NOT NULL")
+        leaders = leaders.select("key", F.col("leader.id").alias("a"), F.col("leader.part").alias("pa"))
+        met = now.join(leaders, "key")
+        found = judge(met.filter("part <> pa").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+        found = cut_lineage(found)
+        stuck = found.isEmpty()
         links = found if links is None else links.unionByName(found)
-        gone = found.select(F.col("a").alias("leader"), F.col("b").alias("id"))
-        rest = rows.filter(F.col("members") > crowd).join(gone, ["leader", "id"], "left_anti").select("key", "id")
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rest = cut_lineage(rest.join(sizes, "key"))
-        few = rest.filter(F.col("n") <= crowd).select("key", "id")
-        left = few if left is None else left.unionByName(few)
-        now = rest.filter(F.col("n") > crowd).select("key", "id")
-        if now.isEmpty():
+        reached = smallest_labels(*_with_nodes(links))
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+        known = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).join(reached.withColumnRenamed("node", "id"), "id")
+        left = now.join(leaders.select("key", "a"), "key", "left").join(known, "id", "left")
+        left = left.select(
+            "key", "id", F.coalesce("label", "part").alias("part"), F.coalesce("links", "degree").alias("degree"),
+            (F.col("led") | F.col("id").eqNullSafe(F.col("a"))).alias("led"),
+        )
+        left = cut_lineage(left)
+        sizes = left.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+        sizes = cut_lineage(sizes)
+        now = left.join(sizes.select("key"), "key")
+        if stuck or sizes.filter(F.col("n") - F.col("most") > crowd).isEmpty():
             break
-    return links, left.unionByName(now)
+    blocks = F.ceil(F.col("n") / crowd).cast("long")
+    rows = left.join(sizes.select("key", blocks.alias("blocks")), "key")
+    x = rows.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("x"), F.col("part").alias("px"))
+    y = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("part").alias("py"))
+    rest = x.join(y, ["key", "block"]).filter("px < py")
+    rest = judge(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return cut_lineage(links.unionByName(rest))
+
+
+def _with_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ends of ``links`` labelled by themselves, and ``links``, as ``smallest_labels`` takes them."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    return ends.withColumn("label", F.col("node")), links
 
 
 def near_duplicate_classes(
@@ -274,11 +297,7 @@ def near_duplicate_classes(
     0.9 with 0.95, and above 0.9 with 0.99.  A pair that meets links when, over all lanes, no more bits differ than expected at ``similarity``,
     plus one standard deviation, so that pairs at the limit count as similar.
 
-    Keys that one id has alone are dropped first.  Then ids are compared with the leader of the key of their nearest
-    codeword (``leader_links``), which connects groups of near copies with a pair per row.  Then the ids of a key are compared with each other, but
-    only those that are not connected yet, and that pass a wide limit on the first lane, so that neither a group of copies
-    nor a key that unrelated texts share makes many pairs.  Of keys with more than ``crowd`` ids, only those that none of
-    several leaders links take part in that.
+    Keys that one id has alone are dropped first; the others are compared by ``links_within_keys``.
 
     Texts whose first lane is equal are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
     rows and an empty table are treated as in ``fingerprint_classes``.
@@ -297,19 +316,7 @@ def near_duplicate_classes(
     spread = groups.select(F.col("fp").alias("id"), "lanes").repartition(partitions(docs.sparkSession))
     keys = golay_keys(spread, random_tables(lanes, tables, equal))
     shared = cut_lineage(shared_keys(keys, first_limit))
-    nearest, _ = leader_links(shared.filter("probe").select("key", "id"), groups, limit, crowd, 1)
-    crowded, left = leader_links(shared.filter(F.col("n") > crowd).select("key", "id"), groups, limit, crowd, rounds)
-    first = nearest.unionByName(crowded)
-    joined = smallest_labels(groups.select(F.col("fp").alias("node"), F.col("fp").alias("label")), first)
-    few = shared.filter(F.col("n") <= crowd).select("key", "id", "probe").unionByName(left.withColumn("probe", F.lit(True)))
-    few = few.join(joined.select(F.col("node").alias("id"), "label"), "id", "left")
-    few = few.join(groups.select(F.col("fp").alias("id"), "lanes"), "id")
-    few = cut_lineage(few.select("key", "id", "probe", F.coalesce("label", "id").alias("part"), "lanes"))
-    x = few.filter("probe").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("lanes").alias("la"))
-    y = few.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("lanes").alias("lb"))
-    same_first = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= first_limit
-    near = x.join(y, "key").filter((F.col("pa") != F.col("pb")) & same_first & (differing_bits("la", "lb") <= limit))
-    links = cut_lineage(first.unionByName(near.select("a", "b")).distinct())
+    links = links_within_keys(shared.select("key", "id").distinct(), lambda pairs: linked_within(groups, pairs, limit), crowd, rounds)
     found = smallest_labels(groups.select(F.col("fp").alias("node"), "label"), links)
     named = groups.join(found.select(F.col("node").alias("fp"), F.col("label").alias("reached")), "fp", "left")
     named = named.select("fp", "salts", F.coalesce("reached", "label").alias("component_id"))

@@ -21,7 +21,7 @@ from mediaops.llm.lm_scoring import language_model_scores
 from mediaops.llm.mixing import mix_sources
 from mediaops.llm.packing import nnls, pack_documents, plan_windows, sequences
 from mediaops.llm.secrets import find_secrets
-from mediaops.llm.simhash import fingerprint_classes, near_duplicate_classes
+from mediaops.llm.simhash import fingerprint_classes, links_within_keys, near_duplicate_classes
 from mediaops.llm.substring_dedup import remove_repeated_windows
 from mediaops.llm.token_files import decode_planes, encode_planes, read_token_files, write_token_files
 from mediaops.llm.tokens import ChunkEncoder
@@ -274,6 +274,35 @@ def test_near_duplicates(spark, nothing, docs):
     assert near_duplicate_classes(docs).count() == docs.count() and near_duplicate_classes(nothing).count() == 0
 
 
+def test_crowded_keys_lose_no_link(spark):
+    """Copies that are near one base only: one class, however few ids a key may have before it counts as crowded."""
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(4000)}" for _ in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(60):
+        edited = list(base)
+        for at in range(5 * rng.randrange(10), 400, 68):
+            edited[at] = f"edit{i}.{at}"
+        rows.append((i, " ".join(edited)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [dict(near_duplicate_classes(frame, crowd=crowd).collect()) for crowd in (4, 10**9)]
+    assert found[0] == found[1] == {i: 0 for i, _ in rows}
+
+
+def test_links_inside_a_key_need_no_luck(spark):
+    """Stars, chains and strangers in one key and in several."""
+    star = [(i, 90) for i in range(40)]
+    chain = [(i, i + 1) for i in range(100, 130)]
+    keys = [(k, i) for k in (1, 2) for i in [*range(40), 90, *range(100, 131), *range(200, 230)]] + [(3, 200), (3, 300)]
+    links = spark.createDataFrame([*star, *chain, (200, 300)], "a long, b long")
+    frame = spark.createDataFrame(keys, "key long, id long")
+    want = {i: 0 for i in [*range(40), 90]} | {i: 100 for i in range(100, 131)} | {200: 200, 300: 200}
+    for crowd, rounds in ((4, 2), (4, 12), (10**9, 12)):
+        found = links_within_keys(frame, lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), crowd, rounds)
+        nodes = spark.createDataFrame([(i, i) for i in want], "node long, label long")
+        assert dict(smallest_labels(nodes, found).collect()) == want
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i, 100 - i) for i in range(100)] + [(200, None), (201, None)], "node long, label long")
     chain = [(i, i + 1) for i in range(60)] + [(i, 99) for i in range(70, 99)] + [(200, 201)]
