@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from mediaops.llm import golay
 from mediaops.llm.common import partitions, read_table, spread_join, texts
 from mediaops.llm.components import smallest_labels
+from mediaops.llm.exact_dedup import BROADCAST_HASHES
 from mediaops.llm.words import BASES, U64, Words, lower_ascii, mix, single_spaced, text_slices
 from mediaops.plans.staging import cut_lineage
 
@@ -205,34 +205,80 @@ def random_tables(lanes: int, number: int, equal: int, seed: int = 11) -> list[t
     return [(d[:equal], d[equal:]) for d in drawn]
 
 
-def share_of_bits(similarity: float) -> float:
-    """Expected share of differing bits for two sets of equal size with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, id) for keys with a nearest codeword of one id and any codeword of another."""
+    sizes = keys.groupBy("key").agg(F.max("probe").alias("asked"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return keys.join(sizes.filter("asked AND low < high").select("key"), "key").select("key", "id").distinct()
 
 
-def shared_keys(keys: DataFrame, first_limit: int) -> DataFrame:
-    """(key, id, probe, n) for keys with a nearest codeword of one id and any codeword of another; n ids share the key.
+def distinct_shingles(hashes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text sorted, each once, and their number per text."""
+    text = np.repeat(np.arange(len(runs)), runs)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.bincount(text[new], minlength=len(runs))
+
+
+def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits that name the set of each text; zero for an empty one."""
+    out = np.zeros(len(sizes), U64)
+    some = sizes > 0
+    if some.any():
+        begin = (np.cumsum(sizes) - sizes)[some]
+        out[some] = mix(np.add.reduceat(mix(hashes + BASES[1]), begin) + sizes[some].astype(U64))
+    return out
 
-    Two unrelated ids often have a key to themselves.  Such a pair is judged in the aggregate, by its first lanes.
-    """
-    sizes = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("probe").alias("asked"), F.min("id").alias("low"), F.max("id").alias("high")
-    )
-    plausible = (F.col("n") > 2) | (F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= first_limit)
-    sizes = sizes.filter((F.col("n") > 1) & F.col("asked") & plausible)
-    return keys.join(sizes.select("key", "n"), "key")
 
+def hashed_shingles(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the hashes of the distinct shingles of each text and their number."""
+    for rows, data, offsets in text_slices(batch):
+        words = single_spaced(lower_ascii(data), offsets)
+        starts, ends, runs = shingle_spans(words, shingle)
+        yield rows, *distinct_shingles(xxh64(words.data, starts, ends), runs)
+
+
+def set_prints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(doc_id, sha, fp, lanes) for rows (doc_id, text, sha): ``fp`` names the set of shingles, ``lanes`` are its bits."""
+    fields = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("fp", pa.int64()), ("lanes", pa.list_(pa.int64()))])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, hashes, sizes in hashed_shingles(batch, shingle):
+                bits = majority_bits(hashes, sizes, lanes).astype(np.int64)
+                ends = pa.array(np.arange(0, bits.size + 1, lanes), pa.int32())
+                names = pa.array(set_names(hashes, sizes).astype(np.int64))
+                columns = [rows.column(0), rows.column(2), names, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
+
+    return docs.select("doc_id", "text", "sha").mapInArrow(compute, "doc_id long, sha binary, fp long, lanes array<long>")
+
+
+def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, max_broadcast: int = BROADCAST_HASHES) -> DataFrame:
+    """(id, shingles): the distinct hashed shingles of the texts whose ``sha`` is in ``chosen`` (id, sha), a written table."""
+    fields = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, hashes, sizes in hashed_shingles(batch, shingle):
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                sets = pa.ListArray.from_arrays(ends, pa.array(hashes.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), sets], schema=fields)
 
-def differing_bits(la: str, lb: str) -> Column:
-    """Bits that differ between two arrays of lanes."""
-    return F.aggregate(F.zip_with(la, lb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = chosen.count() <= max_broadcast
+    found = docs.join(F.broadcast(chosen) if few else chosen, "sha").groupBy("id").agg(F.first("text").alias("text"))
+    return found.select("id", "text").mapInArrow(compute, "id long, shingles array<long>")
 
 
-def linked_within(prints: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) of which at most ``limit`` bits over all lanes differ; ``prints`` has (fp, lanes)."""
-    met = pairs.join(prints.select(F.col("fp").alias("a"), F.col("lanes").alias("la")), "a")
-    met = met.join(prints.select(F.col("fp").alias("b"), F.col("lanes").alias("lb")), "b")
-    return met.filter(differing_bits("la", "lb") <= limit).select("a", "b")
+def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have at least this Jaccard similarity; ``sets`` has (id, shingles)."""
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    few, many = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    met = met.join(right, "b").filter(few >= many * similarity - 1e-6)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.filter(both * (1 + similarity) >= (F.size("sa") + F.size("sb")) * similarity - 1e-6).select("a", "b")
 
 
 def links_within_keys(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], crowd: int, rounds: int) -> DataFrame:
@@ -291,32 +337,32 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id; texts link when their shingles are similar enough.
 
-    Three bits of 64 mean nearly equal texts.  For a Jaccard similarity of 0.8 about 15 of 100 bits differ, so the
+    Shingles of a text count once.  Three bits of 64 mean nearly equal texts.  For a Jaccard similarity of 0.8 about 15 of 100 bits differ, so the
     fingerprint is longer (``lanes`` times 64 bits) and ``tables`` random tables look for a Golay word within decoding
     distance beside ``equal`` equal bits: pairs at 0.8 to 0.85 are met by 24 tables with a chance of 0.83, pairs at 0.85 to
-    0.9 with 0.95, and above 0.9 with 0.99.  A pair that meets links when, over all lanes, no more bits differ than expected at ``similarity``,
-    plus one standard deviation, so that pairs at the limit count as similar.
+    0.9 with 0.95, and above 0.9 with 0.99.  A pair that meets links when the shingle sets themselves are similar enough.
 
     Keys that one id has alone are dropped first; the others are compared by ``links_within_keys``.
 
-    Texts whose first lane is equal are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
+    Texts with the same set of shingles are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
     rows and an empty table are treated as in ``fingerprint_classes``.
     """
-    total = 64 * lanes
-    expected = share_of_bits(similarity)
-    limit = math.floor(total * expected + math.sqrt(total * expected * (1 - expected)))
-    first_limit = math.floor(64 * expected + 3.5 * math.sqrt(64 * expected * (1 - expected)))
-    prints = fingerprints(docs, shingle, lanes, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows = texts(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    prints = set_prints(rows, shingle, lanes).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     prints = cut_lineage(prints)
-    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("label"), F.min("lanes").alias("lanes"))
+    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("label"), F.min("sha").alias("sha"), F.min("lanes").alias("lanes"))
     groups = cut_lineage(
-        parts.groupBy("fp").agg(F.min("label").alias("label"), F.min("lanes").alias("lanes"), F.collect_set("salt").alias("salts"))
+        parts.groupBy("fp").agg(
+            F.min("label").alias("label"), F.min("sha").alias("sha"), F.min("lanes").alias("lanes"), F.collect_set("salt").alias("salts")
+        )
     )
     # A fingerprint makes some 130 keys: many small tasks keep the partial counts of each small.
     spread = groups.select(F.col("fp").alias("id"), "lanes").repartition(partitions(docs.sparkSession))
     keys = golay_keys(spread, random_tables(lanes, tables, equal))
-    shared = cut_lineage(shared_keys(keys, first_limit))
-    links = links_within_keys(shared.select("key", "id").distinct(), lambda pairs: linked_within(groups, pairs, limit), crowd, rounds)
+    shared = cut_lineage(shared_keys(keys))
+    chosen = cut_lineage(groups.select(F.col("fp").alias("id"), "sha").join(shared.select("id").distinct(), "id"))
+    sets = cut_lineage(shingle_sets(rows, chosen, shingle))
+    links = links_within_keys(shared, lambda pairs: similar_pairs(sets, pairs, similarity), crowd, rounds)
     found = smallest_labels(groups.select(F.col("fp").alias("node"), "label"), links)
     named = groups.join(found.select(F.col("node").alias("fp"), F.col("label").alias("reached")), "fp", "left")
     named = named.select("fp", "salts", F.coalesce("reached", "label").alias("component_id"))

@@ -303,6 +303,23 @@ def test_links_inside_a_key_need_no_luck(spark):
         assert dict(smallest_labels(nodes, found).collect()) == want
 
 
+def jaccard(s, t, shingle=5):
+    s, t = ({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} for w in (s.split(), t.split()))
+    return len(s & t) / len(s | t)
+
+
+def test_near_duplicates_by_sets(spark):
+    """A line that both texts repeat counts once, and so do its repeats in only one of them."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    line, own = words(10), words(300)
+    rows = [(i, " ".join([line] * 12 + [words(200)])) for i in range(8)]
+    rows += [(20, " ".join([own, line, line])), (21, " ".join([own] + [line] * 40))]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[8][1], rows[9][1]) > 0.95
+    got = dict(near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {**{i: i for i in range(8)}, 20: 20, 21: 20}
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i, 100 - i) for i in range(100)] + [(200, None), (201, None)], "node long, label long")
     chain = [(i, i + 1) for i in range(60)] + [(i, 99) for i in range(70, 99)] + [(200, 201)]
