@@ -1,7 +1,8 @@
-"""SimHash near duplicates found through Golay-code keys of fingerprint segments."""
+"""SimHash near duplicates found through Golay-code keys of fingerprint segments; similar sets of shingles found by minima."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm import golay
-from mediaops.llm.common import partitions, read_table, spread_join, texts
+from mediaops.llm.common import read_table, spread_join, texts
 from mediaops.llm.components import smallest_labels
 from mediaops.llm.exact_dedup import BROADCAST_HASHES
 from mediaops.llm.words import BASES, U64, Words, lower_ascii, mix, single_spaced, text_slices
@@ -19,6 +20,7 @@ from mediaops.plans.staging import cut_lineage
 
 SALTS = 64
 SEED = 42
+BAND = 5  # minima in a key: sets at a similarity of 0.8 share a band with a chance of 0.33, at 0.3 with 0.002
 # Fixed values of XXH64.
 P1, P2, P3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 P4, P5 = U64(0x85EBCA77C2B2AE63), U64(0x27D4EB2F165667C5)
@@ -198,17 +200,27 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id
     return spread_join(prints, named, "fp", "salt").select("doc_id", "fp", "component_id")
 
 
-def random_tables(lanes: int, number: int, equal: int, seed: int = 11) -> list[tuple[list[int], list[int]]]:
-    """Tables of ``equal`` bits and a Golay word, drawn from all bits of all lanes."""
-    rng = np.random.default_rng(seed)
-    drawn = [rng.permutation(64 * lanes)[: equal + golay.BITS].tolist() for _ in range(number)]
-    return [(d[:equal], d[equal:]) for d in drawn]
+def bands_needed(similarity: float, size: int = BAND, missed: float = 1e-5) -> int:
+    """Bands of ``size`` minima each that two sets of this Jaccard similarity have none of in common with a chance of ``missed``."""
+    return math.ceil(math.log(missed) / math.log1p(-min(similarity, 0.99) ** size))
+
+
+def band_keys(hashes: np.ndarray, sizes: np.ndarray, bands: int, size: int = BAND, seed: int = 11) -> np.ndarray:
+    """Keys (sets x bands) of sets of hashes, none of them empty: a band combines the least hash under ``size`` orders each."""
+    orders = np.random.default_rng(seed).integers(0, 2**63, (bands, size), dtype=np.uint64) * U64(2) + U64(1)
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), bands), U64)
+    for band in range(bands if len(sizes) else 0):
+        out[:, band] = U64(band)
+        for order in orders[band]:
+            out[:, band] = mix(out[:, band] * BASES[2] + np.minimum.reduceat(hashes * order, begin))
+    return out
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, id) for keys with a nearest codeword of one id and any codeword of another."""
-    sizes = keys.groupBy("key").agg(F.max("probe").alias("asked"), F.min("id").alias("low"), F.max("id").alias("high"))
-    return keys.join(sizes.filter("asked AND low < high").select("key"), "key").select("key", "id").distinct()
+    """Those of the rows (key, id) whose key another id has too."""
+    sizes = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return keys.join(sizes.filter("low < high").select("key"), "key")
 
 
 def distinct_shingles(hashes: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,20 +251,20 @@ def hashed_shingles(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[pa.Re
         yield rows, *distinct_shingles(xxh64(words.data, starts, ends), runs)
 
 
-def set_prints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
-    """(doc_id, sha, fp, lanes) for rows (doc_id, text, sha): ``fp`` names the set of shingles, ``lanes`` are its bits."""
-    fields = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("fp", pa.int64()), ("lanes", pa.list_(pa.int64()))])
+def set_prints(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """(doc_id, sha, fp, keys) for rows (doc_id, text, sha): ``fp`` names the set of shingles, ``keys`` are those of its bands."""
+    fields = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, hashes, sizes in hashed_shingles(batch, shingle):
-                bits = majority_bits(hashes, sizes, lanes).astype(np.int64)
-                ends = pa.array(np.arange(0, bits.size + 1, lanes), pa.int32())
+                keys = band_keys(hashes, sizes[sizes > 0], bands).astype(np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes > 0)]) * bands, pa.int32())
                 names = pa.array(set_names(hashes, sizes).astype(np.int64))
-                columns = [rows.column(0), rows.column(2), names, pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))]
+                columns = [rows.column(0), rows.column(2), names, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))]
                 yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
-    return docs.select("doc_id", "text", "sha").mapInArrow(compute, "doc_id long, sha binary, fp long, lanes array<long>")
+    return docs.select("doc_id", "text", "sha").mapInArrow(compute, "doc_id long, sha binary, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, max_broadcast: int = BROADCAST_HASHES) -> DataFrame:
@@ -332,15 +344,13 @@ def _with_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 13, tables: int = 24, equal: int = 12,
-    crowd: int = 256, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 256, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id; texts link when their shingles are similar enough.
 
-    Shingles of a text count once.  Three bits of 64 mean nearly equal texts.  For a Jaccard similarity of 0.8 about 15 of 100 bits differ, so the
-    fingerprint is longer (``lanes`` times 64 bits) and ``tables`` random tables look for a Golay word within decoding
-    distance beside ``equal`` equal bits: pairs at 0.8 to 0.85 are met by 24 tables with a chance of 0.83, pairs at 0.85 to
-    0.9 with 0.95, and above 0.9 with 0.99.  A pair that meets links when the shingle sets themselves are similar enough.
+    Shingles of a text count once.  Candidates share a band of minima (``band_keys``); as many bands are made that a pair at
+    ``similarity`` shares none with a chance of 1e-5, and nearer pairs with less.  Candidates link when the Jaccard
+    similarity of the sets themselves is at least ``similarity``.
 
     Keys that one id has alone are dropped first; the others are compared by ``links_within_keys``.
 
@@ -348,18 +358,15 @@ def near_duplicate_classes(
     rows and an empty table are treated as in ``fingerprint_classes``.
     """
     rows = texts(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    prints = set_prints(rows, shingle, lanes).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    prints = set_prints(rows, shingle, bands_needed(similarity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     prints = cut_lineage(prints)
-    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("label"), F.min("sha").alias("sha"), F.min("lanes").alias("lanes"))
+    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("label"), F.min("sha").alias("sha"), F.min("keys").alias("keys"))
     groups = cut_lineage(
         parts.groupBy("fp").agg(
-            F.min("label").alias("label"), F.min("sha").alias("sha"), F.min("lanes").alias("lanes"), F.collect_set("salt").alias("salts")
+            F.min("label").alias("label"), F.min("sha").alias("sha"), F.min("keys").alias("keys"), F.collect_set("salt").alias("salts")
         )
     )
-    # A fingerprint makes some 130 keys: many small tasks keep the partial counts of each small.
-    spread = groups.select(F.col("fp").alias("id"), "lanes").repartition(partitions(docs.sparkSession))
-    keys = golay_keys(spread, random_tables(lanes, tables, equal))
-    shared = cut_lineage(shared_keys(keys))
+    shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
     chosen = cut_lineage(groups.select(F.col("fp").alias("id"), "sha").join(shared.select("id").distinct(), "id"))
     sets = cut_lineage(shingle_sets(rows, chosen, shingle))
     links = links_within_keys(shared, lambda pairs: similar_pairs(sets, pairs, similarity), crowd, rounds)

@@ -320,6 +320,24 @@ def test_near_duplicates_by_sets(spark):
     assert got == {**{i: i for i in range(8)}, 20: 20, 21: 20}
 
 
+def test_near_duplicates_at_the_limit_are_met(spark):
+    """Every lone pair at 0.80 to 0.85 is found, and none below 0.8."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(400):
+        w = [f"v{rng.randrange(20000)}" for _ in range(rng.randrange(150, 300))]
+        changed = list(w)
+        share = 0.02 if k % 4 else 0.027
+        for n in range(round(share * len(w))):
+            changed[min(int((n + 0.5) / share), len(w) - 1)] = f"new{rng.random()}"
+        s, t = " ".join(w), " ".join(changed)
+        rows += [(2 * k, s), (2 * k + 1, t)]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if jaccard(s, t) >= 0.8 else 2 * k + 1}
+    near = [jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(400)]
+    assert sum(0.8 <= j < 0.85 for j in near) >= 200 and sum(0.7 < j < 0.8 for j in near) >= 50
+    assert dict(near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i, 100 - i) for i in range(100)] + [(200, None), (201, None)], "node long, label long")
     chain = [(i, i + 1) for i in range(60)] + [(i, 99) for i in range(70, 99)] + [(200, 201)]
