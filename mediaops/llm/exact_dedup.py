@@ -74,7 +74,11 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str =
     Rows that repeat the id and the text of a row that stays are dropped too: one of them stays.
     """
     found = cut_lineage(exact_duplicates(docs, id_col, text_col, keep).withColumn("_sha", F.unhex("text_sha256")))
-    named = found.select(F.col("doc_id").alias("_id"), "_sha", "kept")
+    return rows_that_stay(docs, found.select(F.col("doc_id").alias("_id"), "_sha", "kept"), id_col, text_col)
+
+
+def rows_that_stay(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``named`` (_id, _sha, kept), a written table, keeps, and one of rows that repeat both."""
     rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     rows = rows.withColumn("_id", F.col(id_col).cast("long"))
     left = without(rows, cut_lineage(named.filter("not kept").select("_id", "_sha").distinct()), ["_id", "_sha"])

@@ -343,6 +343,35 @@ def _with_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.withColumn("label", F.col("node")), links
 
 
+def near_duplicate_rows(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 256, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """As ``near_duplicate_classes``, with the text's sha256 as ``sha`` and whether the row is ``kept``.
+
+    A class keeps the smallest id, of equal ids (or without any) the least hash; rows that repeat both are all ``kept``.
+    """
+    rows = texts(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    prints = set_prints(rows, shingle, bands_needed(similarity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    prints = cut_lineage(prints)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("best")
+    parts = prints.groupBy("fp", "salt").agg(best, F.min("keys").alias("keys"))
+    groups = cut_lineage(
+        parts.groupBy("fp").agg(F.min("best").alias("best"), F.min("keys").alias("keys"), F.collect_set("salt").alias("salts"))
+    )
+    shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
+    chosen = groups.select(F.col("fp").alias("id"), F.col("best.sha").alias("sha")).join(shared.select("id").distinct(), "id")
+    sets = cut_lineage(shingle_sets(rows, cut_lineage(chosen), shingle))
+    links = links_within_keys(shared, lambda pairs: similar_pairs(sets, pairs, similarity), crowd, rounds)
+    # Classes are named by a fingerprint: ids may be null or stand for several texts.
+    found = smallest_labels(*_with_nodes(links)).select(F.col("node").alias("fp"), "label")
+    named = groups.drop("keys").join(found, "fp", "left").withColumn("class", F.coalesce("label", "fp"))
+    first = named.filter("label IS NOT NULL").groupBy("class").agg(F.min("best").alias("first"))
+    named = named.join(first, "class", "left").select("fp", "salts", F.coalesce("first", "best").alias("best"))
+    out = spread_join(prints.select("doc_id", "sha", "fp", "salt"), named, "fp", "salt")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sha") == F.col("best.sha"))
+    return out.select("doc_id", "sha", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+
+
 def near_duplicate_classes(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 256, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -357,23 +386,8 @@ def near_duplicate_classes(
     Texts with the same set of shingles are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
     rows and an empty table are treated as in ``fingerprint_classes``.
     """
-    rows = texts(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    prints = set_prints(rows, shingle, bands_needed(similarity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    prints = cut_lineage(prints)
-    parts = prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("label"), F.min("sha").alias("sha"), F.min("keys").alias("keys"))
-    groups = cut_lineage(
-        parts.groupBy("fp").agg(
-            F.min("label").alias("label"), F.min("sha").alias("sha"), F.min("keys").alias("keys"), F.collect_set("salt").alias("salts")
-        )
-    )
-    shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
-    chosen = cut_lineage(groups.select(F.col("fp").alias("id"), "sha").join(shared.select("id").distinct(), "id"))
-    sets = cut_lineage(shingle_sets(rows, chosen, shingle))
-    links = links_within_keys(shared, lambda pairs: similar_pairs(sets, pairs, similarity), crowd, rounds)
-    found = smallest_labels(groups.select(F.col("fp").alias("node"), "label"), links)
-    named = groups.join(found.select(F.col("node").alias("fp"), F.col("label").alias("reached")), "fp", "left")
-    named = named.select("fp", "salts", F.coalesce("reached", "label").alias("component_id"))
-    return spread_join(prints.select("doc_id", "fp", "salt"), named, "fp", "salt").select("doc_id", "component_id")
+    found = near_duplicate_rows(docs, shingle, similarity, crowd, rounds, id_col, text_col)
+    return found.select("doc_id", "component_id")
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:

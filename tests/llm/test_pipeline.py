@@ -1,6 +1,7 @@
 """The pipeline on a small corpus with planted cases, and on tables with awkward rows."""
 
 import collections
+import hashlib
 import random
 
 import corpus_pipeline
@@ -77,6 +78,24 @@ def test_awkward_tables(spark, tmp_path, rows):
     docs.collect()
 
 
+def test_near_dedup_by_rows(spark):
+    """One row of each class stays, whatever null and repeated ids there are, and no other row goes."""
+    rng = random.Random(3)
+    groups = []
+    for _ in range(8):
+        w = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        groups.append([" ".join(w), " ".join([*w[:-1], "edited"]), " ".join(["edited", *w[1:]])])
+    a, b, c, d, e, f, g, h = groups
+    rows = [(None, a[0]), (1, a[1]), (None, b[0]), (None, c[0]), (None, c[1]), (None, c[2])]  # null ids: near an id, alone, near each other
+    rows += [(5, d[0]), (5, d[1]), (7, e[0]), (7, f[0]), (6, f[1]), (9, g[0]), (9, g[0]), (10, g[1])]  # repeated ids
+    rows += [(7, h[0]), (8, h[1]), (None, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    least = lambda texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = [(1, a[1]), (None, b[0]), (None, least(c)), (5, least(d[:2])), (7, e[0]), (6, f[1]), (9, g[0]), (7, h[0]), (11, "")]
+    assert got == collections.Counter(want)
+
+
 def test_eleven_queries():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)} and len(QUERIES) == 10
     assert set(ORACLES) <= set(QUERIES)
