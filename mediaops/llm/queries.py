@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mediaops.llm.ann_search import op4_ann_search
 from mediaops.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from mediaops.llm.lexical_search import OP11_SQL, op11_lexical_search
 from mediaops.llm.lm_scoring import op6_lm_scoring
 from mediaops.llm.mixing import OP8_SQL, op8_mix_sources
 from mediaops.llm.packing import op2_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
 }
 
-ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op11_lexical_search": OP11_SQL}
