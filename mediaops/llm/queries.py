@@ -10,6 +10,7 @@ from mediaops.llm.mixing import OP8_SQL, op8_mix_sources
 from mediaops.llm.packing import op2_packing
 from mediaops.llm.secrets import op1_secret_scan
 from mediaops.llm.simhash import op5_simhash_dedup
+from mediaops.llm.spelling import OP12_SQL, op12_spelling_variants
 from mediaops.llm.substring_dedup import op3_substring_dedup
 from mediaops.llm.token_files import op9_token_files
 from mediaops.llm.toxicity import op10_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
-ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op11_lexical_search": OP11_SQL}
+ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_spelling_variants": OP12_SQL}
