@@ -14,6 +14,7 @@ from mediaops.llm.spelling import OP12_SQL, op12_spelling_variants
 from mediaops.llm.substring_dedup import op3_substring_dedup
 from mediaops.llm.token_files import op9_token_files
 from mediaops.llm.toxicity import op10_toxicity
+from mediaops.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -28,6 +29,13 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc": op13_warc,
 }
 
-ORACLES = {"op7_exact_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_spelling_variants": OP12_SQL}
+ORACLES = {
+    "op7_exact_dedup": OP7_SQL,
+    "op8_mix_sources": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_warc": OP13_SQL,
+}
