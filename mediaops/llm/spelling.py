@@ -126,7 +126,7 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         rows = rows.withColumn("block", F.explode(F.when(asking, every).otherwise(F.array(own))))
         rows = rows.withColumn("asker", F.explode(F.when(asking, F.array(own)).otherwise(every))).drop("grid")
     shard = F.pmod(F.xxhash64("length", "key", "block", "asker"), F.lit(shards))
-    dealt = rows.select("left", shard.alias("shard"), "word", "n", "change")
+    dealt = rows.select("left", shard.alias("shard"), "block", "asker", "word", "n", "change")
     fields = pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.int64())])
 
     def search(table: pa.Table) -> pa.Table:
@@ -145,7 +145,8 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         columns = [[w for w, _ in pairs], [v for _, v in pairs], [entries[v] for _, v in pairs]]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    return dealt.groupBy("left", "shard").applyInArrow(search, "word string, near string, near_n long")
+    # A word has one block and one asker a deal, so with these in the key each pair meets once.
+    return dealt.groupBy("left", "shard", "block", "asker").applyInArrow(search, "word string, near string, near_n long")
 
 
 def follow(forms: DataFrame) -> DataFrame:
@@ -172,7 +173,8 @@ def spelling_variants(
     multiple of it (0: never).
 
     A null text has no words, a null id reads ``null`` in the checksum.  Rows that repeat an id or a text are all
-    counted.  Texts are one unit of work each, of any length; words may have any length.  An empty table gives an empty
+    counted.  Texts are one unit of work each, of any length; a word may
+    have any length too, its search takes a step per letter.  An empty table gives an empty
     result; other columns are ignored.
     """
     counted = count_words(texts(docs, id_col, text_col), least_points, damage)
