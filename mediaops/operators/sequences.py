@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mediaops.plans.slices import MAX_GROUP_ROWS, has_large_group, running_sum, with_previous
+from mediaops.plans.slices import MAX_GROUP_ROWS, SLICE, has_large_group, running_sum, slice_by_order, with_previous
+from mediaops.plans.staging import cut_lineage
 
 JOIN_GAP = 0.5
+GAP = int(JOIN_GAP * 1_000_000)
+KEEP = GAP + 1_000_000
+NO_DIR = "\x00"  # stands for a null directory where slices are paired by equality
 
 
 def file_clock(stem: Column) -> tuple[Column, Column]:
@@ -35,64 +39,170 @@ def parse_file_names(files: DataFrame, name: str = "name") -> DataFrame:
     return files.withColumn("stem", stem).withColumn("taken_at", stamp).withColumn("frame_no", frame)
 
 
+class OpenSequences:
+    """Open sequences of one directory, looked up by their last frame number, in the order in which they were opened.
+
+    A sequence is [last frame, its time, rank, stills so far, name of the first still].  Times in name order step back
+    by less than a second (names of 15 and 16 digits have no milliseconds), so what is older than ``KEEP`` is over.
+    """
+
+    def __init__(self, over: list[list] | None = None) -> None:
+        self.by_frame: dict[int, list[list]] = {}
+        self.opened = self.taken = 0
+        self.over = over  # where sequences go that are forgotten
+
+    def _live(self, held: list[list], at: int) -> list[list]:
+        if self.over is not None:
+            self.over += [s for s in held if at - s[1] > KEEP]
+        return [s for s in held if at - s[1] <= KEEP]
+
+    def open(self, frame: int, at: int, count: int, name: str | None) -> list:
+        sequence = [frame, at, self.opened, count, name]
+        self.opened += 1
+        self._put(sequence)
+        return sequence
+
+    def _put(self, sequence: list) -> None:
+        bisect.insort(self.by_frame.setdefault(sequence[0], []), sequence, key=lambda s: s[2])
+
+    def take(self, frame: int, at: int, name: str) -> list:
+        """The sequence that a still joins, now with it."""
+        self.taken += 1
+        if self.taken % 10_000 == 0:
+            self.by_frame = {f: kept for f, held in self.by_frame.items() if (kept := self._live(held, at))}
+        held = self.by_frame.get(frame - 1, []) if frame > 1 else []
+        place = next((i for i, s in enumerate(held) if abs(at - s[1]) <= GAP), None)
+        if place is None:
+            sequence = self.open(frame, at, 1, name)
+        else:
+            sequence = held.pop(place)
+            sequence[0], sequence[1], sequence[3] = frame, at, sequence[3] + 1
+            self._put(sequence)
+        if place is None and len(held) > 16 or place is not None and place > 16:
+            held[:] = self._live(held, at)
+        return sequence
+
+    def live(self, at: int) -> list[list]:
+        return sorted((s for held in self.by_frame.values() for s in held if at - s[1] <= KEEP), key=lambda s: s[2])
+
+
+STILL = "dir string, name string, at long, frame_no long, sequence_id string, pos long"
+OPEN = "array<struct<frame:long,at:long,ref:long,added:long,name:string>>"
+
+
 def build_sequences(files: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Give every still of a directory its sequence: rows (dir, name, taken_at, frame_no, sequence_id, pos).
 
     In name order, frame 1 opens a sequence; frame n > 1 joins the first open sequence whose
-    last frame is n - 1, at most half a second before, else opens one itself.  Names without
-    a clock stand alone.  ``sequence_id`` is the name of the sequence's first file.
+    last frame is n - 1, at most half a second before or after, else opens one itself.  Names
+    without a clock stand alone.  ``sequence_id`` is the name of the sequence's first file.
 
-    A pause of more than half a second closes every open sequence, so a directory falls into
-    independent runs.  The fold streams over rows sorted by (dir, run, name) and remembers
-    only sequences of the last half second.
+    Directories of at most ``max_rows`` stills are folded as sorted streams.  A larger one is cut
+    into slices of names, see ``_sliced_sequences``; neither a directory nor an endless chain of
+    stills is bound to one task.
     """
-    clocked = files.filter(F.col("taken_at").isNotNull() & F.col("frame_no").isNotNull())
-    alone = files.filter(F.col("taken_at").isNull() | F.col("frame_no").isNull()).select(
+    has_clock = F.col("taken_at").isNotNull() & F.col("frame_no").isNotNull()
+    alone = files.filter(~has_clock).select(
         "dir", "name", "taken_at", "frame_no", F.col("name").alias("sequence_id"), F.lit(1).cast("long").alias("pos")
     )
-    clocked = clocked.withColumn("at", F.unix_micros("taken_at"))
-    large = has_large_group(files, ["dir"], max_rows)
-    seen = with_previous(clocked, ["dir"], ["name"], ["at"], max_rows=max_rows, large=large)
-    gap = int(JOIN_GAP * 1_000_000)
-    starts = F.when(F.abs(F.col("at") - F.col("prev_at")) <= gap, 0).otherwise(1)
-    runs = running_sum(seen, ["dir"], ["name"], starts, "run", max_rows, large)
-    schema = T.StructType(
-        [
-            T.StructField("dir", T.StringType()), T.StructField("name", T.StringType()),
-            T.StructField("at", T.LongType()), T.StructField("frame_no", T.LongType()),
-            T.StructField("sequence_id", T.StringType()), T.StructField("pos", T.LongType()),
-        ]
-    )
+    clocked = files.filter(has_clock).select("dir", "name", F.unix_micros("taken_at").alias("at"), "frame_no")
+    crowded = clocked.groupBy("dir").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select("dir")
+    crowded = cut_lineage(crowded)  # at most one row per ``max_rows`` stills
+    if crowded.isEmpty():
+        joined = _streamed_sequences(clocked)
+    else:
+        apart = clocked.join(F.broadcast(crowded.withColumn("_large", F.lit(True))), clocked["dir"].eqNullSafe(crowded["dir"]), "left").drop(crowded["dir"])
+        small = apart.filter("_large is null").drop("_large")
+        joined = _streamed_sequences(small).unionByName(_sliced_sequences(apart.filter("_large").drop("_large"), max_rows))
+    return joined.select("dir", "name", F.timestamp_micros("at").alias("taken_at"), "frame_no", "sequence_id", "pos").unionByName(alone)
+
+
+def _streamed_sequences(clocked: DataFrame) -> DataFrame:
+    """The fold over rows sorted by (dir, name); remembers the sequences of the last moments of one directory."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, open_ = None, []
+        last, known = (), OpenSequences()
         for pdf in batches:
             ids, places = [], []
-            for d, r, name, at, frame in zip(pdf["dir"], pdf["run"], pdf["name"], pdf["at"], pdf["frame_no"]):
-                if (d, r) != run:
-                    run, open_ = (d, r), []
-                open_ = [s for s in open_ if abs(at - s[1]) <= gap]
-                match = next((s for s in open_ if frame > 1 and s[0] == frame - 1), None)
-                if match is None:
-                    match = [frame, at, name, 0]
-                    open_.append(match)
-                match[0], match[1], match[3] = frame, at, match[3] + 1
-                ids.append(match[2])
-                places.append(match[3])
-            yield pd.DataFrame(
-                {"dir": pdf["dir"], "name": pdf["name"], "at": pdf["at"], "frame_no": pdf["frame_no"],
-                 "sequence_id": ids, "pos": places}
-            )
-
-    ordered = (
-        runs.select("dir", "run", "name", "at", "frame_no")
-        .repartition("dir", "run")
-        .sortWithinPartitions("dir", "run", "name")
-    )
-    joined = ordered.mapInPandas(fold, schema).select(
-        "dir", "name", F.timestamp_micros("at").alias("taken_at"), "frame_no", "sequence_id", "pos"
-    )
-    return joined.unionByName(alone)
+            for d, name, at, frame in zip(pdf["dir"], pdf["name"], pdf["at"], pdf["frame_no"]):
+                if (d,) != last:
+                    last, known = (d,), OpenSequences()
+                sequence = known.take(frame, at, name)
+                ids.append(sequence[4])
+                places.append(sequence[3])
+            yield pdf.assign(sequence_id=ids, pos=places)
+
+    ordered = clocked.repartition("dir").sortWithinPartitions("dir", "name")
+    return ordered.mapInPandas(fold, STILL)
+
+
+def _sliced_sequences(clocked: DataFrame, max_rows: int) -> DataFrame:
+    """Sequences of large directories, folded slice by slice of names.
+
+    A slice is entered with the open sequences (last frame, time) that the one before left.  First all slices are
+    folded as if entered with none; then those whose predecessor turned out to leave something else are folded again,
+    until nothing changes.  What enters is forgotten after a pause of half a second or when the frames that could tell
+    sequences apart have passed, so the second round is the last unless a chain depends on its start over whole slices;
+    each round fixes at least one more slice of a directory.  Names and counts do not decide anything: they follow the
+    sequences through the slices afterwards, from one row per slice.
+    """
+    on = ["dir", SLICE]
+    sliced, _ = slice_by_order(clocked, ["dir"], ["name"], max_rows, large=True)
+    nothing = F.array().cast("array<struct<frame:long,at:long>>")
+
+    def enter(entry) -> tuple[OpenSequences, int]:
+        known = OpenSequences()
+        for s in entry:
+            known.open(s["frame"], s["at"], 0, None)
+        return known, known.opened
+
+    def leave(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        columns = ["dir", SLICE, "entry", "left"]
+        if rows.empty or entries.empty:
+            return pd.DataFrame(columns=columns)
+        rows, entry = rows.sort_values("name", kind="stable"), list(entries["entry"].iloc[0])
+        known, _ = enter(entry)
+        for name, at, frame in zip(rows["name"], rows["at"], rows["frame_no"]):
+            known.take(int(frame), int(at), name)
+        left = [{"frame": f, "at": t, "ref": ref, "added": n, "name": name} for f, t, ref, n, name in known.live(int(rows["at"].iloc[-1]))]
+        return pd.DataFrame([[*key, [{"frame": s["frame"], "at": s["at"]} for s in entry], left]], columns=columns)
+
+    def folded(entries: DataFrame) -> DataFrame:
+        rows = sliced.join(F.broadcast(entries.select(*on)), on, "left_semi") if entries is not first else sliced
+        both = rows.groupBy(*on).cogroup(entries.groupBy(*on))
+        return cut_lineage(both.applyInPandas(leave, f"dir string, {SLICE} int, entry array<struct<frame:long,at:long>>, left {OPEN}"))
+
+    sliced = sliced.withColumn("dir", F.coalesce("dir", F.lit(NO_DIR)))
+    first = cut_lineage(sliced.select(*on).distinct().withColumn("entry", nothing))  # a few rows per slice of the table
+    state = folded(first)
+    while True:
+        before = F.lag("left").over(Window.partitionBy("dir").orderBy(SLICE))
+        wanted = F.coalesce(F.transform(before, lambda s: F.struct(s["frame"].alias("frame"), s["at"].alias("at"))), nothing)
+        checked = cut_lineage(state.withColumn("wanted", wanted))
+        wrong = checked.filter("entry <> wanted").select(*on, F.col("wanted").alias("entry"))
+        if wrong.isEmpty():
+            break
+        state = checked.filter("entry = wanted").select(*on, "entry", "left").unionByName(folded(wrong))
+
+    def name_entries(key: tuple, slices: pd.DataFrame) -> pd.DataFrame:
+        named, rows = [], []
+        for number, entry, left in slices.sort_values(SLICE)[[SLICE, "entry", "left"]].itertuples(index=False):
+            rows.append([key[0], number, [{**s, "added": n, "name": name} for s, (name, n) in zip(entry, named)]])
+            named = [(s["name"], s["added"]) if s["ref"] >= len(entry) else (named[s["ref"]][0], named[s["ref"]][1] + s["added"]) for s in left]
+        return pd.DataFrame(rows, columns=["dir", SLICE, "entry"])
+
+    entries = state.groupBy("dir").applyInPandas(name_entries, f"dir string, {SLICE} int, entry array<struct<frame:long,at:long,added:long,name:string>>")
+
+    def walk(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        rows, known = rows.sort_values("name", kind="stable"), OpenSequences()
+        for s in entries["entry"].iloc[0]:
+            known.open(s["frame"], s["at"], s["added"], s["name"])
+        found = [known.take(int(f), int(t), n)[3:] for n, t, f in zip(rows["name"], rows["at"], rows["frame_no"])]
+        found = [tuple(x) for x in found]
+        return rows[["dir", "name", "at", "frame_no"]].assign(sequence_id=[x[1] for x in found], pos=[x[0] for x in found])
+
+    walked = sliced.groupBy(*on).cogroup(cut_lineage(entries).groupBy(*on)).applyInPandas(walk, STILL)
+    return walked.withColumn("dir", F.when(F.col("dir") != NO_DIR, F.col("dir")))
 
 
 def simple_sequences(files: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:

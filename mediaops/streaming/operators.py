@@ -1,16 +1,15 @@
 """One-pass operators on streams.
 
 State is kept per media (or per directory) and bounded by what the operator needs: windows
-close with the watermark, counters and last labels are single values, and online clustering
-keeps one vector per entity.  Rows of one key inside a micro-batch are ordered before they
-are folded, so ordered input gives the batch result.
+close with the watermark, counters and last labels are single values.  Rows of one key inside a
+micro-batch are ordered before they are folded, so ordered input gives the batch result.
+Operators with lists, maps and timers in their state are in ``stateful`` and ``sequences``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def second_events(detections: DataFrame, lateness: str = "10 seconds", width: str = "1 second") -> DataFrame:
-    """Detections per media and second (event time ``ts``); rows later than ``lateness`` are dropped."""
+    """Detections per media and second (event time ``ts``); rows later than ``lateness`` are dropped.
+
+    ``stateful.second_events_and_late_rows`` gives those rows too, at the price of Python state.
+    """
     item = F.struct("frame_no", "label")
     return (
         detections.withWatermark("ts", lateness)
@@ -32,29 +34,6 @@ def second_events(detections: DataFrame, lateness: str = "10 seconds", width: st
     )
 
 
-def sliding_segments(
-    utterances: DataFrame, lateness: str = "1 minute", length: int = 50, hop: int = 35, origin: str = "1970-01-01"
-) -> DataFrame:
-    """Utterances per overlapping segment of each media, segments counted from media time 0.
-
-    ``ts`` is ``origin`` plus the media time, so segments are aligned to the media start;
-    windows that begin before it are left out.
-    """
-    zero = F.lit(origin).cast("timestamp")
-    offset = int(pd.Timestamp(origin).timestamp()) % hop
-    window = F.window("ts", f"{length} seconds", f"{hop} seconds", f"{offset} seconds")
-    return (
-        utterances.withWatermark("ts", lateness)
-        .groupBy("media", window.alias("w"))
-        .agg(F.count(F.lit(1)).alias("utterances"), F.sum(F.length("text")).alias("chars"))
-        .filter(F.col("w.start") >= zero)
-        .select(
-            "media", ((F.col("w.start").cast("double") - zero.cast("double")) / hop).cast("long").alias("segment_index"),
-            "utterances", "chars",
-        )
-    )
-
-
 def quiet_sessions(files: DataFrame, lateness: str = "10 seconds", gap: str = "500 milliseconds") -> DataFrame:
     """Runs of stills per directory with pauses of at most ``gap``; a run is emitted once it is over."""
     return (
@@ -125,33 +104,6 @@ def frame_batches(frames: DataFrame, size: int = 3) -> DataFrame:
     )
 
 
-def online_clusters(detections: DataFrame, threshold: float, policy: str = "best") -> DataFrame:
-    """Entities per media as in the batch rule, one representative vector per entity as state."""
-
-    def step(key: tuple, pdf: pd.DataFrame, state: tuple | None):
-        dim = state[0] if state else len(pdf["embedding"].iloc[0])
-        known = list(np.asarray(state[1], dtype=np.float64).reshape(-1, dim)) if state else []
-        numbers = []
-        for vector in pdf["embedding"]:
-            u = np.asarray(vector, dtype=np.float64)
-            norm = np.linalg.norm(u)
-            u = u / norm if norm > 0 else u
-            sims = np.round(np.asarray(known) @ u, 12) if known else np.empty(0)
-            if sims.size and sims.max() >= threshold:
-                at = int(sims.argmax() if policy == "best" else np.argmax(sims >= threshold))
-            else:
-                known.append(u)
-                at = len(known) - 1
-            numbers.append(at + 1)
-        out = pd.DataFrame({"media": pdf["media"], "id": pdf["id"], "entity_no": numbers})
-        return out, (dim, np.concatenate(known).tolist())
-
-    return keyed_fold(
-        detections.select("media", "id", "t", "embedding").filter("embedding is not null"), ["media"], ["t", "id"], step,
-        "media long, id long, entity_no long", "dim int, vectors array<double>",
-    )
-
-
 def upsert_batches(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands every micro-batch to ``merge`` (an idempotent table upsert)."""
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

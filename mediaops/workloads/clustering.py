@@ -11,12 +11,31 @@ def rows(spark, sf):
     return R.vectors(spark, sf).select("media", "id", "t", "embedding")
 
 
-@query("c2_online_clusters_best")
+def online_sql(policy: str, digits: int = 0) -> str:
+    """The one-pass rule as a recursion over the rows of each media; the known entities travel as a list of vectors."""
+    hit = {
+        "best": "CASE WHEN list_max(sims) >= 0.3 THEN list_position(sims, list_max(sims)) END",
+        "first": "nullif(list_position(list_transform(sims, lambda x: x >= 0.3), true), 0)",
+    }[policy]
+    entity = f", 'person_' || CASE WHEN no < {10**digits} THEN lpad(CAST(no AS VARCHAR), {digits}, '0') ELSE CAST(no AS VARCHAR) END AS entity_id" if digits else ""
+    return f"""WITH RECURSIVE {R.VEC_SQL},
+u AS (SELECT media, id, row_number() OVER (PARTITION BY media ORDER BY t, id) AS i, sqrt(list_dot_product(embedding, embedding)) AS norm, embedding FROM vec WHERE embedding IS NOT NULL),
+n AS (SELECT media, id, i, list_transform(embedding, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE x END) AS e FROM u),
+walk AS (
+  SELECT media, id, i, CAST(1 AS BIGINT) AS no, [e] AS known FROM n WHERE i = 1
+  UNION ALL
+  SELECT media, id, i, coalesce(hit, len(known) + 1), CASE WHEN hit IS NULL THEN list_append(known, e) ELSE known END
+  FROM (SELECT *, {hit} AS hit FROM (SELECT n.*, known, list_transform(known, lambda k: round(list_dot_product(k, n.e), 12)) AS sims
+    FROM walk JOIN n ON n.media = walk.media AND n.i = walk.i + 1)))
+SELECT media, id, no AS entity_no{entity} FROM walk"""
+
+
+@query("c2_online_clusters_best", online_sql("best", 3))
 def online_best(spark, sf):
     return C.online_clusters(rows(spark, sf), 0.3, "best").withColumn("entity_id", C.entity_name("entity_no"))
 
 
-@query("c2_online_clusters_first")
+@query("c2_online_clusters_first", online_sql("first", 2))
 def online_first(spark, sf):
     return C.online_clusters(rows(spark, sf), 0.3, "first").withColumn("entity_id", C.entity_name("entity_no", 2))
 

@@ -210,13 +210,37 @@ def unique_stills(spark, sf):
     )
 
 
-@query("w8_sequences")
+FILES_SQL = f"""f AS (SELECT DISTINCT 'cam' || CAST(user_id % 3 AS VARCHAR) AS dir, (epoch_us(ts) - {R.EPOCH_US}) // 1000000 AS ms,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 + 1 AS frame_no FROM events)"""
+
+
+# Each row takes the first open sequence with the frame before; runs are apart by pauses, so recursion is as deep as a run.
+SEQUENCE_SQL = f"""{FILES_SQL},
+q AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= 500 THEN 0 ELSE 1 END AS b FROM f WINDOW w AS (PARTITION BY dir ORDER BY ms, frame_no)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY dir ORDER BY ms, frame_no) AS run FROM q),
+i AS (SELECT dir, run, ms, frame_no, row_number() OVER (PARTITION BY dir, run ORDER BY ms, frame_no) AS i,
+  strftime(make_timestamp({R.EPOCH_US} + ms * 1000), '%Y%m%d%H%M%S%g') || '-' || CAST(frame_no AS VARCHAR) || '.jpg' AS name FROM r),
+walk AS (
+  SELECT dir, run, i, ms, frame_no, name, name AS sequence_id, 1 AS pos, [{{'f': frame_no, 'at': ms, 'id': name, 'n': 1}}] AS opened FROM i WHERE i = 1
+  UNION ALL
+  SELECT dir, run, i, ms, frame_no, name, CASE WHEN hit IS NULL THEN name ELSE opened[hit].id END, CASE WHEN hit IS NULL THEN 1 ELSE opened[hit].n + 1 END,
+    CASE WHEN hit IS NULL THEN list_append(opened, {{'f': frame_no, 'at': ms, 'id': name, 'n': 1}})
+      ELSE list_concat(opened[1 : hit - 1], [{{'f': frame_no, 'at': ms, 'id': opened[hit].id, 'n': opened[hit].n + 1}}], opened[hit + 1 :]) END
+  FROM (SELECT i.*, walk.opened, nullif(list_position(list_transform(walk.opened, lambda s: i.frame_no > 1 AND s.f = i.frame_no - 1 AND i.ms - s.at <= 500), true), 0) AS hit
+    FROM walk JOIN i ON i.dir = walk.dir AND i.run = walk.run AND i.i = walk.i + 1)),
+s AS (SELECT dir, name, make_timestamp({R.EPOCH_US} + ms * 1000) AS taken_at, frame_no, sequence_id, pos FROM walk)"""
+
+
+@query("w8_sequences", f"WITH RECURSIVE {SEQUENCE_SQL} SELECT * FROM s")
 def build(spark, sf):
     return sequences.build_sequences(unique_stills(spark, sf).select("dir", "name", "taken_at", "frame_no"))
 
 
-FILES_SQL = f"""f AS (SELECT DISTINCT 'cam' || CAST(user_id % 3 AS VARCHAR) AS dir, (epoch_us(ts) - {R.EPOCH_US}) // 1000000 AS ms,
-  CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 + 1 AS frame_no FROM events)"""
+@query("w8_sequences_in_slices", f"WITH RECURSIVE {SEQUENCE_SQL} SELECT * FROM s")
+def build_sliced(spark, sf):
+    """The same with directories cut into slices, a quarter of their stills each."""
+    stills = unique_stills(spark, sf).select("dir", "name", "taken_at", "frame_no")
+    return sequences.build_sequences(stills, max_rows=max(1, stills.count() // 12))
 
 
 @query("w8_simple_sequences", f"""WITH {FILES_SQL},

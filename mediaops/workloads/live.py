@@ -1,6 +1,7 @@
 """Streaming operators run to the end of the stored tables as streams of files."""
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,10 +10,18 @@ from mediaops.operators import hooks, tables
 from mediaops.plans.staging import scratch_folder as scratch
 from mediaops.sources import writers
 from mediaops.streaming import operators as S
+from mediaops.streaming import stateful
+from mediaops.streaming.sequences import frame_sequences
+from mediaops.streaming.stateful import use_state_store
+from mediaops.workloads import clustering as CL
 from mediaops.workloads import roles as R
+from mediaops.workloads.grouping import FILES_SQL, SEQUENCE_SQL, unique_stills
 from mediaops.workloads.registry import query
 
 
+FILE_ROWS = 100_000
+
+
 def drain(spark, stream, mode: str = "append"):
     """Run a stream over all present files and give the written rows."""
     root = scratch(spark)
@@ -22,20 +31,44 @@ def drain(spark, stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def drain_stateful(spark, stream):
+    """The same for operators with state of their own; the session's state store is as before afterwards."""
+    keys = [f"spark.sql.streaming.stateStore.{k}" for k in ("providerClass", "rocksdb.changelogCheckpointing.enabled")]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    use_state_store(spark)
+    try:
+        return drain(spark, stream)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def staged(spark, df, order: str, files: int = 3, closing=None):
-    """Rows as the files of a stream, one after the other in ranges of ``order``; each file is a micro-batch.
+    """Rows as the files of a stream in ranges of ``order``, range after range; each range is a micro-batch.
 
-    ``closing`` has rows of the last file, which tell the operator that the input has ended.
+    ``closing`` has rows that tell the operator that the input has ended; they are the last batch.
+    """
+    ranged = df.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id())
+    return staged_by(spark, ranged, files, closing)
+
+
+def staged_by(spark, df, files: int, closing=None):
+    """The same for rows that bring the number of their micro-batch in ``_file``.
+
+    A range is written by as many tasks as its size asks for, all ranges by the same number; the stream reads that many
+    files at a time.
     """
     root = scratch(spark)
-    df.repartitionByRange(files, order).withColumn("_file", F.spark_partition_id()).write.partitionBy("_file").parquet(f"{root}/ranges")
-    schema = T.StructType([*df.schema.fields, T.StructField("_file", T.IntegerType())])
+    df.write.partitionBy("_file").parquet(f"{root}/ranges")
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "_file"], T.StructField("_file", T.IntegerType())])
     ranges = spark.read.schema(schema).parquet(f"{root}/ranges")
+    least = ranges.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
+    tasks = max(1, least // FILE_ROWS)
     for number in range(files):
-        ranges.filter(F.col("_file") == number).drop("_file").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+        ranges.filter(F.col("_file") == number).drop("_file").repartition(tasks).write.mode("append").parquet(f"{root}/arrived")
     if closing is not None:
         closing.coalesce(1).write.mode("append").parquet(f"{root}/arrived")
-    return S.file_stream(spark, f"{root}/arrived", df.schema, 1)
+    return S.file_stream(spark, f"{root}/arrived", T.StructType(schema.fields[:-1]), tasks)
 
 
 def later(df, ts: str = "ts"):
@@ -69,27 +102,69 @@ def frame_batches(spark, sf):
     return drain(spark, S.frame_batches(staged(spark, frames, "frame_no", closing=ends)))
 
 
-@query("u2_online_clusters")
+# Two thirds of the rows come in order of time, a third one batch later: late for what the watermark closed meanwhile.
+ARRIVAL_SQL = f"""a AS (SELECT user_id AS media, event_id, event_type, ts, CAST(epoch_us(ts) AS BIGINT) AS us,
+  least((epoch_us(ts) - {R.EPOCH_US}) // (span // 4 + 1), 3) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS file
+  FROM events, (SELECT max(epoch_us(ts)) - {R.EPOCH_US} + 1 AS span FROM events)),
+w AS (SELECT file + 1 AS file, max(max(us)) OVER (ORDER BY file) // 1000 - 10000 AS mark FROM a GROUP BY file),
+j AS (SELECT a.*, date_trunc('second', ts) AS second, (us // 1000000 + 1) * 1000 <= coalesce(mark, 0) AS late FROM a LEFT JOIN w USING (file))"""
+
+
+@query("u1_late_rows", f"""WITH {ARRIVAL_SQL}
+SELECT media, second, count(*) AS "count", string_agg(event_type, ',' ORDER BY event_id) AS objects, false AS late FROM j WHERE NOT late GROUP BY media, second
+UNION ALL SELECT media, second, 1, event_type, true FROM j WHERE late""")
+def late_rows(spark, sf):
+    """Seconds without what came too late for them, and what came too late."""
+    e = R.table(spark, sf, "events").select(
+        F.col("user_id").alias("media"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("frame_no"), F.col("event_type").alias("label")
+    )
+    since = F.unix_micros("ts") - R.EPOCH_US
+    span = e.agg(F.max(since) + 1).first()[0]
+    file = F.least(F.floor(since / (span // 4 + 1)), F.lit(3)) + F.when(F.col("frame_no") % 3 == 0, 1).otherwise(0)
+    stream = staged_by(spark, e.withColumn("_file", file.cast("int")), 5, later(e))
+    return drain_stateful(spark, stateful.second_events_and_late_rows(stream))
+
+
+@query("u2_online_clusters", CL.online_sql("best"))
 def online_clusters(spark, sf):
     rows = R.vectors(spark, sf).select("media", "id", "t", "embedding")
-    return drain(spark, S.online_clusters(staged(spark, rows, "t"), 0.3))
+    return drain_stateful(spark, stateful.online_clusters(staged(spark, rows, "t"), 0.3))
 
 
-@query("u3_quiet_sessions")
+@query("u3_quiet_sessions", f"""WITH {FILES_SQL}, q AS (SELECT *, sum(CASE WHEN b THEN 0 ELSE 1 END) OVER (PARTITION BY dir ORDER BY ms, frame_no) AS run
+  FROM (SELECT *, ms - lag(ms) OVER (PARTITION BY dir ORDER BY ms, frame_no) <= 500 AS b FROM f))
+SELECT dir, make_timestamp({R.EPOCH_US} + min(ms) * 1000) AS started, count(*) AS files,
+  arg_min(strftime(make_timestamp({R.EPOCH_US} + ms * 1000), '%Y%m%d%H%M%S%g') || '-' || CAST(frame_no AS VARCHAR) || '.jpg', (ms, frame_no)) AS first_name,
+  max(frame_no) AS last_frame FROM q GROUP BY dir, run""")
 def quiet_sessions(spark, sf):
-    from mediaops.workloads.grouping import unique_stills
-
     rows = unique_stills(spark, sf).select("dir", "name", "frame_no", F.col("taken_at").alias("ts"))
     return drain(spark, S.quiet_sessions(staged(spark, rows, "ts", closing=later(rows))))
 
 
+@query("u3_frame_sequences", f"""WITH RECURSIVE {SEQUENCE_SQL}
+SELECT dir, sequence_id, count(*) AS files, arg_min(frame_no, pos) AS first_frame, arg_max(frame_no, pos) AS last_frame, min(taken_at) AS started, max(taken_at) AS ended
+FROM s GROUP BY dir, sequence_id""")
+def sequences_on_a_stream(spark, sf):
+    """Stills in five batches, every fifth a batch later than its neighbours, within a lateness that covers it."""
+    rows = unique_stills(spark, sf).select("dir", "name", "taken_at", "frame_no")
+    ends = rows.agg(F.min("taken_at"), F.max("taken_at")).first()
+    span = int((ends[1] - ends[0]).total_seconds()) + 1
+    at = F.floor((F.unix_micros("taken_at") / 1_000_000 - F.unix_seconds(F.lit(ends[0]))) * 4 / span)
+    file = F.least(at, F.lit(3)) + F.when(F.pmod(F.xxhash64("name"), F.lit(5)) == 0, 1).otherwise(0)
+    stream = staged_by(spark, rows.withColumn("_file", file.cast("int")), 5, later(rows, "taken_at"))
+    return drain_stateful(spark, frame_sequences(stream, f"{span} seconds"))
+
+
 @query("u6_sliding_segments", f"""WITH {R.UTT_SQL}, g AS (SELECT media, "start" AS t, length(text) AS n, unnest(range(CAST(greatest(0, ceil(("start" - 50 + 0.000001) / 35)) AS BIGINT), CAST(floor("start" / 35) AS BIGINT) + 1)) AS segment_index FROM utt)
 SELECT media, segment_index, count(*) AS utterances, sum(n) AS chars FROM g GROUP BY ALL""")
 def sliding_segments(spark, sf):
-    u = R.utterances(spark, sf)
-    ts = F.timestamp_micros(F.round(F.col("start") * 1_000_000).cast("long"))
-    rows = u.select("media", "text", ts.alias("ts"))
-    return drain(spark, S.sliding_segments(staged(spark, rows, "ts", closing=later(rows))))
+    """Media one after the other, each from its own beginning in two batches; a row without a start ends each."""
+    u = R.utterances(spark, sf).select("media", "start", "text")
+    half = F.col("start") > F.max("start").over(Window.partitionBy("media")) / 2
+    file = F.pmod("media", F.lit(2)) * 2 + F.when(half, 1).otherwise(0)
+    ends = u.select("media").distinct().select("media", F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("text"))
+    stream = staged_by(spark, u.withColumn("_file", file.cast("int")), 4, ends)
+    return drain_stateful(spark, stateful.sliding_segments(stream)).filter("not late").drop("late")
 
 
 @query("u7_incremental_upsert", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS start_time,

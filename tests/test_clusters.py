@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mediaops.operators import clustering as C
 from mediaops.operators import search
-from mediaops.streaming import operators as S
-from mediaops.workloads.live import drain, staged
+from mediaops.streaming import stateful as S
+from mediaops.workloads.live import drain_stateful, staged
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +125,7 @@ def test_stream_equals_batch(spark, vectors):
     df = spark.createDataFrame(
         [(media[m], i, t, v) for m, i, t, v in vectors], "media long, id long, t double, embedding array<double>"
     )
-    assert rows(drain(spark, S.online_clusters(staged(spark, df, "t", 3), 0.6))) == rows(C.online_clusters(df, 0.6))
+    assert rows(drain_stateful(spark, S.online_clusters(staged(spark, df, "t", 3), 0.6))) == rows(C.online_clusters(df, 0.6))
 
 
 def test_search_edges(spark):
