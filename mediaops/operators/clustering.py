@@ -2,7 +2,7 @@
 
 Both operators give exactly the result of the sequential definition.  A media whose rows
 fit a bounded group is clustered in one grouped call.  A larger media is never gathered:
-see ``_online_large`` and ``_merge_rounds``.
+see ``_online_large`` and ``_linkage_large``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediaops.functions.vectors import unit_rows
+from mediaops.plans.components import connected
+from mediaops.plans.matching import SCORE_DIGITS, score_tiles
 from mediaops.plans.staging import cut_lineage
 
 ONLINE_ROWS = 50_000
@@ -207,11 +209,12 @@ def entity_table(
 # --- average linkage ---------------------------------------------------------------------
 
 
-def _linkage(sums: np.ndarray, sizes: np.ndarray, cut: float) -> np.ndarray:
+def _linkage(sums: np.ndarray, sizes: np.ndarray, cut: float, merges: list | None = None) -> np.ndarray:
     """Average linkage on clusters given as sums of unit vectors; merges while distance < cut.
 
     The mean cosine between two clusters is the product of their mean vectors, so only sums
-    and sizes are needed.  Returns the root (smallest position) of each cluster.
+    and sizes are needed.  Returns the root (smallest position) of each cluster; ``merges`` gets
+    (kept root, other root, distance, size) of each step.
     """
     n = len(sums)
     root = np.arange(n)
@@ -227,9 +230,11 @@ def _linkage(sums: np.ndarray, sizes: np.ndarray, cut: float) -> np.ndarray:
         i = int(gap.argmin())
         if not gap[i] < cut:
             return root
-        j = int(near[i])
+        height, j = float(gap[i]), int(near[i])
         i, j = min(i, j), max(i, j)
         total = sizes[i] + sizes[j]
+        if merges is not None:
+            merges.append((i, j, height, total))
         merged = (sizes[i] * dist[i] + sizes[j] * dist[j]) / total
         sums[i] += sums[j]
         sizes[i] = total
@@ -246,6 +251,125 @@ def _linkage(sums: np.ndarray, sizes: np.ndarray, cut: float) -> np.ndarray:
         gap[j] = np.inf
 
 
+def _keyed_points(detections: DataFrame, media: str, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
+    """Detections with a vector, and their distinct vectors per media as weighted points named by the smallest id.
+
+    Copies of one vector lie at distance 0 and would merge first.  A zero vector is at distance 1 from everything, so
+    zero vectors stay separate.
+    """
+    rows = detections.filter(F.col(vec).isNotNull()).select(
+        F.col(media).alias("media"), F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")
+    )
+    zero = ~F.exists("vec", lambda x: x != 0)
+    keyed = rows.select("media", "id", "vec", F.when(zero, F.col("id")).alias("zero_id"))
+    points = keyed.groupBy("media", "vec", "zero_id").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cid"))
+    return keyed, cut_lineage(points)
+
+
+def _of_points(keyed: DataFrame, points: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of ``found`` (media, cid, ...) for every detection: copies find their point again through the vector."""
+    named = points.select("media", "vec", "zero_id", "cid").join(found, ["media", "cid"])
+    cond = (
+        keyed["media"].eqNullSafe(named["media"])
+        & (keyed["vec"] == named["vec"])
+        & keyed["zero_id"].eqNullSafe(named["zero_id"])
+    )
+    return keyed.join(named, cond).select(keyed["media"], keyed["id"], *[named[c] for c in columns])
+
+
+def _tree_schema(field: T.StructField) -> T.StructType:
+    numbers = [T.StructField(c, T.LongType()) for c in ("cid", "root", "parent")]
+    return T.StructType([field, *numbers, T.StructField("height", T.DoubleType()), T.StructField("size", T.LongType())])
+
+
+def _tree_of(pdf: pd.DataFrame, cut: float) -> pd.DataFrame:
+    """Linkage of one group: per point its root at ``cut``, the root it was merged into, how far that was, what came out."""
+    pdf = pdf.sort_values("cid", ignore_index=True)
+    sizes, cid = pdf["size"].to_numpy(np.float64), pdf["cid"].to_numpy(np.int64)
+    sums = np.vstack(pdf["total"].to_numpy()) if "total" in pdf else _units(pdf["vec"]) * sizes[:, None]
+    merges: list[tuple[int, int, float, float]] = []
+    root = _linkage(sums, sizes, cut, merges)
+    out = pd.DataFrame({"media": pdf["media"], "cid": cid, "root": cid[root]})
+    parent, height, size = [None] * len(cid), [None] * len(cid), [None] * len(cid)
+    for i, j, gap, total in merges:
+        parent[j], height[j], size[j] = int(cid[i]), gap, int(total)
+    return out.assign(parent=pd.array(parent, "Int64"), height=pd.array(height, "Float64"), size=pd.array(size, "Int64"))
+
+
+def _linkage_points(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
+    """(media, cid, root, parent, height, size) of weighted points; see ``_tree_of`` and ``_linkage_large``."""
+    schema = _tree_schema(points.schema["media"])
+    grouped = lambda df: df.groupBy("media").applyInPandas(lambda pdf: _tree_of(pdf, cut), schema)
+    large = points.groupBy("media").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
+    if large.isEmpty():
+        return cut_lineage(grouped(points))
+    large = cut_lineage(large)
+    hot = _linkage_large(points.join(large, "media"), cut, group_rows)
+    return cut_lineage(grouped(points.join(large, "media", "left_anti")).unionByName(hot))
+
+
+def _linkage_large(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
+    """Average linkage of media (with their number of points ``n``) too large for one group.
+
+    Clusters merge only if some pair of their points is closer than ``cut``, so a cluster never leaves a connected
+    component of the graph of such pairs.  Block products find the components once: a task compares two blocks of
+    points and emits the edges of a spanning forest, at most as many as it has points.  Components that fit a group are
+    clustered in one; a larger one goes on in rounds, ``_merge_rounds``.
+    """
+    field = points.schema["media"]
+    blocks = F.ceil(F.col("n") / group_rows).cast("int")
+    placed = points.select("media", "cid", "vec", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("lo"), F.greatest("block", b).alias("hi")))
+    spread = placed.withColumn("pair", F.explode(pairs))
+    edge_schema = T.StructType([field, T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["pair"].iloc[0]["lo"], pdf["pair"].iloc[0]["hi"]
+        x, y = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
+        if x.empty or y.empty:
+            return pd.DataFrame(columns=["media", "a", "b"])
+        names = np.concatenate([x["cid"].to_numpy(np.int64), y["cid"].to_numpy(np.int64)])
+        i, j = [], []
+        right = _units(y["vec"])
+        for part, scores in score_tiles(_units(x["vec"]), right):
+            row, col = np.nonzero(np.round(1.0 - scores, SCORE_DIGITS) <= cut + 10.0**-SCORE_DIGITS)  # scores are rounded
+            i.append(row + part.start)
+            j.append(col + len(x))
+        i, j = np.concatenate(i), np.concatenate(j)
+        label = np.arange(len(names))
+        keep = np.zeros(len(i), bool)
+        left = np.arange(len(i))
+        while len(left):  # every node takes one edge to a smaller label; an edge inside a tree is dropped
+            a, b = label[i[left]], label[j[left]]
+            left, a, b = left[a != b], a[a != b], b[a != b]
+            _, first = np.unique(np.maximum(a, b), return_index=True)
+            keep[left[first]] = True
+            label[np.maximum(a, b)[first]] = np.minimum(a, b)[first]
+            while (label[label] != label).any():
+                label = label[label]
+        return pd.DataFrame({"media": pdf["media"].iloc[0], "a": names[i[keep]], "b": names[j[keep]]})
+
+    edges = cut_lineage(spread.groupBy("media", "pair").applyInPandas(forest, edge_schema))
+    parts = connected(edges.filter("a <> b"), ["media"]).withColumnRenamed("node", "cid")
+    named = points.drop("n").join(parts, ["media", "cid"], "left").withColumn("component", F.coalesce("component", "cid"))
+    named = cut_lineage(named)
+    sizes = cut_lineage(named.groupBy("media", "component").agg(F.count(F.lit(1)).alias("n")))
+    none = lambda kind: F.lit(None).cast(kind)
+    alone = named.join(sizes.filter("n = 1"), ["media", "component"], "left_semi").select(
+        "media", "cid", F.col("cid").alias("root"), none("long").alias("parent"), none("double").alias("height"), none("long").alias("size")
+    )
+    few = named.join(sizes.filter(F.col("n").between(2, group_rows)), ["media", "component"], "left_semi")
+    schema = _tree_schema(field)
+    out = alone.unionByName(few.groupBy("media", "component").applyInPandas(lambda pdf: _tree_of(pdf, cut), schema))
+    many = sizes.filter(F.col("n") > group_rows).select("media", "component", F.to_json(F.struct("media", "component")).alias("key"))
+    many = cut_lineage(many)
+    if many.isEmpty():
+        return out
+    rest = named.join(many, ["media", "component"]).select(F.col("key").alias("media"), "cid", "vec", "size")
+    found = _merge_rounds(rest, cut, group_rows).withColumnRenamed("media", "key").join(many.select("key", "media"), "key")
+    return out.unionByName(found.drop("key"))
+
+
 def linkage_clusters(
     detections: DataFrame,
     cut: float = 0.3,
@@ -258,47 +382,52 @@ def linkage_clusters(
 
     Clusters of a media are numbered from 0 by their smallest member id.  Rows without a
     vector are left out; a single row forms one cluster.
+    """
+    keyed, points = _keyed_points(detections, media, id_col, vec)
+    roots = _linkage_points(points, cut, group_rows)
+    numbers = _number_roots(roots.groupBy("media", "root").agg(F.count(F.lit(1)).alias("points")))
+    named = roots.join(numbers, ["media", "root"]).select("media", "cid", "cluster_no")
+    return _of_points(keyed, points, named, ["cluster_no"])
 
-    Copies of one vector are first counted into a single weighted point: they lie at distance
-    0 and would merge first.  A zero vector is at distance 1 from everything, so zero vectors
-    stay separate.
+
+def linkage_tree(
+    detections: DataFrame,
+    cut: float = 1.0,
+    media: str = "media",
+    id_col: str = "id",
+    vec: str = "embedding",
+    group_rows: int = LINKAGE_ROWS,
+) -> DataFrame:
+    """The merges of average linkage up to ``cut``: one row (media, id, parent, height, size) per detection.
+
+    A cluster is named by its smallest id.  The row of an id tells when the cluster of that name was merged into the
+    one named ``parent``, at which distance and how many detections came together; parent is null for what no merge
+    below ``cut`` took.  A copy of another vector is merged into it at height 0.  Heights never fall from child to
+    parent, so the clusters at any smaller cut are the components of the rows below it (``cut_tree``).
     """
-    rows = detections.filter(F.col(vec).isNotNull()).select(
-        F.col(media).alias("media"), F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec")
-    )
-    zero = ~F.exists("vec", lambda x: x != 0)
-    keyed = rows.select("media", "id", "vec", F.when(zero, F.col("id")).alias("zero_id"))
-    points = keyed.groupBy("media", "vec", "zero_id").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cid"))
-    points = cut_lineage(points)
-    count = points.groupBy("media").agg(F.count(F.lit(1)).alias("n"))
-    large = count.filter(F.col("n") > group_rows)
-    schema = T.StructType(
-        [points.schema["media"], T.StructField("cid", T.LongType()), T.StructField("root", T.LongType())]
+    keyed, points = _keyed_points(detections, media, id_col, vec)
+    tree = _linkage_points(points, cut, group_rows).withColumnRenamed("size", "merged")
+    counted = tree.join(points.select("media", "cid", F.col("size").alias("copies")), ["media", "cid"])
+    rows = _of_points(keyed, points, counted, ["cid", "parent", "height", "merged", "copies"])
+    copy = F.col("id") != F.col("cid")
+    return rows.select(
+        "media", "id", F.when(copy, F.col("cid")).otherwise(F.col("parent")).alias("parent"),
+        F.when(copy, 0.0).otherwise(F.col("height")).alias("height"), F.when(copy, F.col("copies")).otherwise(F.col("merged")).alias("size"),
     )
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid", ignore_index=True)
-        sizes = pdf["size"].to_numpy(np.float64)
-        root = _linkage(_units(pdf["vec"]) * sizes[:, None], sizes, cut)
-        return pd.DataFrame({"media": pdf["media"], "cid": pdf["cid"], "root": pdf["cid"].to_numpy()[root]})
 
-    if large.isEmpty():
-        roots = points.groupBy("media").applyInPandas(whole, schema)
-    else:
-        large = cut_lineage(large)
-        small = points.join(large, "media", "left_anti").groupBy("media").applyInPandas(whole, schema)
-        roots = small.unionByName(_merge_rounds(points.join(large.select("media"), "media", "left_semi"), cut, group_rows))
-    roots = cut_lineage(roots)
-    numbers = _number_roots(roots.groupBy("media", "root").agg(F.count(F.lit(1)).alias("points")))
-    named = roots.join(numbers, ["media", "root"]).select("media", "cid", "cluster_no")
-    # Copies find their point again through the vector.
-    point_no = points.select("media", "vec", "zero_id", "cid").join(named, ["media", "cid"])
-    cond = (
-        keyed["media"].eqNullSafe(point_no["media"])
-        & (keyed["vec"] == point_no["vec"])
-        & keyed["zero_id"].eqNullSafe(point_no["zero_id"])
-    )
-    return keyed.join(point_no, cond).select(keyed["media"], keyed["id"], point_no["cluster_no"])
+def cut_tree(tree: DataFrame, cut: float) -> DataFrame:
+    """(media, id, cluster_no) at ``cut``, at most that of ``linkage_tree``; pointers to parents double each round."""
+    up = F.when(F.col("height") < cut, F.col("parent"))
+    state = cut_lineage(tree.select("media", "id", F.coalesce(up, "id").alias("root")))
+    while True:
+        above = state.select("media", F.col("id").alias("root"), F.col("root").alias("far"))
+        state = cut_lineage(state.join(above, ["media", "root"]).select("media", "id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        if state.filter("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    numbers = _number_roots(state.groupBy("media", "root").agg(F.count(F.lit(1)).alias("points")))
+    return state.join(numbers, ["media", "root"]).select("media", "id", "cluster_no")
 
 
 def _number_roots(roots: DataFrame) -> DataFrame:
@@ -315,8 +444,11 @@ def _merge_rounds(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
     they merge, so all such pairs can merge in one round and the hierarchy is the same.
     A round finds the nearest cluster of each cluster with block products (a task holds two
     blocks of ``group_rows`` and emits one row per left cluster), and merges the mutual pairs
-    closer than ``cut``.  When a media is down to ``group_rows`` clusters it is finished in
-    one group.  Equal distances are decided by the smaller pair of ids.
+    closer than ``cut``.  A merged cluster is no closer to a third one than the nearer of its
+    parts was, so a nearest cluster stays the nearest until it merges itself: after the first
+    round only clusters that merged, or whose nearest did, are compared with all.  When a media
+    is down to ``group_rows`` clusters it is finished in one group.  Equal distances are
+    decided by the smaller pair of ids.
     """
     field = points.schema["media"]
     state_schema = T.StructType(
@@ -337,6 +469,8 @@ def _merge_rounds(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
 
     state = cut_lineage(points.select("media", "cid", "vec", "size").mapInPandas(to_unit, state_schema))
     roots = cut_lineage(state.select("media", "cid", F.col("cid").alias("root")))
+    merges: list[DataFrame] = []
+    known: DataFrame | None = None
     near_schema = T.StructType(
         [
             field, T.StructField("cid", T.LongType()),
@@ -375,7 +509,8 @@ def _merge_rounds(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
             F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"),
         )
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = placed.select("media", "cid", "total", "size", F.col("block").alias("a"), every.alias("b"))
+        asks = placed if known is None else placed.join(known, ["media", "cid"], "left_anti")
+        left = asks.select("media", "cid", "total", "size", F.col("block").alias("a"), every.alias("b"))
         right = placed.select(
             F.col("media").alias("r_media"), F.col("cid").alias("r_cid"), F.col("total").alias("r_total"),
             F.col("size").alias("r_size"), F.col("block").alias("r_b"), every.alias("r_a"),
@@ -386,15 +521,24 @@ def _merge_rounds(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
         best = found.groupBy("media", "cid").agg(
             F.min(F.struct("dist", F.least("cid", "other").alias("lo"), F.greatest("cid", "other").alias("hi"))).alias("p")
         )
+        best = cut_lineage(best if known is None else best.unionByName(known.join(counts, "media", "left_semi")))
         pairs = (
             best.filter(F.col("p.dist") < cut)
             .groupBy("media", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
-            .agg(F.count(F.lit(1)).alias("sides"))
+            .agg(F.count(F.lit(1)).alias("sides"), F.min("p.dist").alias("height"))
             .filter("sides = 2")
         )
-        pairs = cut_lineage(pairs.select("media", "lo", "hi"))
+        sizes = [active.select("media", F.col("cid").alias(c), F.col("size").alias(f"{c}_size")) for c in ("lo", "hi")]
+        pairs = pairs.join(sizes[0], ["media", "lo"]).join(sizes[1], ["media", "hi"])
+        pairs = cut_lineage(pairs.select("media", "lo", "hi", "height", (F.col("lo_size") + F.col("hi_size")).cast("long").alias("size")))
         if pairs.isEmpty():
-            return _finish(finished.unionByName(active.drop("n")), roots, cut, group_rows, merge=False)
+            return _finish(finished.unionByName(active.drop("n")), roots, merges, cut, group_rows)
+        merges.append(pairs)
+        touched = pairs.select("media", F.explode(F.array("lo", "hi")).alias("cid"))
+        other = F.when(F.col("p.lo") == F.col("cid"), F.col("p.hi")).otherwise(F.col("p.lo"))
+        kept = best.join(touched, ["media", "cid"], "left_anti").withColumn("other", other)
+        kept = kept.join(touched.withColumnRenamed("cid", "other"), ["media", "other"], "left_anti")
+        known = cut_lineage(kept.select("media", "cid", "p"))
         moved = pairs.select("media", F.col("hi").alias("cid"), "lo")
         merged = (
             active.drop("n").join(moved, ["media", "cid"], "left")
@@ -414,40 +558,33 @@ def _merge_rounds(points: DataFrame, cut: float, group_rows: int) -> DataFrame:
         roots = cut_lineage(
             roots.join(renamed, ["media", "root"], "left").select("media", "cid", F.coalesce("lo", "root").alias("root"))
         )
-    return _finish(finished, roots, cut, group_rows, merge=True)
+    return _finish(finished, roots, merges, cut, group_rows)
 
 
-def _finish(state: DataFrame, roots: DataFrame, cut: float, group_rows: int, merge: bool) -> DataFrame:
+def _finish(state: DataFrame, roots: DataFrame, merges: list[DataFrame], cut: float, group_rows: int) -> DataFrame:
     """Finish the media that now fit a group; media left larger have no pair below the cut."""
-    schema = T.StructType(
-        [state.schema["media"], T.StructField("root", T.LongType()), T.StructField("final", T.LongType())]
-    )
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid", ignore_index=True)
-        root = _linkage(np.vstack(pdf["total"].to_numpy()), pdf["size"].to_numpy(), cut)
-        return pd.DataFrame({"media": pdf["media"], "root": pdf["cid"], "final": pdf["cid"].to_numpy()[root]})
-
+    schema = _tree_schema(state.schema["media"])
     counts = state.groupBy("media").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= group_rows)
-    last = state.join(counts.select("media"), "media", "left_semi").groupBy("media").applyInPandas(whole, schema)
-    return roots.join(last, ["media", "root"], "left").select(
-        "media", "cid", F.coalesce("final", "root").alias("root")
-    )
+    last = state.join(counts.select("media"), "media", "left_semi").groupBy("media").applyInPandas(lambda pdf: _tree_of(pdf, cut), schema)
+    last = cut_lineage(last)
+    done = last.filter("parent is not null").select("media", "cid", "parent", "height", "size")
+    for pairs in merges:
+        done = done.unionByName(pairs.select("media", F.col("hi").alias("cid"), F.col("lo").alias("parent"), "height", "size"))
+    ended = last.select("media", F.col("cid").alias("root"), F.col("root").alias("final"))
+    named = roots.join(ended, ["media", "root"], "left").select("media", "cid", F.coalesce("final", "root").alias("root"))
+    return named.join(done, ["media", "cid"], "left").select("media", "cid", "root", "parent", "height", "size")
 
 
 def threshold_sweep(detections: DataFrame, cuts: Sequence[float], **kw) -> DataFrame:
-    """Clusters found at each cut: (cut, media, clusters, detections)."""
-    parts = [
-        linkage_clusters(detections, cut, **kw)
-        .groupBy("media")
-        .agg((F.max("cluster_no") + 1).alias("clusters"), F.count(F.lit(1)).alias("detections"))
-        .select(F.lit(float(cut)).alias("cut"), "media", "clusters", "detections")
-        for cut in cuts
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Clusters found at each cut: (cut, media, clusters, detections), all from one tree.
+
+    Every merge below a cut leaves one cluster less, so the counts are one aggregate.
+    """
+    tree = linkage_tree(detections, max(cuts), **kw)
+    at = F.explode(F.array(*[F.lit(float(c)) for c in cuts]))
+    rows = tree.select("media", "height", at.alias("cut")).groupBy("cut", "media")
+    apart = F.col("height").isNull() | (F.col("height") >= F.col("cut"))
+    return rows.agg(F.count(F.when(apart, 1)).alias("clusters"), F.count(F.lit(1)).alias("detections"))
 
 
 def compare_labels(labels: DataFrame, first: str, second: str, media: str = "media") -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,45 +77,10 @@ def similar_above(
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", **kw) -> DataFrame:
-    """Exact ``k`` nearest corpus rows for every query row."""
+    """Exact ``k`` nearest corpus rows for every query row; ``inverted_lists.knn_join_lists`` is the approximate form."""
     return nearest(queries, corpus, k, id_col, id_col, vec, vec, **kw)
 
 
-def knn_join_lsh(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    min_similarity: float,
-    id_col: str = "id",
-    vec: str = "embedding",
-    tables: int = 8,
-    bucket: float = 1.0,
-) -> DataFrame:
-    """Approximate form: random-projection buckets on unit vectors, pairs above ``min_similarity``.
-
-    For unit vectors the distance d and the cosine s satisfy d*d = 2 - 2*s.
-    """
-    def unit(df: DataFrame) -> DataFrame:
-        rows = df.filter(F.exists(vec, lambda x: x != 0)).select(
-            F.col(id_col).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("_raw")
-        )
-        return Normalizer(inputCol="_raw", outputCol="unit").transform(rows).drop("_raw")
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7
-    )
-    left, right = unit(queries), unit(corpus)
-    model = lsh.fit(left)
-    pairs = model.approxSimilarityJoin(left, right, (2.0 - 2.0 * min_similarity) ** 0.5, "dist")
-    scored = pairs.select(
-        F.col("datasetA.id").alias("query_id"),
-        F.col("datasetB.id").alias("match_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, SCORE_DIGITS).alias("score"),
-    ).filter("query_id <> match_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "match_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def page(table: DataFrame, order: Sequence[str], limit: int, offset: int) -> tuple[DataFrame, DataFrame]:
     """One page in a fixed order, and the one-row total for the pager."""
     rows = table.orderBy(*order).offset(offset).limit(limit)

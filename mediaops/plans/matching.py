@@ -38,7 +38,7 @@ def score_tiles(queries: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[slic
         yield part, np.round(queries[part] @ vectors.T, SCORE_DIGITS)
 
 
-def _best(
+def best_of_block(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, other_only: bool
 ) -> pd.DataFrame:
     """Best ``k`` of ``ids`` for each query, ordered by (score desc, id)."""
@@ -61,7 +61,7 @@ def _best(
     return pd.concat(found, ignore_index=True)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def vector_matrix(column: pd.Series) -> np.ndarray:
     return unit_rows(np.vstack(column.to_numpy()).astype(np.float64))
 
 
@@ -96,7 +96,7 @@ def nearest(
         if few.empty:
             return q.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
         shared = q.sparkSession.sparkContext.broadcast(
-            (few["id"].to_numpy(np.int64), _matrix(few["vec"]))
+            (few["id"].to_numpy(np.int64), vector_matrix(few["vec"]))
         )
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def nearest(
             held: list[pd.DataFrame] = []
             for batch in batches:
                 vectors, _ = batch_matrix(batch.column("vec"))
-                found = _best(ids, matrix, batch.column("id").to_numpy(), unit_rows(vectors), k, other_only)
+                found = best_of_block(ids, matrix, batch.column("id").to_numpy(), unit_rows(vectors), k, other_only)
                 held.append(found)
                 if len(held) >= 8:
                     held = [_reduce(held, k)]
@@ -127,9 +127,9 @@ def nearest(
         def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({f.name: [] for f in schema.fields})
-            return _best(
-                left["q_id"].to_numpy(np.int64), _matrix(left["q_vec"]),
-                right["c_id"].to_numpy(np.int64), _matrix(right["c_vec"]), k, other_only,
+            return best_of_block(
+                left["q_id"].to_numpy(np.int64), vector_matrix(left["q_vec"]),
+                right["c_id"].to_numpy(np.int64), vector_matrix(right["c_vec"]), k, other_only,
             )
 
         left = spread(q, "q_", "qb", q_blocks, "cb", c_blocks)

@@ -40,12 +40,43 @@ def online_first(spark, sf):
     return C.online_clusters(rows(spark, sf), 0.3, "first").withColumn("entity_id", C.entity_name("entity_no", 2))
 
 
-@query("c3_linkage_clusters")
+def linkage_sql(cut: float) -> str:
+    """Average linkage by its definition, one merge of every media a step; the labels travel as a list."""
+    return f"""u AS (SELECT media, id, row_number() OVER (PARTITION BY media ORDER BY id) AS i, sqrt(list_dot_product(embedding, embedding)) AS norm, embedding FROM vec WHERE embedding IS NOT NULL),
+n AS (SELECT media, id, i, list_transform(embedding, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE x END) AS e FROM u),
+d AS (SELECT a.media, a.i AS i, b.i AS j, round(1 - list_dot_product(a.e, b.e), 12) AS dist FROM n a JOIN n b ON a.media = b.media AND a.i < b.i),
+walk AS (
+  SELECT media, 0 AS step, CAST(NULL AS DOUBLE) AS height, list(i ORDER BY i) AS labels FROM n GROUP BY media
+  UNION ALL
+  SELECT media, step + 1, m.dist, list_transform(labels, lambda x: CASE WHEN x = m.hi THEN m.lo ELSE x END)
+  FROM (SELECT media, step, any_value(labels) AS labels, min({{'dist': dist, 'lo': lo, 'hi': hi}}) AS m
+    FROM (SELECT walk.media, step, any_value(labels) AS labels, least(labels[i], labels[j]) AS lo, greatest(labels[i], labels[j]) AS hi, avg(dist) AS dist
+      FROM walk JOIN d ON d.media = walk.media AND labels[i] <> labels[j] GROUP BY walk.media, step, lo, hi) GROUP BY media, step)
+  WHERE m.dist < {cut})"""
+
+
+LINKED_SQL = """ended AS (SELECT media, arg_max(labels, step) AS labels FROM walk GROUP BY media),
+linked AS (SELECT n.media, n.id, dense_rank() OVER (PARTITION BY n.media ORDER BY labels[i]) - 1 AS cluster_no FROM n JOIN ended ON n.media = ended.media)"""
+
+
+@query("c3_linkage_clusters", f"WITH RECURSIVE {R.VEC_SQL}, {linkage_sql(0.7)}, {LINKED_SQL} SELECT media, id, cluster_no FROM linked")
 def linkage(spark, sf):
     return C.linkage_clusters(rows(spark, sf), 0.7)
 
 
-@query("c4_labelings_compared")
+@query("c3_linkage_by_components", f"WITH RECURSIVE {R.VEC_SQL}, {linkage_sql(0.7)}, {LINKED_SQL} SELECT media, id, cluster_no FROM linked")
+def linkage_parts(spark, sf):
+    """The same where no media fits a group: components of the graph below the cut, large ones in rounds."""
+    v = rows(spark, sf)
+    return C.linkage_clusters(v, 0.7, group_rows=max(4, v.count() // 60))
+
+
+@query("c4_labelings_compared", f"""WITH RECURSIVE {R.VEC_SQL}, {linkage_sql(0.7)}, {LINKED_SQL},
+o AS ({online_sql("best")}),
+c AS (SELECT o.media, entity_no AS "first", cluster_no AS "second", count(*) AS n FROM o JOIN linked USING (media, id) GROUP BY ALL)
+SELECT media, "first", "second", n, round(n / sum(n) OVER f, 6) AS first_share, round(n / sum(n) OVER s, 6) AS second_share,
+  count(*) OVER f > 1 AS split, count(*) OVER s > 1 AS merged FROM c
+WINDOW f AS (PARTITION BY media, "first"), s AS (PARTITION BY media, "second")""")
 def compared(spark, sf):
     both = C.online_clusters(rows(spark, sf), 0.3).join(C.linkage_clusters(rows(spark, sf), 0.7), ["media", "id"])
     return C.compare_labels(both, "entity_no", "cluster_no")
@@ -68,6 +99,9 @@ def relabel(spark, sf):
     return C.relabel_counts(C.compare_labels(R.detections(spark, sf), "entity_id", "entity_id_batch"))
 
 
-@query("a24_threshold_sweep")
+@query("a24_threshold_sweep", f"""WITH RECURSIVE {R.VEC_SQL}, {linkage_sql(0.9)}
+SELECT CAST(cut AS DOUBLE) AS cut, media, count(DISTINCT n.i) - count(DISTINCT step) AS clusters, count(DISTINCT n.i) AS detections
+FROM (SELECT unnest([0.6, 0.75, 0.9]) AS cut) JOIN n ON true LEFT JOIN (SELECT media, step, height FROM walk WHERE step > 0) w USING (media)
+WHERE true GROUP BY cut, media""".replace("count(DISTINCT step)", "count(DISTINCT step) FILTER (height < cut)"))
 def sweep(spark, sf):
     return C.threshold_sweep(rows(spark, sf), (0.6, 0.75, 0.9))

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from mediaops.functions.vectors import cosine_between
 from mediaops.operators import filters, search
+from mediaops.operators import inverted_lists as IL
+from mediaops.plans.staging import scratch_folder
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
 
@@ -72,9 +74,25 @@ def knn(spark, sf):
 
 
 @query("k5_knn_join_approximate")
-def knn_lsh(spark, sf):
+def knn_lists(spark, sf):
+    """Five nearest of each vector in as many lists as a sample asks for."""
     v = R.vectors(spark, sf).select("id", "embedding")
-    return search.knn_join_lsh(v, v, 5, 0.3)
+    centres = IL.fit_centres(v)
+    root = scratch_folder(spark)
+    IL.save_lists(v, centres, root)
+    stored, centres = IL.load_lists(spark, root)
+    return IL.knn_join_lists(v, stored, centres, 5, IL.tune_probes(stored, centres, 5), other_only=True)
+
+
+@query("k4_probed_search")
+def probed(spark, sf):
+    """The search for one vector in the stored lists nearest to it."""
+    v = R.vectors(spark, sf).select("id", "media", "embedding")
+    query_vector = R.first_vector(spark, sf)
+    centres = IL.fit_centres(v)
+    stored = IL.to_lists(v, centres)
+    some = IL.probe(stored, centres, query_vector, IL.tune_probes(stored, centres, 10))
+    return search.nearest_to(some.drop("list_no"), query_vector, 10)
 
 
 @query("k6_detections_page", f"""WITH {R.DET_SQL} SELECT id, media, t, entity_id, age, gender, emotion

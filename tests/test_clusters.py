@@ -6,7 +6,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from mediaops.operators import clustering as C
+from mediaops.operators import inverted_lists as IL
 from mediaops.operators import search
+from mediaops.plans.components import connected
 from mediaops.streaming import stateful as S
 from mediaops.workloads.live import drain_stateful, staged
 
@@ -113,11 +115,73 @@ def test_knn_layouts_agree(table, vectors):
     assert [(a, b, d) for a, b, _, d in rows(near.select(cols))] == [(a, b, d) for a, b, _, d in sorted(want)]
 
 
-def test_approximate_matches_are_real(table):
-    v = table.select("id", "embedding")
-    exact = {(r["query_id"], r["match_id"]): r["score"] for r in search.knn_join(v, v, 179, other_only=True).collect()}
-    found = search.knn_join_lsh(v, v, 3, 0.5).collect()
-    assert found and all(abs(exact[(r["query_id"], r["match_id"])] - r["score"]) < 1e-4 for r in found)
+def grouped_vectors(groups, count, dim=24, seed=5):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, dim))
+    return [(i, (centre[rng.integers(groups)] + 0.35 * rng.normal(size=dim)).tolist()) for i in range(count)]
+
+
+def recall_of(exact, found):
+    pairs = [{(r["query_id"], r["match_id"]) for r in x.collect()} for x in (exact, found)]
+    return len(pairs[0] & pairs[1]) / len(pairs[0])
+
+
+@pytest.mark.parametrize("count", [1500, 6000])
+def test_inverted_lists_find_most_in_a_fifth(spark, tmp_path, count):
+    v = spark.createDataFrame(grouped_vectors(30, count), "id long, embedding array<double>").repartition(4)
+    IL.save_lists(v, IL.fit_centres(v), str(tmp_path / "lists"))
+    stored, centres = IL.load_lists(spark, str(tmp_path / "lists"))
+    probes = IL.tune_probes(stored, centres, 5)
+    queries = v.filter("id % 10 = 0")
+    found = IL.knn_join_lists(queries, stored, centres, 5, probes, other_only=True, block_rows=100)
+    assert recall_of(search.knn_join(queries, v, 5, other_only=True), found) >= 0.9
+    sizes = dict(stored.groupBy("list_no").count().collect())
+    near = centres.nearest(np.array([unit(r.embedding) for r in queries.collect()]), probes)
+    assert sum(sizes[n] for row in near.tolist() for n in row) <= 0.2 * count * len(near)
+    whole = IL.knn_join_lists(queries, stored, centres, 5, len(centres.matrix), other_only=True)
+    assert rows(whole) == rows(search.knn_join(queries, v, 5, other_only=True))
+    query = grouped_vectors(30, 1)[0][1]
+    some = IL.probe(stored, centres, query, probes)
+    assert rows(search.nearest_to(some.drop("list_no"), query, 5)) == rows(search.nearest_to(v, query, 5))
+
+
+def test_inverted_lists_odd_rows(spark):
+    """Nulls, zero vectors and many copies: nothing is lost, blocks split the crowded list."""
+    data = [(i, [1.0, 0.0, 0.0]) for i in range(50)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [0.0, 1.0, 0.0]), (63, [0.0, 0.9, 0.1])]
+    v = spark.createDataFrame(data, "id long, embedding array<double>")
+    centres = IL.fit_centres(v, lists=3)
+    stored = IL.to_lists(v, centres)
+    assert stored.count() == 54 and {r.list_no for r in stored.filter("id in (60, 61)").collect()} == {0}
+    found = IL.knn_join_lists(v, stored, centres, 2, len(centres.matrix), other_only=True, block_rows=7)
+    assert rows(found) == rows(search.knn_join(v, v, 2, other_only=True))
+    nothing = v.limit(0)
+    assert IL.knn_join_lists(v, IL.to_lists(nothing, centres), centres, 2, 1).count() == 0
+    assert len(IL.fit_centres(nothing).matrix) == 1 and IL.tune_probes(stored.limit(0), centres, 3) == 1
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 25])
+def test_one_tree_gives_every_cut(table, vectors, group_rows):
+    tree, cuts = C.linkage_tree(table, 0.7, group_rows=group_rows), (0.1, 0.3, 0.6) if group_rows > 25 else (0.3,)
+    for cut in cuts:
+        assert rows(C.cut_tree(tree, cut)) == linkage_model(vectors, cut)
+    sweep = C.threshold_sweep(table, cuts, group_rows=group_rows)
+    want = []
+    for cut in cuts:
+        found = linkage_model(vectors, cut)
+        want += [(cut, m, len({no for x, _, no in found if x == m}), sum(x == m for x, _, _ in found)) for m in {x for x, _, _ in found}]
+    assert rows(sweep) == sorted(want)
+    heights = {(r["media"], r["id"]): r for r in tree.collect()}
+    for r in heights.values():  # heights do not fall towards the root
+        above = heights.get((r["media"], r["parent"]))
+        assert r["parent"] is None or above["height"] is None or above["height"] >= r["height"] - 1e-12
+
+
+def test_components(spark):
+    edges = [("a", i, i + 1) for i in range(40)] + [("a", 100, 90), ("a", 90, 95), ("b", 5, 1), ("b", 7, 7)] + [("b", 1000, i) for i in range(200, 260)]
+    frame = spark.createDataFrame(edges, "media string, a long, b long").repartition(4)
+    got = {(r.media, r.node): r.component for r in connected(frame, ["media"]).collect()}
+    want = {("a", i): 0 for i in range(41)} | {("a", i): 90 for i in (90, 95, 100)} | {("b", 5): 1, ("b", 1): 1, ("b", 7): 7}
+    assert got == want | {("b", i): 200 for i in [*range(200, 260), 1000]}
 
 
 def test_stream_equals_batch(spark, vectors):
