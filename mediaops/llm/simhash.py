@@ -20,6 +20,7 @@ from mediaops.plans.staging import cut_lineage
 
 SALTS = 64
 SEED = 42
+COUNTERS = 1 << 18  # of shingles by the last bits of their hash, 2 MB
 BAND = 5  # minima in a key: sets at a similarity of 0.8 share a band with a chance of 0.33, at 0.3 with 0.002
 # Fixed values of XXH64.
 P1, P2, P3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -293,48 +294,115 @@ def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataF
     return met.filter(both * (1 + similarity) >= (F.size("sa") + F.size("sb")) * similarity - 1e-6).select("a", "b")
 
 
-def links_within_keys(shared: DataFrame, judge: Callable[[DataFrame], DataFrame], crowd: int, rounds: int) -> DataFrame:
-    """Links (a, b) that connect all ids which links inside a key connect; ``shared`` has (key, id).
+def shingle_counters(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of ``sets`` (id, shingles) fall into each of ``COUNTERS`` numbers; bounded whatever the corpus."""
 
-    ``judge`` keeps those of the pairs (a, b) that link.  Ids are first compared with the leader of their key, which
-    connects a group of near copies with a pair per row.  While a key has more than ``crowd`` ids outside its largest
-    part, a further leader follows: the id with most links so far that has not led yet, linked or not.  At last all ids of
-    a key are compared that are not connected yet, each with each, in blocks of ``crowd`` ids.  Only pairs that are
-    connected already are left out, so neither ``crowd`` nor ``rounds`` decides what is found.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            held += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["at", "n"])
+
+    total = np.zeros(COUNTERS, np.int64)
+    counted = sets.select("shingles").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    total[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    return total
+
+
+def rare_prefixes(sets: DataFrame, counters: np.ndarray, similarity: float) -> DataFrame:
+    """(id, part, size, shingle): of each set as many of its rarest shingles that similar sets share one of them.
+
+    All sets follow one order, by counter and then by hash.  Two sets of which the smaller one has n shingles share at
+    least ``similarity * n`` if they are similar, so they share one of the first ``n - ceil(similarity * n) + 1`` of
+    either.  A shingle whose counter is one stands in no other set and is left out.
     """
-    now = shared.select("key", "id", F.col("id").alias("part"), F.lit(0).cast("long").alias("degree"), F.lit(False).alias("led"))
-    links = None
-    for turn in range(max(rounds, 1)):
-        best = F.max(F.when(~F.col("led"), F.struct("degree", "id", "part"))).alias("leader")
-        leaders = now.groupBy("key").agg(best).filter("leader IS NOT NULL")
-        leaders = leaders.select("key", F.col("leader.id").alias("a"), F.col("leader.part").alias("pa"))
-        met = now.join(leaders, "key")
-        found = judge(met.filter("part <> pa").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        found = cut_lineage(found)
-        stuck = found.isEmpty()
-        links = found if links is None else links.unionByName(found)
-        reached = smallest_labels(*_with_nodes(links))
-        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-        known = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).join(reached.withColumnRenamed("node", "id"), "id")
-        left = now.join(leaders.select("key", "a"), "key", "left").join(known, "id", "left")
-        left = left.select(
-            "key", "id", F.coalesce("label", "part").alias("part"), F.coalesce("links", "degree").alias("degree"),
-            (F.col("led") | F.col("id").eqNullSafe(F.col("a"))).alias("led"),
-        )
-        left = cut_lineage(left)
-        sizes = left.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    fields = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("shingle", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = (batch.column(i).to_numpy() for i in (0, 1))
+            for begin in range(0, batch.num_rows, 256):
+                column = batch.column(2).slice(begin, 256)
+                shingles = column.flatten().to_numpy(zero_copy_only=False)
+                sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                times = counters[shingles & (COUNTERS - 1)]
+                order = np.lexsort((shingles, times, text))
+                place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+                keep = order[(place < first[text]) & (times[order] > 1)]
+                who = text[keep]
+                arrays = [ids[begin : begin + 256][who], parts[begin : begin + 256][who], sizes[who], shingles[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], schema=fields)
+
+    return sets.select("id", "part", "shingles").mapInArrow(cut, "id long, part long, size long, shingle long")
+
+
+def prefix_pairs(sets: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the ids of ``rest`` (id, part) in different parts that may be similar: they share a rare shingle.
+
+    Shingles of a template that many texts share are the commonest and stay out of the prefixes, so such texts do not
+    meet unless the template is most of them.
+    """
+    few = rest.count() <= BROADCAST_HASHES
+    chosen = cut_lineage(sets.join(F.broadcast(rest) if few else rest, "id"))
+    prefixes = cut_lineage(rare_prefixes(chosen, shingle_counters(chosen), similarity))
+    x, y = (prefixes.select("shingle", *[F.col(c).alias(c + n) for c in ("id", "part", "size")]) for n in ("x", "y"))
+    near = F.least("sizex", "sizey") >= F.greatest("sizex", "sizey") * similarity - 1e-6
+    met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("idx") < F.col("idy")) & (F.col("partx") != F.col("party")) & near)
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
+def links_within_keys(
+    shared: DataFrame, judge: Callable[[DataFrame], DataFrame], candidates: Callable[[DataFrame], DataFrame], crowd: int, rounds: int
+) -> DataFrame:
+    """(id, part) for the ids of ``shared`` (key, id): equal parts for all that links inside a key connect.
+
+    ``judge`` keeps those of the pairs (a, b) that link.  Each id is first compared with a leader, the one that leads
+    most of its keys, which connects a group of near copies with a pair per row.  While a key has more than ``crowd`` ids
+    outside its largest part, further leaders follow: of each key the id with most links that has not led yet.  What is
+    still apart in some key goes to ``candidates`` (rows id, part), which must name every pair in different parts that
+    may link.  Links join parts, not ids, so a round works on what it found.  Neither ``crowd`` nor ``rounds`` decides
+    what is found.  The table of ids is all that is kept from round to round.
+    """
+    state = cut_lineage(
+        shared.groupBy("id").agg(F.lit(0).cast("long").alias("degree"), F.lit(False).alias("led")).withColumn("part", F.col("id"))
+    )
+    for turn in range(max(rounds, 1) + 1):
+        now = shared.join(state, "id")
+        sizes = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
         sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
         sizes = cut_lineage(sizes)
-        now = left.join(sizes.select("key"), "key")
-        if stuck or sizes.filter(F.col("n") - F.col("most") > crowd).isEmpty():
+        if turn and (stuck or turn == max(rounds, 1) or sizes.filter(F.col("n") - F.col("most") > crowd).isEmpty()):
             break
-    blocks = F.ceil(F.col("n") / crowd).cast("long")
-    rows = left.join(sizes.select("key", blocks.alias("blocks")), "key")
-    x = rows.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.col("id").alias("x"), F.col("part").alias("px"))
-    y = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("id").alias("y"), F.col("part").alias("py"))
-    rest = x.join(y, ["key", "block"]).filter("px < py")
-    rest = judge(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return cut_lineage(links.unionByName(rest))
+        open_ = now.join(sizes.select("key"), "key")
+        best = F.max(F.when(~F.col("led"), F.struct("degree", "id", "part"))).alias("leader")
+        leaders = cut_lineage(open_.groupBy("key").agg(best).filter("leader IS NOT NULL").select("key", F.col("leader.id").alias("a"), F.col("leader.part").alias("pa")))
+        met = open_.join(leaders, "key").filter("part <> pa").groupBy("id", "a").agg(F.count(F.lit(1)).alias("keys"))
+        picked = met.groupBy("id").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+        found = cut_lineage(judge(picked.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()))
+        stuck = found.isEmpty()
+        ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id")))
+        links = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+        led = leaders.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(True))
+        state = _joined_parts(state, found).join(links, "id", "left").join(led, "id", "left")
+        state = cut_lineage(
+            state.select("id", (F.col("degree") + F.coalesce("links", F.lit(0))).alias("degree"), F.coalesce("leads", "led").alias("led"), "part")
+        )
+    rest = cut_lineage(now.join(sizes.select("key"), "key").select("id", "part").distinct())
+    if rest.isEmpty():
+        return state.select("id", "part")
+    return _joined_parts(state, cut_lineage(judge(candidates(rest)))).select("id", "part")
+
+
+def _joined_parts(state: DataFrame, links: DataFrame) -> DataFrame:
+    """``state`` (id, part, ...) after the parts that ``links`` (a, b) connect have become one."""
+    own = state.select(F.col("id").alias("a"), F.col("part").alias("x"))
+    other = state.select(F.col("id").alias("b"), F.col("part").alias("y"))
+    edges = links.join(own, "a").join(other, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    labels = smallest_labels(*_with_nodes(cut_lineage(edges))).withColumnRenamed("node", "part")
+    return state.join(labels, "part", "left").withColumn("part", F.coalesce("label", "part")).drop("label")
 
 
 def _with_nodes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,9 +429,10 @@ def near_duplicate_rows(
     shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
     chosen = groups.select(F.col("fp").alias("id"), F.col("best.sha").alias("sha")).join(shared.select("id").distinct(), "id")
     sets = cut_lineage(shingle_sets(rows, cut_lineage(chosen), shingle))
-    links = links_within_keys(shared, lambda pairs: similar_pairs(sets, pairs, similarity), crowd, rounds)
+    judge = lambda pairs: similar_pairs(sets, pairs, similarity)
+    found = links_within_keys(shared, judge, lambda rest: prefix_pairs(sets, rest, similarity), crowd, rounds)
     # Classes are named by a fingerprint: ids may be null or stand for several texts.
-    found = smallest_labels(*_with_nodes(links)).select(F.col("node").alias("fp"), "label")
+    found = found.select(F.col("id").alias("fp"), F.col("part").alias("label"))
     named = groups.drop("keys").join(found, "fp", "left").withColumn("class", F.coalesce("label", "fp"))
     first = named.filter("label IS NOT NULL").groupBy("class").agg(F.min("best").alias("first"))
     named = named.join(first, "class", "left").select("fp", "salts", F.coalesce("first", "best").alias("best"))
@@ -381,7 +450,8 @@ def near_duplicate_classes(
     ``similarity`` shares none with a chance of 1e-5, and nearer pairs with less.  Candidates link when the Jaccard
     similarity of the sets themselves is at least ``similarity``.
 
-    Keys that one id has alone are dropped first; the others are compared by ``links_within_keys``.
+    Keys that one id has alone are dropped first; the others are compared by ``links_within_keys``, and what leaders do
+    not connect by a join on the rarest shingles of each set (``prefix_pairs``), which loses no pair.
 
     Texts with the same set of shingles are one class from the start, so copies cost one row.  Nulls, empty texts, repeated
     rows and an empty table are treated as in ``fingerprint_classes``.
