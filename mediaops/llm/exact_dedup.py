@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import read_table, spread_join, texts, without
+from mediaops.llm.common import fresh, read_table, spread_join, texts, without
 from mediaops.plans.staging import cut_lineage
 
 SALTS = 64
@@ -79,15 +79,18 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str =
 
 def rows_that_stay(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``named`` (_id, _sha, kept), a written table, keeps, and one of rows that repeat both."""
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    rows = rows.withColumn("_id", F.col(id_col).cast("long"))
-    left = without(rows, cut_lineage(named.filter("not kept").select("_id", "_sha").distinct()), ["_id", "_sha"])
-    twice = named.filter("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_sha")
+    key, sha, other_key, other_sha = fresh(docs, "_id", "_sha", "_i", "_s")
+    rows = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)))
+    rows = rows.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    named = named.select(F.col("_id").alias(key), F.col("_sha").alias(sha), "kept")
+    left = without(rows, cut_lineage(named.filter("not kept").select(key, sha).distinct()), [key, sha])
+    twice = named.filter("kept").groupBy(key, sha).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, sha)
     twice = cut_lineage(twice)
     if not twice.isEmpty():
-        again = left.join(twice.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")))
-        left = without(left, twice, ["_id", "_sha"]).unionByName(again.drop("_i", "_s").dropDuplicates(["_id", "_sha"]))
-    return left.drop("_sha", "_id").select(*docs.columns)
+        same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(sha) == F.col(other_sha))
+        again = left.join(twice.select(F.col(key).alias(other_key), F.col(sha).alias(other_sha)), same)
+        left = without(left, twice, [key, sha]).unionByName(again.drop(other_key, other_sha).dropDuplicates([key, sha]))
+    return left.drop(sha, key).select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

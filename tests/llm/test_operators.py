@@ -7,10 +7,12 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mediaops.llm import golay
@@ -21,11 +23,12 @@ from mediaops.llm.lm_scoring import language_model_scores
 from mediaops.llm.mixing import mix_sources
 from mediaops.llm.packing import nnls, pack_documents, plan_windows, sequences
 from mediaops.llm.secrets import find_secrets
-from mediaops.llm.simhash import fingerprint_classes, links_within_keys, near_duplicate_classes
+from mediaops.llm.simhash import fingerprint_classes, links_within_keys, near_duplicate_classes, prefix_pairs, shingle_sets
 from mediaops.llm.substring_dedup import remove_repeated_windows
 from mediaops.llm.token_files import decode_planes, encode_planes, read_token_files, write_token_files
 from mediaops.llm.tokens import ChunkEncoder
 from mediaops.llm.toxicity import LexiconAutomaton, ToxicityModel, edits_allowed, keep_clean, score_toxicity, train
+from mediaops.plans.staging import cut_lineage
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -298,9 +301,41 @@ def test_links_inside_a_key_need_no_luck(spark):
     frame = spark.createDataFrame(keys, "key long, id long")
     want = {i: 0 for i in [*range(40), 90]} | {i: 100 for i in range(100, 131)} | {200: 200, 300: 200}
     for crowd, rounds in ((4, 2), (4, 12), (10**9, 12)):
-        found = links_within_keys(frame, lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), crowd, rounds)
-        nodes = spark.createDataFrame([(i, i) for i in want], "node long, label long")
-        assert dict(smallest_labels(nodes, found).collect()) == want
+        every = lambda rest: rest.alias("x").join(rest.alias("y"), F.expr("x.id < y.id AND x.part <> y.part")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        found = dict(links_within_keys(frame, lambda pairs: pairs.join(links, ["a", "b"], "left_semi"), every, crowd, rounds).collect())
+        least = {p: min(i for i in found if found[i] == p) for p in set(found.values())}
+        assert {i: least[p] for i, p in found.items() if i in want} == want and all(i == p for i, p in found.items() if i not in want)
+
+
+def test_texts_of_one_template_are_not_compared(spark):
+    """Texts at a similarity of a half share keys but no rare shingle: few pairs are judged, and none is lost."""
+    rng = random.Random(5)
+    line = [f"t{i}" for i in range(64)]
+    rows = [(i, " ".join([*line, *[f"v{rng.randrange(10**6)}" for _ in range(26)]])) for i in range(1000)]
+    rows += [(5000 + i, rows[i][1] + " more words") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marked = frame.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    ids = marked.select(F.col("doc_id").alias("id"), "sha")
+    sets = cut_lineage(shingle_sets(marked, cut_lineage(ids), 5))
+    rest = cut_lineage(frame.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("part")))
+    pairs = {tuple(r) for r in prefix_pairs(sets, rest, 0.8).collect()}
+    assert {(i, 5000 + i) for i in range(5)} <= pairs and len(pairs) < 5 * len(rows)
+    got = dict(near_duplicate_classes(frame).collect())
+    assert got == {i: i % 5000 for i, _ in rows}
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    pool = (rng.integers(-(2**62), 2**62, 60)).tolist()
+    sets = {i: sorted(set(rng.choice(pool, rng.integers(1, 30)).tolist())) for i in range(150)}
+    for i in range(150, 200):
+        sets[i] = sorted(set(sets[i - 150][1:]) | {pool[i % 60]}) or [7]
+    frame = cut_lineage(spark.createDataFrame(list(sets.items()), "id long, shingles array<long>").repartition(3))
+    rest = cut_lineage(spark.createDataFrame([(i, i % 40) for i in sets], "id long, part long"))
+    for similarity in (0.4, 0.6, 0.8):
+        pairs = {tuple(r) for r in prefix_pairs(frame, rest, similarity).collect()}
+        near = {(i, j) for i in sets for j in sets if i < j and i % 40 != j % 40 and len(set(sets[i]) & set(sets[j])) >= similarity * len(set(sets[i]) | set(sets[j]))}
+        assert near and near <= pairs
 
 
 def jaccard(s, t, shingle=5):
@@ -338,6 +373,37 @@ def test_near_duplicates_at_the_limit_are_met(spark):
     assert dict(near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_mixing_reruns_agree(spark, tmp_path):
+    """A third of the ids null, ids and rows repeated, columns with odd names: another order of rows changes nothing."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        text = " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 40)))
+        rows.append((None if i % 3 == 0 else i // 2, text, f"s{i % 3}", 1, "a", 2, "b"))
+    rows += rows[:30]
+    schema = "doc_id long, text string, source string, _id long, _sha string, _times long, _copy string"
+    results, stages = [], []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, schema).repartition(3 + seed)
+        found = mix_sources(docs)
+        results.append(many((r.doc_id, r.source, r.text_md5, r.times, r.taken) for r in found.collect()))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        out = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        stages.append(many((r.doc_id, r.text, r.source, r._sha) for r in out.collect()))
+    assert results[0] == results[1] and stages[0] == stages[1]
+    words = collections.Counter()
+    for (_, text, source, _), n in stages[0].items():
+        words[source] += n * len(text.split())
+    taken = collections.Counter()
+    for (_, source, _, _, n), times in results[0].items():
+        taken[source] += n * times
+    assert words == taken
+    kept = drop_exact_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert len(kept) == len({r[1] for r in rows}) and set(kept[0].asDict()) == {c.split()[0] for c in schema.split(", ")}
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i, 100 - i) for i in range(100)] + [(200, None), (201, None)], "node long, label long")
     chain = [(i, i + 1) for i in range(60)] + [(i, 99) for i in range(70, 99)] + [(200, 201)]
