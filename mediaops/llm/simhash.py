@@ -311,13 +311,13 @@ def shingle_counters(sets: DataFrame) -> np.ndarray:
 
 
 def rare_prefixes(sets: DataFrame, counters: np.ndarray, similarity: float) -> DataFrame:
-    """(id, part, size, shingle): of each set as many of its rarest shingles that similar sets share one of them.
+    """(id, part, size, shingle, place): of each set as many of its rarest shingles that similar sets share one of them.
 
     All sets follow one order, by counter and then by hash.  Two sets of which the smaller one has n shingles share at
     least ``similarity * n`` if they are similar, so they share one of the first ``n - ceil(similarity * n) + 1`` of
     either.  A shingle whose counter is one stands in no other set and is left out.
     """
-    fields = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("shingle", pa.int64())])
+    fields = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("shingle", pa.int64()), ("place", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,25 +331,29 @@ def rare_prefixes(sets: DataFrame, counters: np.ndarray, similarity: float) -> D
                 order = np.lexsort((shingles, times, text))
                 place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 first = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
-                keep = order[(place < first[text]) & (times[order] > 1)]
+                kept = (place < first[text]) & (times[order] > 1)
+                keep = order[kept]
                 who = text[keep]
-                arrays = [ids[begin : begin + 256][who], parts[begin : begin + 256][who], sizes[who], shingles[keep]]
+                arrays = [ids[begin : begin + 256][who], parts[begin : begin + 256][who], sizes[who], shingles[keep], place[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], schema=fields)
 
-    return sets.select("id", "part", "shingles").mapInArrow(cut, "id long, part long, size long, shingle long")
+    return sets.select("id", "part", "shingles").mapInArrow(cut, "id long, part long, size long, shingle long, place long")
 
 
 def prefix_pairs(sets: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of the ids of ``rest`` (id, part) in different parts that may be similar: they share a rare shingle.
 
     Shingles of a template that many texts share are the commonest and stay out of the prefixes, so such texts do not
-    meet unless the template is most of them.
+    meet unless the template is most of them.  Behind the first shingle that two sets share, both must have enough left
+    for the similarity; rows of later shared ones may fail that, the first one's does not.
     """
     few = rest.count() <= BROADCAST_HASHES
     chosen = cut_lineage(sets.join(F.broadcast(rest) if few else rest, "id"))
     prefixes = cut_lineage(rare_prefixes(chosen, shingle_counters(chosen), similarity))
-    x, y = (prefixes.select("shingle", *[F.col(c).alias(c + n) for c in ("id", "part", "size")]) for n in ("x", "y"))
+    x, y = (prefixes.select("shingle", *[F.col(c).alias(c + n) for c in ("id", "part", "size", "place")]) for n in ("x", "y"))
     near = F.least("sizex", "sizey") >= F.greatest("sizex", "sizey") * similarity - 1e-6
+    left = F.least(F.col("sizex") - F.col("placex"), F.col("sizey") - F.col("placey"))
+    near = near & (left * (1 + similarity) >= (F.col("sizex") + F.col("sizey")) * similarity - 1e-6)
     met = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("idx") < F.col("idy")) & (F.col("partx") != F.col("party")) & near)
     return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
