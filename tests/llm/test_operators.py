@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mediaops.llm import golay
-from mediaops.llm.ann_search import nearest_vectors
+from mediaops.llm.ann_search import CollisionIndex, nearest_vectors
 from mediaops.llm.components import smallest_labels
 from mediaops.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from mediaops.llm.lm_scoring import language_model_scores
@@ -200,6 +200,35 @@ def test_nearest_vectors(spark):
     assert hits >= 0.95 * 10 * len(by_query)
     assert nearest_vectors(frame.filter("vec_id < 0"), frame).count() == 0
     assert nearest_vectors(frame.filter("vec_id in (3, 4)"), frame.filter("vec_id = 3")).count() == 1
+    # many small cells, of which a query searches few: those that find too little go on to the others
+    few = nearest_vectors(frame, frame.filter("vec_id % 50 = 0"), k=300, block_rows=150, cell_recall=0.1)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {300}
+
+
+def test_rows_that_repeat_a_query_are_told_apart(spark):
+    """Query rows with one id: one ranking per different vector; equal rows are one query; hot copies are split."""
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0])] + [(i, [1.0, i / 100]) for i in range(10, 60)] + [(90, [0.0, 2.0])] * 200
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_vectors(frame, frame.filter("vec_id = 7"), k=3, block_rows=30).orderBy("query_key", "rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] * 2 and len({r.query_key for r in got}) == 2
+    nearest = {tuple(r.vec_id for r in got[a : a + 3]) for a in (0, 3)}
+    assert nearest == {(10, 11, 12), (90, 90, 90)}
+
+
+def test_windows_verify_few_vectors():
+    """Recall and the share of verified vectors, on vectors in groups and on structureless ones, at two sizes."""
+    rng = np.random.default_rng(8)
+    for n in (4096, 12288):
+        spread = rng.normal(size=(n, 64))
+        grouped = rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 64))
+        for points, most in ((spread, 0.25 if n == 4096 else 0.2), (grouped, 0.05)):
+            index, hits = CollisionIndex(points), 0
+            for i in range(30):
+                rows, away = index.search(points[i], 10, np.array([i]))
+                exact = ((points - points[i]) ** 2).sum(axis=1)
+                exact[i] = np.inf
+                hits += len(set(rows[np.argsort(away)[:10]]) & set(np.argsort(exact)[:10]))
+            assert hits >= 0.9 * 300 and index.verified <= most * 30 * n
 
 
 def lowered(t):
