@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops.operators.segments import strip_text
 
@@ -26,6 +28,21 @@ def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
     return df.mapInPandas(run, schema)
 
 
+def score_with_model(
+    df: DataFrame, load: Callable[[], Callable[..., np.ndarray]], inputs: list[str], out: str = "score", kind=None, batch: int = 1024
+) -> DataFrame:
+    """Add the prediction of a model for the columns ``inputs``.
+
+    ``load`` reads the model and returns its predict function; it runs once in every Python worker, not for each batch.
+    Predict gets an array per input, of at most ``batch`` rows.  Rows with a null input
+    are shown as zeros and get null.
+    """
+    model = predict_batch_udf(load, return_type=kind or T.DoubleType(), batch_size=batch)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])
+    shown = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs]
+    return df.withColumn(out, F.when(whole, model(*shown)))
+
+
 def embed(
     df: DataFrame, text: str, out: str = "embedding", fn: Callable[[list[str]], np.ndarray] | None = None, dim: int = 384
 ) -> DataFrame:

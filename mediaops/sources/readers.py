@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediaops import schema as S
 
@@ -41,6 +42,30 @@ def read_results(spark: SparkSession, path: str, suffix: str = "_phase2_vllm_ana
     return docs.select(name.alias("media"), F.explode("segments").alias("s")).select("media", "s.*")
 
 
+def read_results_and_rejects(
+    spark: SparkSession, path: str, suffix: str = "_phase2_vllm_analysis", named: bool = False, stream: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Segments as ``read_results`` gives them, and the documents that give none: file, reason, document.
+
+    A document that is no JSON or does not fit the schema is a ``malformed document``, one without a list of segments has
+    ``no segments``.  One broken file does not hinder the others.  Files without any content have no document and give
+    no row.  With ``stream`` both are streams over the files of the folder.
+    """
+    reader = spark.readStream if stream else spark.read
+    schema = T.StructType.fromDDL(S.RESULT_FILE) if isinstance(S.RESULT_FILE, str) else S.RESULT_FILE
+    options = {"multiLine": True, "recursiveFileLookup": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    schema = T.StructType([*schema.fields, T.StructField("broken", T.StringType())])
+    docs = reader.schema(schema).options(**options).json(path)
+    file = F.col("_metadata.file_path")
+    name = F.regexp_replace(file_stem(F.col("_metadata.file_name")), suffix + "$", "")
+    if named:
+        name = F.coalesce(F.nullif(F.col("video_info.video_name"), F.lit("")), name)
+    reason = F.when(F.col("broken").isNotNull(), "malformed document").when(F.col("segments").isNull(), "no segments")
+    rows = docs.select(file.alias("file"), name.alias("media"), reason.alias("reason"), F.col("broken").alias("document"), "segments")
+    good = rows.filter("reason is null").select("media", F.explode("segments").alias("s")).select("media", "s.*")
+    return good, rows.filter("reason is not null").select("file", "reason", "document")
+
+
 def read_utterances(spark: SparkSession, path: str, suffix: str = "_transcription") -> DataFrame:
     """Utterances of transcript CSV files with the media of the file name."""
     rows = spark.read.schema(S.UTTERANCES).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

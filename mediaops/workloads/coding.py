@@ -79,6 +79,24 @@ def national(spark, sf):
     return codes.classify_national(code_rows(spark, sf))
 
 
+NATIONAL_SQL = f"""WITH {CODE_SQL}, c AS (SELECT id, text, upper(trim(text)) AS cleaned FROM code),
+r AS (SELECT *, CASE WHEN regexp_matches(cleaned, '^\\d{{2}}KG\\d{{3}}[A-Z]{{3}}$') THEN 'kg_new_format' WHEN regexp_matches(cleaned, '^[A-Z]\\s*\\d{{4}}\\s*[A-Z]{{1,2}}$') THEN 'kg_individual_latin' END AS type FROM c)"""
+
+
+@query("x2_rejects", NATIONAL_SQL + " SELECT id, text, cleaned FROM r WHERE type IS NULL")
+def national_rejects(spark, sf):
+    _, bad = codes.split_rejects(codes.classify_national(code_rows(spark, sf)), "rule_no")
+    return bad.select("id", "text", "cleaned")
+
+
+@query("x2_type_counts", NATIONAL_SQL + """ SELECT type, CASE WHEN cleaned LIKE 'B%' OR cleaned LIKE '01%' THEN 'Bishkek' ELSE 'Unknown' END AS region,
+count(*) AS codes, min(id) AS first_id, max(id) AS last_id FROM r WHERE type IS NOT NULL GROUP BY 1, 2""")
+def national_types(spark, sf):
+    """Accepted codes per type and region."""
+    good, _ = codes.split_rejects(codes.classify_national(code_rows(spark, sf)), "rule_no")
+    return good.groupBy("type", "region").agg(F.count(F.lit(1)).alias("codes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 def crop_rows(spark, sf):
     """A crop per part with parallel token arrays: its texts and boxes depend on the part."""
     p = R.table(spark, sf, "part")

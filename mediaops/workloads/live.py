@@ -9,6 +9,7 @@ from mediaops.functions.clock import whole_second
 from mediaops.operators import hooks, tables
 from mediaops.plans.staging import scratch_folder as scratch
 from mediaops.sources import writers
+from mediaops.sources.image_files import open_folder
 from mediaops.streaming import operators as S
 from mediaops.streaming import stateful
 from mediaops.streaming.sequences import frame_sequences
@@ -199,6 +200,33 @@ def scored(spark, sf):
     return hooks.score_batches(rows, lambda p: p.assign(score=p["value"] * 2)[["event_id", "score"]], "event_id long, score double", 500)
 
 
+@query("h1_model_scores", """WITH m AS (SELECT event_type, avg(value) AS mean, stddev_pop(value) AS spread FROM events GROUP BY 1)
+SELECT event_id, round(1 / (1 + exp(-(value - mean) / spread)), 6) AS score FROM events JOIN m USING (event_type)""")
+def model_scores(spark, sf):
+    """A model fitted per kind of event, stored as a table and loaded once by every Python worker."""
+    e = R.table(spark, sf, "events").select("event_id", "event_type", "value")
+    kinds = F.abs(F.xxhash64("event_type") % 1_000_003)
+    folder = scratch(spark)
+    e.groupBy(kinds.alias("kind")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread")).write.parquet(folder)
+
+    def load():
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        fs, path = open_folder(folder)
+        model = pq.read_table(path, filesystem=fs).sort_by("kind")
+        known, mean, spread = (model.column(c).to_numpy() for c in ("kind", "mean", "spread"))
+
+        def predict(kind, value):
+            at = np.searchsorted(known, kind.astype(np.int64))
+            return 1 / (1 + np.exp(-(value - mean[at]) / spread[at]))
+
+        return predict
+
+    rows = hooks.score_with_model(e.withColumn("kind", kinds), load, ["kind", "value"])
+    return rows.select("event_id", F.round("score", 6).alias("score"))
+
+
 @query("h2_embedded_texts", """SELECT doc_id, CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 0.0 ELSE 1.0 END AS length FROM documents""")
 def embedded(spark, sf):
     rows = hooks.embed(R.table(spark, sf, "documents").select("doc_id", "text"), "text", dim=384)

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from mediaops.operators import rollups, tables
 from mediaops.plans.staging import scratch_folder as scratch
-from mediaops.sources import readers, writers
+from mediaops.sources import image_files, readers, writers
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
 
@@ -379,6 +379,83 @@ def file_listing(spark, sf):
 
 
 
+# Heads of the stills below by user: five kinds of image, another file, one too small, an empty one.
+STILL_HEADS = ["FFD8FFE000104A46", "89504E470D0A1A0A", "424D0000", "474946383961", "52494646", "25504446", "FFD8FF", ""]
+STILL_SUFFIXES = ["jpg", "JPEG", "png", "bmp", "tiff", "webp", "txt"]
+STILL_SQL = f"""still AS (SELECT user_id, user_id % 7 AS s, list_extract({STILL_HEADS!r}, CAST(user_id % 8 + 1 AS BIGINT)) AS head,
+  list_extract({STILL_SUFFIXES!r}, CAST(user_id % 7 + 1 AS BIGINT)) AS suffix, CASE WHEN user_id % 8 < 6 THEN count(*) ELSE 0 END AS body FROM events GROUP BY user_id)"""
+
+
+def still_files(spark, sf):
+    """A file per user, written by the tasks: a head, then a byte per event; names in folders by user."""
+    import pyarrow as pa
+
+    root = scratch(spark)
+    u = R.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    head = F.element_at(F.array(*[F.lit(h) for h in STILL_HEADS]), (F.col("user_id") % 8 + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in STILL_SUFFIXES]), (F.col("user_id") % 7 + 1).cast("int"))
+    below = F.format_string("/%d/still %d.%s", F.col("user_id") % 4, F.col("user_id"), suffix)
+    files = u.select(below.alias("below"), F.unhex(head).alias("head"), F.when(F.col("user_id") % 8 < 6, F.col("n")).otherwise(0).alias("body"))
+
+    def write(batches):
+        fs, top = image_files.open_folder(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = top + row["below"]
+                fs.create_dir(path.rsplit("/", 1)[0])
+                with fs.open_output_stream(path) as file:
+                    file.write(row["head"] + b"." * row["body"])
+            yield pa.RecordBatch.from_arrays([batch.column("below")], ["below"])
+
+    files.mapInArrow(write, "below string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("s4_image_heads", f"""WITH {STILL_SQL} SELECT 'still ' || CAST(user_id AS VARCHAR) || '.' || suffix AS name, CAST(user_id % 4 AS VARCHAR) AS folder, length(head) // 2 + body AS size,
+substr(head || repeat('2E', CAST(body AS BIGINT)), 1, 24) AS header FROM still WHERE suffix <> 'txt'""")
+def image_heads(spark, sf):
+    """Image files of six suffixes, listed and read by tasks."""
+    files = image_files.read_image_heads(spark, still_files(spark, sf))
+    return files.select("name", F.element_at(F.split("dir", "/"), -1).alias("folder"), "size", F.hex("header").alias("header"))
+
+
+@query("s5_image_checks", f"""WITH {STILL_SQL} SELECT 'still ' || CAST(user_id AS VARCHAR) || '.' || suffix AS name, CASE user_id % 8 WHEN 5 THEN 'unknown header'
+WHEN 6 THEN 'file too small' WHEN 7 THEN 'empty file' END AS error FROM still WHERE suffix <> 'txt'""")
+def image_checks(spark, sf):
+    """Heads of real files checked; empty and short files and other formats are skipped with a reason."""
+    valid, skipped = readers.check_headers(image_files.read_image_heads(spark, still_files(spark, sf)))
+    return valid.select("name", F.lit(None).cast("string").alias("error")).unionByName(skipped.select("name", "error"))
+
+
+BROKEN_SQL = "doc AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"
+
+
+def broken_result_files(spark, sf):
+    """A result document per user; those of every fifth user are cut, the next users' have no segments."""
+    root = scratch(spark)
+    segment = F.struct(F.col("event_id").cast("int").alias("segment_index"), F.col("event_type").alias("transcript"))
+    docs = R.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(segment).alias("segments"))
+    info = F.struct(F.format_string("user %d", "user_id").alias("video_name"))
+    whole = F.to_json(F.struct(info.alias("video_info"), F.col("segments")))
+    form = F.col("user_id") % 5
+    text = F.when(form == 0, F.substring(whole, F.lit(1), F.length(whole) - 7)).when(form == 1, F.to_json(F.struct(info.alias("video_info")))).otherwise(whole)
+    docs.select(F.col("user_id").alias("folder"), text.alias("value")).write.partitionBy("folder").text(root)
+    return root
+
+
+@query("s1_good_documents", f"""WITH {BROKEN_SQL} SELECT 'user ' || CAST(user_id AS VARCHAR) AS media, n AS segments FROM doc WHERE user_id % 5 > 1""")
+def good_documents(spark, sf):
+    """Segments per media of the documents that load, with broken ones beside them."""
+    good, _ = readers.read_results_and_rejects(spark, broken_result_files(spark, sf), named=True)
+    return good.groupBy("media").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query("s1_rejected_documents", f"""WITH {BROKEN_SQL} SELECT user_id AS media, CASE user_id % 5 WHEN 0 THEN 'malformed document' ELSE 'no segments' END AS reason FROM doc WHERE user_id % 5 < 2""")
+def rejected_documents(spark, sf):
+    _, rejects = readers.read_results_and_rejects(spark, broken_result_files(spark, sf), named=True)
+    return rejects.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("long").alias("media"), "reason")
+
+
 @query("x17_run_log", """SELECT user_id AS run, count(*) FILTER (event_type = 'click') AS segments, count(*) AS "lines",
 date_trunc('second', max(ts) FILTER (event_type = 'view')) AS started, date_trunc('second', max(ts) FILTER (event_type = 'error')) AS ended FROM events GROUP BY user_id""")
 def run_log(spark, sf):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mediaops.operators import labels, responses, segments, transcripts
+from mediaops.operators import keywords, labels, responses, segments, transcripts
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
 
@@ -191,6 +191,20 @@ def brands(spark, sf):
     return labels.brand_texts(sign_rows(spark, sf))
 
 
+@query("j9_listed_keywords", """WITH k AS (SELECT p_partkey AS place, split_part(p_name, ' ', 1) AS keyword FROM part UNION ALL SELECT 1000000 + c_custkey, substr(c_name, 10) FROM customer
+  UNION ALL SELECT 2000000 + min(doc_id), split_part(text, ' ', 3) AS w FROM documents GROUP BY w),
+d AS (SELECT keyword, min(place) AS place FROM k WHERE keyword <> '' GROUP BY 1), t AS (SELECT conv_id, turn, text FROM conversations)
+SELECT t.conv_id, t.turn, arg_min(d.keyword, d.place) AS keyword_found FROM t LEFT JOIN d ON contains(t.text, d.keyword) GROUP BY 1, 2""")
+def listed_keywords(spark, sf):
+    """A keyword table from part names, customer numbers and words of documents, looked up in every turn of the conversations."""
+    parts = R.table(spark, sf, "part").select(F.col("p_partkey").alias("place"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("keyword"))
+    numbers = R.table(spark, sf, "customer").select((F.lit(1000000) + F.col("c_custkey")).alias("place"), F.substr("c_name", F.lit(10)).alias("keyword"))
+    third = R.table(spark, sf, "documents").groupBy(F.split_part("text", F.lit(" "), F.lit(3)).alias("keyword"))
+    words = third.agg((F.lit(2000000) + F.min("doc_id")).alias("place")).select("place", "keyword")
+    turns = R.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return keywords.first_listed(turns, parts.union(numbers).union(words)).select("conv_id", "turn", "keyword_found")
+
+
 @query("x10_word_times", f"""WITH {R.UTT_SQL}, w AS (SELECT media, pos, "start", unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM utt
  WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '')
 SELECT media, pos, i AS word_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS word, CASE i % 2 WHEN 0 THEN 0.5 ELSE 0.0 END AS probability,
