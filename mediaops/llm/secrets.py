@@ -22,7 +22,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with 32 characters o
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.!@#$%^&*~-]{12,}")
+ENDS = "=.-_/!@#$%^&*~"  # signs that are no part of a string at its ends
+PART = re.compile(r"[A-Za-z0-9!@#$%^*~]{12,}")  # between separators of a run
+# Least lengths: a run, a part of several kinds of characters, a part of letters only.  Long words of little known
+# languages compress badly too, so letters alone must be more.
+RUN_LENGTH, MIXED_LENGTH, LETTERS_LENGTH = 20, 12, 24
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}  # md5, sha1, ... sha512 in hexadecimal
 HEX_ONLY = re.compile(r"(?:0x)?([0-9a-fA-F]+)")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -53,15 +58,40 @@ def known_form(text: str) -> bool:
     return all(NAME_PART.fullmatch(p) for p in SEPARATOR.split(text))
 
 
+def stripped(m: re.Match, text: str) -> tuple[int, int]:
+    """Ends of a match without the signs around it."""
+    found = text[m.start() : m.end()]
+    start = m.end() - len(found.lstrip(ENDS))
+    return start, max(start, m.start() + len(found.rstrip(ENDS)))
+
+
+def random_part(part: str, random) -> bool:
+    """Whether a string without separators is random: badly compressed, no number and no digest."""
+    if part.isdigit() or (m := HEX_ONLY.fullmatch(part)) and len(m[1]) in DIGEST_LENGTHS:
+        return False
+    mixed = any(c.isdigit() for c in part) or not part.isalnum()
+    mixed = mixed or not (part.islower() or part.isupper() or part[1:].islower())
+    return len(part) >= (MIXED_LENGTH if mixed else LETTERS_LENGTH) and random(part)
+
+
 def random_spans(text: str, tokens, most_chars_per_token: float) -> Iterator[tuple[int, int]]:
+    """Whole runs that are random, and of other runs the random parts between separators."""
+
+    def random(found: str) -> bool:
+        return len(found) / len(tokens.encode_ordinary(found)) <= most_chars_per_token
+
     for m in CANDIDATE.finditer(text):
-        found = m.group().strip("=.-_/")
+        start, end = stripped(m, text)
+        found = text[start:end]
         kinds = any(c.isdigit() for c in found) + any(c.isupper() for c in found) + any(c.islower() for c in found)
-        if len(found) < 20 or kinds < 2 or known_form(found):
+        if len(found) >= RUN_LENGTH and kinds > 1 and not known_form(found) and not UUID.search(found) and random(found):
+            yield start, end
             continue
-        if len(found) / len(tokens.encode_ordinary(found)) <= most_chars_per_token:
-            start = m.start() + m.group().index(found)
-            yield start, start + len(found)
+        uuids = [u.span() for u in UUID.finditer(text, start, end)]
+        for part in PART.finditer(text, start, end):
+            a, b = stripped(part, text)
+            if not any(a < high and low < b for low, high in uuids) and random_part(text[a:b], random):
+                yield a, b
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,13 +111,14 @@ def find_secrets(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id and spans, an array of (kind, start, end) in code points, end exclusive.
 
-    Base kinds are assign, access and hex.  ``random`` spans are long strings of letters, digits and base64 signs
-    whose characters per token under the vocabulary in ``ranks`` are at most ``most_chars_per_token``: text that the
-    vocabulary was made from compresses to four or more, random strings to less than two.  Strings that are a known
-    digest, a UUID or an identifier are left out of this kind only.
+    Base kinds are assign, access and hex.  ``random`` spans are strings whose characters per token under the vocabulary
+    in ``ranks`` are at most ``most_chars_per_token``: text that the vocabulary was made from compresses to four or more,
+    random strings to less than two.  A run of letters, digits and signs of RUN_LENGTH or more is judged as a whole; if it
+    is not random, so is each of its parts between separators (``. _ / = + & -``), from MIXED_LENGTH on, or from
+    LETTERS_LENGTH on when it is letters of one case.  Known digests, UUIDs and numbers are left out of this kind only.
 
     Spans are ordered by start, then by kind as listed above.  Whole texts are searched where they are read, without
-    a shuffle.  Null and empty texts have no spans; null ids and repeated rows are kept; an empty table gives an empty
+    a shuffle; a text of any length is one string of its task.  Null and empty texts have no spans; null ids and repeated rows are kept; an empty table gives an empty
     result; other columns are ignored.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

@@ -22,7 +22,7 @@ from mediaops.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from mediaops.llm.lm_scoring import language_model_scores
 from mediaops.llm.mixing import mix_sources
 from mediaops.llm.packing import nnls, pack_documents, plan_windows, sequences
-from mediaops.llm.secrets import find_secrets
+from mediaops.llm.secrets import find_secrets, random_spans, vocabulary
 from mediaops.llm.simhash import fingerprint_classes, links_within_keys, near_duplicate_classes, prefix_pairs, shingle_sets
 from mediaops.llm.substring_dedup import remove_repeated_windows
 from mediaops.llm.token_files import decode_planes, encode_planes, read_token_files, write_token_files
@@ -101,6 +101,29 @@ def test_secrets(docs, nothing, spark):
     assert find_secrets(docs, RANKS).count() == docs.count() and find_secrets(nothing, RANKS).count() == 0
 
 
+def test_kinds_of_random_strings():
+    """Share found of each kind of random string, alone and behind ordinary words; digests, ids and names are left out."""
+    rng, tokens = np.random.default_rng(6), vocabulary(RANKS)
+    lower, mixed = list("abcdefghijklmnopqrstuvwxyz"), list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    word = lambda letters, n: "".join(rng.choice(letters, n))
+    found = {
+        "short": lambda: word(mixed, 12), "lower": lambda: word(lower, 40), "upper": lambda: word(lower, 24).upper(), "hex": lambda: word(list("0123456789abcdef"), 50),
+        "signs": lambda: word([*mixed, *"!@#$%"], 20), "base64": lambda: word([*mixed, *"+/"], 60) + "==", "long": lambda: word(mixed, 5000),
+        "assigned": lambda: "the_production_database_password=" + word(mixed, 20), "url": lambda: f"https://example.com/a/longer/path?key={word(mixed, 24)}&page=2",
+    }
+    left = {
+        "digest": lambda: hashlib.sha256(word(mixed, 5).encode()).hexdigest(), "number": lambda: word(list("0123456789"), 30),
+        "uuid": lambda: "-".join(word(list("0123456789abcdef"), n) for n in (8, 4, 4, 4, 12)), "word": lambda: "internationalization" * 2,
+        "name": lambda: "some_long_identifier.getResponseHeaders.THE_CONSTANT_VALUE", "signs": lambda: "#" * 40 + "=" * 40, "shout": lambda: "information!!!!!!!!",
+    }
+    for kinds, expected in ((found, True), (left, False)):
+        for kind, make in kinds.items():
+            hits = sum(bool(list(random_spans(f"see {make()}, end", tokens, 2.0))) for _ in range(100))
+            assert hits >= 96 if expected else hits == 0, (kind, hits)
+    text = "é password_of_a_service=q7Zp2LxV9sKd4Wm1TrB8 end"
+    assert [text[a:b] for a, b in random_spans(text, tokens, 2.0)] == ["q7Zp2LxV9sKd4Wm1TrB8"]
+
+
 def test_packing(docs, nothing):
     tool = Tokenizer.from_file(JSON)
     ids = collections.defaultdict(list)
