@@ -88,6 +88,8 @@ def remove_repeated_windows(
     block tells each seed or window once with its number, so what is counted for a passage that a third of all texts
     share is one row per block, and what comes back to a block is at most what it told.
 
+    Blocks are dealt by id and text, so rows without an id, or with one id and different texts, are spread.
+
     Null and empty texts have no words.  A text shorter than a window keeps its words.  Repeated rows are separate
     texts, so both lose what they share.  Null ids are kept; an empty table gives an empty result; other columns are
     ignored.
@@ -96,7 +98,7 @@ def remove_repeated_windows(
     plain = texts(docs, id_col, text_col)
     total = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
-    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(partitions(spark), "block")
+    dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(partitions(spark), "block")
     seed = (window + 1) // 2
     seed_fields = pa.schema([("block", pa.int32()), ("s", pa.int64()), ("n", pa.int32())])
     window_fields = pa.schema([("block", pa.int32()), ("a", pa.int64()), ("b", pa.int32()), ("n", pa.int32())])
