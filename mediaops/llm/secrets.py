@@ -85,7 +85,8 @@ def random_spans(text: str, tokens, most_chars_per_token: float) -> Iterator[tup
         found = text[start:end]
         kinds = any(c.isdigit() for c in found) + any(c.isupper() for c in found) + any(c.islower() for c in found)
         if len(found) >= RUN_LENGTH and kinds > 1 and not known_form(found) and not UUID.search(found) and random(found):
-            yield start, end
+            name = found.rfind("=") + 1  # what is assigned stands alone if it is random itself
+            yield (start + name if len(found) - name >= MIXED_LENGTH and random(found[name:]) else start), end
             continue
         uuids = [u.span() for u in UUID.finditer(text, start, end)]
         for part in PART.finditer(text, start, end):
@@ -114,7 +115,7 @@ def find_secrets(
     Base kinds are assign, access and hex.  ``random`` spans are strings whose characters per token under the vocabulary
     in ``ranks`` are at most ``most_chars_per_token``: text that the vocabulary was made from compresses to four or more,
     random strings to less than two.  A run of letters, digits and signs of RUN_LENGTH or more is judged as a whole; if it
-    is not random, so is each of its parts between separators (``. _ / = + & -``), from MIXED_LENGTH on, or from
+    is random, only what follows its last ``=`` counts, should that be random too; if not, each of its parts is judged, between separators (``. _ / = + & -``), from MIXED_LENGTH on, or from
     LETTERS_LENGTH on when it is letters of one case.  Known digests, UUIDs and numbers are left out of this kind only.
 
     Spans are ordered by start, then by kind as listed above.  Whole texts are searched where they are read, without
