@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mediaops.llm.common import id_remainder, read_table, texts
 from mediaops.llm.words import Words, find_words, lower_ascii, text_slices
+from mediaops.plans.staging import cut_lineage
 
 HELD_OUT = 5
 SAMPLE = 3000  # labelled rows per class that the lexicon and the weights are fitted on
@@ -27,8 +28,8 @@ REPORTING = frozenset(
     "said says say saying called calls quote quoted quotes wrote writes term word words phrase so-called "
     "sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split()
 )
-WRITTEN_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+WRITTEN_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"})
+_EDGE = re.compile(r"[\W\d_]+")
 
 
 @dataclass(eq=False)
@@ -121,9 +122,15 @@ class LexiconAutomaton:
         return best
 
 
+def _without_edge(word: str) -> str:
+    edge = _EDGE.match(word)
+    return word[edge.end() :] if edge else word
+
+
 def plain(word: str) -> str:
-    """Lower case, without marks and digits at the edges."""
-    return _EDGES.sub("", word.lower())
+    """Lower case, without marks and digits at the edges; linear in the length of the word."""
+    low = word.lower()
+    return low if low.isalpha() else _without_edge(_without_edge(low)[::-1])[::-1]
 
 
 class Matcher:
@@ -135,7 +142,7 @@ class Matcher:
     def look(self, word: str) -> int:
         """0: no hit, 1: exact, 2: misspelled."""
         base = plain(word)
-        if len(base) < 3 or len(base) > 60:
+        if len(base) < 3:
             return 0
         found = self.automaton.match(base)
         if found and (found[1] == 0 or base not in self.ordinary):
@@ -183,29 +190,56 @@ def features(words: Words, matcher: Matcher) -> np.ndarray:
     return np.hstack([np.ones((n, 1)), np.log1p(out)])
 
 
-def learn_lexicon(toxic: list[str], other: list[str], most: int = 300, support: float = 0.01, purity: float = 0.97) -> list[str]:
-    """Words and stems (four to eight letters, ``*``) that toxic texts contain and other texts do not.
+def lexicon_features(text: str) -> set[str]:
+    """Words of four letters or more of a text, and their stems (four to eight letters, ``*``)."""
+    words = {w for w in map(plain, text.split()) if len(w) >= 4}
+    return words | {w[:k] + "*" for k in range(4, 9) for w in words if len(w) > k}
+
+
+def count_features(sample: DataFrame) -> DataFrame:
+    """(feature, yes, no): in how many toxic and other texts of ``sample`` (text, toxic) a feature comes.
 
-    Texts that are equal count once.  A feature needs a share ``support`` of toxic texts, three at least, and a share
-    ``purity`` of its weight on them, both classes taken as equally large.  A longer feature that a stem covers is
-    dropped.
+    Texts of a class that are equal count once.  Tasks add up their texts first and give what they have whenever it is
+    much, so that one holds the features of one text and a bounded table.
     """
+    fields = pa.schema([("feature", pa.string()), ("yes", pa.int64()), ("no", pa.int64())])
 
-    def counted(group: list[str]) -> tuple[Counter, int]:
-        counts: Counter = Counter()
-        distinct = set(group)
-        for t in distinct:
-            ws = {w for w in map(plain, t.split()) if len(w) >= 4}
-            counts.update(ws)
-            for k in range(4, 9):
-                counts.update({w[:k] + "*" for w in ws if len(w) > k})
-        return counts, max(1, len(distinct))
-
-    yes, n_yes = counted(toxic)
-    no, n_no = counted(other)
-    least = max(3, support * n_yes)
-    share = {f: c / n_yes / (c / n_yes + (no[f] + 0.5 * (no[f] > 0)) / n_no) for f, c in yes.items() if c >= least}
-    good = {f: yes[f] for f, p in share.items() if p >= purity}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, no = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(yes.keys() | no.keys())
+            columns = [pa.array(names, pa.string()), pa.array([yes[f] for f in names], pa.int64()), pa.array([no[f] for f in names], pa.int64())]
+            yes.clear()
+            no.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=fields)
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                (yes if toxic.as_py() else no).update(lexicon_features(text.as_py()))
+                if len(yes) + len(no) > 300_000:
+                    yield counted()
+        if yes or no:
+            yield counted()
+
+    distinct = sample.select("text", (F.col("toxic") == 1).alias("toxic")).distinct()
+    return distinct.mapInArrow(count, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def learn_lexicon(sample: DataFrame, most: int = 300, support: float = 0.01, purity: float = 0.97) -> list[str]:
+    """Words and stems that toxic texts of ``sample`` (text, toxic) contain and other texts do not.
+
+    A feature needs a share ``support`` of the distinct toxic texts, three at least, and a share ``purity`` of its weight
+    on them, both classes taken as equally large.  Counts are added up by Spark; only features that pass come to the
+    driver.  A longer feature that a stem covers is dropped.  The lexicon has ``most`` terms at most, those that come in
+    most toxic texts.
+    """
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("text").alias("n")).collect()}
+    n_yes, n_no = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    weight = F.col("yes") / n_yes
+    against = (F.col("no") + F.when(F.col("no") > 0, 0.5).otherwise(0.0)) / n_no
+    passing = count_features(sample).filter((F.col("yes") >= max(3, support * n_yes)) & (weight / (weight + against) >= purity))
+    good = {r["feature"]: r["yes"] for r in passing.select("feature", "yes").collect()}
     # A word is the better term than a stem that hardly covers more.
     for f in [f for f in good if f.endswith("*")]:
         inside = [w for w in good if not w.endswith("*") and w.startswith(f[:-1])]
@@ -218,11 +252,36 @@ def learn_lexicon(toxic: list[str], other: list[str], most: int = 300, support:
     return sorted(sorted(kept, key=lambda f: (-good[f], f))[:most])
 
 
-def ordinary_words(terms: list[str], other: list[str]) -> frozenset[str]:
-    """Words of other texts that look like misspelled terms."""
-    automaton = LexiconAutomaton(terms)
-    words = {w for t in other for w in map(plain, t.split())}
-    return frozenset(w for w in words if 3 <= len(w) <= 60 and (m := automaton.match(w)) and m[1] > 0)
+def ordinary_words(sample: DataFrame, terms: list[str]) -> frozenset[str]:
+    """Words of other texts of ``sample`` that look like misspelled terms; tasks look them up, only those found return."""
+    fields = pa.schema([("word", pa.string())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, found = LexiconAutomaton(terms), set()
+        for batch in batches:
+            for text in batch.column(0):
+                words = {plain(w) for w in set(text.as_py().split())}
+                found.update(w for w in words if len(w) >= 3 and w not in found and (m := automaton.match(w)) and m[1] > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], schema=fields)
+
+    others = sample.filter("toxic = 0").select("text").mapInArrow(look, "word string")
+    return frozenset(r["word"] for r in others.distinct().collect())
+
+
+def sample_features(sample: DataFrame, terms: list[str], ordinary: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the rows of ``sample`` (doc_id, text, toxic), in the order of their ids: a few numbers a row."""
+    fields = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("x", pa.list_(pa.float64()))])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms, ordinary)
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch):
+                x = features(find_words(lower_ascii(data), offsets), matcher)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.array(list(x), fields.field("x").type)], schema=fields)
+
+    measured = sample.mapInArrow(measure, "doc_id long, toxic long, x array<double>").collect()
+    measured.sort(key=lambda r: r["doc_id"])
+    return np.array([r["x"] for r in measured]), np.array([float(r["toxic"]) for r in measured])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 0.1, rounds: int = 30) -> np.ndarray:
@@ -246,34 +305,28 @@ class ToxicityModel:
     weights: list[float]
 
 
-def _words_of(group: list[str]) -> Words:
-    raw = [t.encode("utf-8", "replace") for t in group]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    return find_words(lower_ascii(np.frombuffer(b"".join(raw), np.uint8)), offsets)
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = HELD_OUT) -> ToxicityModel | None:
     """Fit on at most ``sample`` labelled rows per class, those with the least hash of the id, none of them held out.
 
-    The sampled texts come to the driver; their number is bounded by the parameter.  None without both classes.
+    An id that comes with several texts counts with one, that of the least hash; an id with several labels is toxic if
+    one of them is.  Null ids, null labels and labels other than 0 and 1 are left out; null texts count as empty.  The
+    sampled texts stay in a table, whatever their length: the driver gets terms, words that look like them, and five
+    numbers a row.  None without both classes, as for empty tables.
     """
-    marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.filter(id_remainder("doc_id", held_out) != 0)
+    marks = labels.filter("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"))
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(id_remainder("doc_id", held_out) != 0)
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return None
     chosen = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     few = chosen[0].unionByName(chosen[1])  # two samples at most, so it may be broadcast
-    rows = texts(docs).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    toxic, other = [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
-    if not toxic or not other:
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    rows = cut_lineage(texts(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(least.alias("text")).select("doc_id", "text", "toxic"))
+    if rows.select("toxic").distinct().count() < 2:
         return None
-    terms = learn_lexicon(toxic, other)
-    ordinary = ordinary_words(terms, other)
-    matcher = Matcher(terms, ordinary)
-    x = np.vstack([features(_words_of(g[i : i + 500]), matcher) for g in (toxic, other) for i in range(0, len(g), 500)])
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(other))])
+    terms = learn_lexicon(rows)
+    ordinary = ordinary_words(rows, terms)
+    x, y = sample_features(rows, terms, ordinary)
     return ToxicityModel(terms, ordinary, fit_weights(x, y, totals[1] / (totals[0] + totals[1])).tolist())
 
 
@@ -301,7 +354,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``.  Nothing is shuffled."""
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``.  Nothing is shuffled.
+
+    Null and empty texts score as texts without hits.  Rows that repeat, null ids and any other columns are kept as they
+    are; an empty table stays empty; without a model all rows stay.
+    """
     if model is None:
         return docs
     at = docs.columns.index(text_col)

@@ -27,7 +27,7 @@ from mediaops.llm.simhash import fingerprint_classes, links_within_keys, near_du
 from mediaops.llm.substring_dedup import remove_repeated_windows
 from mediaops.llm.token_files import decode_planes, encode_planes, read_token_files, write_token_files
 from mediaops.llm.tokens import ChunkEncoder
-from mediaops.llm.toxicity import LexiconAutomaton, ToxicityModel, edits_allowed, keep_clean, score_toxicity, train
+from mediaops.llm.toxicity import QUOTES, LexiconAutomaton, Matcher, ToxicityModel, count_features, edits_allowed, keep_clean, score_toxicity, train
 from mediaops.plans.staging import cut_lineage
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -623,3 +623,59 @@ def test_toxicity(docs, nothing, spark):
     assert keep_clean(nothing, model).count() == 0 and score_toxicity(nothing, model).count() == 0
     assert train(nothing, marks) is None and {r.score for r in score_toxicity(docs, None).collect()} == {0.0}
     assert isinstance(model, ToxicityModel)
+
+
+def test_toxicity_long_words_and_repeated_ids(spark):
+    """Words of any length are judged; an id with several texts counts with one; counts of Spark are those of a plain loop."""
+    matcher = Matcher(["blockhead", "vermin*"])
+    assert matcher.look("vermin" + "x" * 500) == 1 and matcher.look("y" * 100_000) == 0 and matcher.look("1" * 100_000 + "a") == 0
+    assert matcher.look("8lockhead") == 2 and matcher.look("#" * 90 + "blockhead" + "!" * 90) == 1 and matcher.look("bl0ckhead") == 2
+    rng = random.Random(9)
+    rows = [(i % 90, " ".join(rng.choice(["vermin", "vermilion", "stone", "1one1", "x" * 70]) for _ in range(rng.randrange(6))), i % 90 % 3 // 2) for i in range(300)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    expected = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in {(t, k) for _, t, k in rows}:
+        words = {w.strip("1") for w in text.split() if len(w.strip("1")) >= 4}
+        for f in words | {w[:k] + "*" for w in words for k in range(4, 9) if len(w) > k}:
+            expected[f][1 - toxic] += 1
+    assert {r.feature: [r.yes, r.no] for r in count_features(sample).collect()} == expected
+    labels = sample.select("doc_id", "toxic").unionByName(spark.createDataFrame([(1, 7)], "doc_id long, toxic long"))
+    model = train(sample.drop("toxic"), labels)
+    again = train(sample.drop("toxic").repartition(3, "text"), labels.repartition(2))
+    assert model == again and train(sample.filter("toxic = 0").drop("toxic"), labels) is None
+
+
+def test_toxicity_context_by_hand(spark):
+    """Features and score against a plain loop over words."""
+    terms = ["blockhead", "vermin"]
+    matcher, weights = Matcher(terms), [-2.0, 3.0, 2.0, -1.0, 0.5]
+    pieces = ["vermin", "vermn", "\"vermin\"", "said", "stone", "blockhead.", "(blokhead)", "“quiet", "words”", "Ver m1n"]
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(40)))) for i in range(120)] + [(200, None), (None, "vermin")]
+    got = many(score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), ToxicityModel(terms, frozenset(), weights)).collect())
+    expected = []
+    for i, text in rows:
+        words = (text or "").split()
+        kinds = [matcher.look(w.lower()) for w in words]
+        direct = misspelt = quoted = 0.0
+        for at, kind in enumerate(kinds):
+            if not kind:
+                continue
+            low, high = max(0, at - 8), min(len(words), at + 9)
+            before, after = words[low:at], words[at + 1 : high]
+            opened = any(w[0] in QUOTES for w in before + [words[at]])
+            closed = any(w.rstrip(".,;:!?")[-1] in QUOTES for w in [words[at]] + after)
+            if (opened and closed) or {"said", "words”"} & set(before + after):
+                quoted += 1
+            elif kind == 2:
+                misspelt += 1
+            else:
+                direct += 1.5 if sum(map(bool, kinds[low:high])) > 1 else 1
+        x = [direct, misspelt, quoted, 100 * (direct + misspelt) / max(1, len(words))]
+        z = weights[0] + sum(w * math.log1p(v) for w, v in zip(weights[1:], x))
+        expected.append((i, 1 / (1 + math.exp(-z))))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted(((r[0], r[1]) for r in got.elements()), key=key)
+    assert [g[0] for g in got] == [e[0] for e in sorted(expected, key=key)]
+    assert all(abs(g[1] - e[1]) < 1e-9 for g, e in zip(got, sorted(expected, key=key)))
+    assert len({round(g[1], 6) for g in got}) > 20
