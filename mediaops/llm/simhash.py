@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaops.llm import golay
-from mediaops.llm.common import read_table, spread_join, texts
+from mediaops.llm.common import read_table, small_batches, spread_join, texts
 from mediaops.llm.components import smallest_labels
 from mediaops.llm.exact_dedup import BROADCAST_HASHES
 from mediaops.llm.words import BASES, U64, Words, lower_ascii, mix, single_spaced, text_slices
@@ -423,18 +423,19 @@ def near_duplicate_rows(
     A class keeps the smallest id, of equal ids (or without any) the least hash; rows that repeat both are all ``kept``.
     """
     rows = texts(docs, id_col, text_col).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    prints = set_prints(rows, shingle, bands_needed(similarity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    prints = cut_lineage(prints)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("best")
-    parts = prints.groupBy("fp", "salt").agg(best, F.min("keys").alias("keys"))
-    groups = cut_lineage(
-        parts.groupBy("fp").agg(F.min("best").alias("best"), F.min("keys").alias("keys"), F.collect_set("salt").alias("salts"))
-    )
-    shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
-    chosen = groups.select(F.col("fp").alias("id"), F.col("best.sha").alias("sha")).join(shared.select("id").distinct(), "id")
-    sets = cut_lineage(shingle_sets(rows, cut_lineage(chosen), shingle))
-    judge = lambda pairs: similar_pairs(sets, pairs, similarity)
-    found = links_within_keys(shared, judge, lambda rest: prefix_pairs(sets, rest, similarity), crowd, rounds)
+    with small_batches(docs.sparkSession):
+        prints = set_prints(rows, shingle, bands_needed(similarity)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        prints = cut_lineage(prints)
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("best")
+        parts = prints.groupBy("fp", "salt").agg(best, F.min("keys").alias("keys"))
+        groups = cut_lineage(
+            parts.groupBy("fp").agg(F.min("best").alias("best"), F.min("keys").alias("keys"), F.collect_set("salt").alias("salts"))
+        )
+        shared = cut_lineage(shared_keys(groups.select(F.explode("keys").alias("key"), F.col("fp").alias("id"))))
+        chosen = groups.select(F.col("fp").alias("id"), F.col("best.sha").alias("sha")).join(shared.select("id").distinct(), "id")
+        sets = cut_lineage(shingle_sets(rows, cut_lineage(chosen), shingle))
+        judge = lambda pairs: similar_pairs(sets, pairs, similarity)
+        found = links_within_keys(shared, judge, lambda rest: prefix_pairs(sets, rest, similarity), crowd, rounds)
     # Classes are named by a fingerprint: ids may be null or stand for several texts.
     found = found.select(F.col("id").alias("fp"), F.col("part").alias("label"))
     named = groups.drop("keys").join(found, "fp", "left").withColumn("class", F.coalesce("label", "fp"))

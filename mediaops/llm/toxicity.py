@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaops.llm.common import id_remainder, read_table, texts
+from mediaops.llm.common import id_remainder, read_table, small_batches, texts
 from mediaops.llm.words import Words, find_words, lower_ascii, text_slices
 from mediaops.plans.staging import cut_lineage
 
@@ -217,7 +217,7 @@ def count_features(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1)):
                 (yes if toxic.as_py() else no).update(lexicon_features(text.as_py()))
-                if len(yes) + len(no) > 300_000:
+                if len(yes) + len(no) > 50_000:
                     yield counted()
         if yes or no:
             yield counted()
@@ -324,9 +324,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     rows = cut_lineage(texts(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(least.alias("text")).select("doc_id", "text", "toxic"))
     if rows.select("toxic").distinct().count() < 2:
         return None
-    terms = learn_lexicon(rows)
-    ordinary = ordinary_words(rows, terms)
-    x, y = sample_features(rows, terms, ordinary)
+    with small_batches(docs.sparkSession):
+        terms = learn_lexicon(rows)
+        ordinary = ordinary_words(rows, terms)
+        x, y = sample_features(rows, terms, ordinary)
     return ToxicityModel(terms, ordinary, fit_weights(x, y, totals[1] / (totals[0] + totals[1])).tolist())
 
 
