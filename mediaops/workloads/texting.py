@@ -6,9 +6,13 @@ from mediaops.operators import keywords, labels, responses, segments, transcript
 from mediaops.workloads import roles as R
 from mediaops.workloads.registry import query
 
-# A response per document: its letters as description in one of several wrappings.
-RESP_SQL = """resp AS (SELECT source AS media, doc_id AS segment_index, lang, n_chars, doc_id % 6 AS form,
-  regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS d, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS words, text FROM documents)"""
+# A response per document: its whole text as description in one of several wrappings, as a JSON string where the wrapping
+# is JSON.  d is what the repair leaves of it: characters 7F to 9F and commas before a closing bracket go, and a text under
+# a heading ends at the next bold mark or empty line.
+RESP_SQL = r"""raw AS (SELECT source AS media, doc_id AS segment_index, lang, n_chars, doc_id % 6 AS form, coalesce(text, '') AS text FROM documents),
+resp AS (SELECT *, string_split(text, ' ') AS words, regexp_replace(regexp_replace(CASE form WHEN 3 THEN
+  CASE WHEN regexp_full_match(text, '[ \t\n\x0B\f\r]*') THEN '**Keywords:' ELSE regexp_replace(regexp_extract(regexp_replace(text, '^[ \t\n\x0B\f\r]+', '') || chr(10) || chr(10), '(?s)^(.+?)(\*\*|\n\n)', 1), '[ \t\n\x0B\f\r]+$', '') END
+  ELSE text END, '[\x{7f}-\x{9f}]', '', 'g'), ', *([}\]])', '\1', 'g') AS d FROM raw)"""
 CASES = {
     0: ("plain", '{"description": "%s", "confidence": "high"}'),
     1: ("fenced", 'Answer:\n```json\n{"description": "%s", "confidence": "high",}\n```\nend'),
@@ -20,21 +24,22 @@ CASES = {
 
 
 def response_rows(spark, sf):
-    d = R.table(spark, sf, "documents")
-    head = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    d = R.table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     form = F.col("doc_id") % 6
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    escaped = F.substring(quoted, F.lit(7), F.length(quoted) - 8)  # without {"t":" and "}
     text = F
-    for i, (_, template) in CASES.items():
-        text = text.when(form == i, F.concat(F.lit(template.split("%s")[0]), head, F.lit(template.split("%s")[1])))
-    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")
+    for i, (outcome, template) in CASES.items():
+        inner = F.col("text") if outcome in ("markdown", "invalid") else escaped
+        text = text.when(form == i, F.concat(F.lit(template.split("%s")[0]), inner, F.lit(template.split("%s")[1])))
     return d.select(
-        F.col("source").alias("media"), F.col("doc_id").alias("segment_index"), "lang", form.alias("form"), head.alias("head"),
-        words.alias("words"), text.alias("response"), "text",
+        F.col("source").alias("media"), F.col("doc_id").alias("segment_index"), "lang", form.alias("form"),
+        F.split("text", " ").alias("words"), text.alias("response"), "text",
     )
 
 
 @query("x7_response_outcomes", f"""WITH {RESP_SQL} SELECT segment_index, CASE form WHEN 1 THEN 'fenced' WHEN 2 THEN 'closed' WHEN 3 THEN 'markdown' WHEN 4 THEN 'invalid' ELSE 'plain' END AS outcome,
-CASE WHEN form = 4 THEN NULL WHEN form = 3 THEN coalesce(nullif(trim(d), ''), '**Keywords:** one, two; three') ELSE d END AS description FROM resp""")
+CASE WHEN form <> 4 THEN d END AS description FROM resp""")
 def outcomes(spark, sf):
     rows = responses.repair_responses(response_rows(spark, sf))
     described = F.get_json_object("json_text", "$.description")
@@ -47,7 +52,7 @@ def outcome_counts(spark, sf):
 
 
 @query("x8_field_repair", f"""WITH {RESP_SQL} SELECT segment_index,
-CASE WHEN form = 4 THEN NULL WHEN form = 3 THEN coalesce(nullif(trim(d), ''), '**Keywords:** one, two; three') ELSE d END AS description,
+CASE WHEN form <> 4 THEN d END AS description,
 CASE form WHEN 4 THEN NULL WHEN 3 THEN 'средняя' WHEN 5 THEN 'средняя' ELSE 'high' END AS confidence,
 CASE form WHEN 5 THEN 'true' WHEN 3 THEN 'false' END AS scene_change, CASE form WHEN 5 THEN 'new' WHEN 3 THEN 'Информация извлечена из markdown' END AS new_information,
 CASE form WHEN 5 THEN 'single' WHEN 3 THEN 'one|two|three' END AS keywords FROM resp""")
@@ -59,38 +64,39 @@ def field_repair(spark, sf):
     )
 
 
-@query("x9_quality_flags", f"""WITH {RESP_SQL}, a AS (SELECT *, lag(d) OVER (PARTITION BY media ORDER BY segment_index) AS prev, list_filter(words, lambda x: x <> '') AS st FROM resp)
+@query("x9_quality_flags", f"""WITH {RESP_SQL}, a AS (SELECT *, lag(text) OVER (PARTITION BY media ORDER BY segment_index) AS prev, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS st FROM resp)
 SELECT media, segment_index, array_to_string(list_filter([
-  CASE WHEN length(d) < 20 THEN 'short_description' END,
-  CASE WHEN prev <> '' AND prev = d THEN 'duplicate_description' END,
-  CASE WHEN trim(d) = '' THEN 'empty_required_fields' END,
-  CASE WHEN lang NOT IN ('high', 'medium', 'low') THEN 'invalid_confidence' END,
+  CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'chinese_characters' END,
+  CASE WHEN length(text) < 20 THEN 'short_description' END,
+  CASE WHEN prev <> '' AND prev = text THEN 'duplicate_description' END,
+  CASE WHEN regexp_full_match(text, '[ \\t\\n\\x0B\\f\\r]*') OR trim(coalesce(lang, '')) = '' THEN 'empty_required_fields' END,
+  CASE WHEN lang <> '' AND lower(lang) NOT IN ('высокая', 'средняя', 'низкая', 'high', 'medium', 'low') THEN 'invalid_confidence' END,
   CASE WHEN len(words) > 5 AND len(list_filter(range(len(words) - 3), lambda i: words[i + 1] = words[i + 2] AND words[i + 1] = words[i + 3] AND words[i + 1] = words[i + 4])) > 0 THEN 'keyword_loop' END,
   CASE WHEN len(words) > 10 AND len(list_distinct(words)) / CAST(len(words) AS DOUBLE) < 0.3 THEN 'keyword_flood' END,
-  CASE WHEN length(array_to_string(words, ' ')) > 100 AND len(st) > 10 AND len(list_distinct(st)) / CAST(len(st) AS DOUBLE) < 0.3 THEN 'search_terms_loop' END
+  CASE WHEN length(text) > 100 AND len(st) > 10 AND len(list_distinct(st)) / CAST(len(st) AS DOUBLE) < 0.3 THEN 'search_terms_loop' END
 ], lambda x: x IS NOT NULL), ',') AS flags FROM a""")
 def quality(spark, sf):
     rows = response_rows(spark, sf).withColumn(
         "analysis",
         F.struct(
-            F.col("head").alias("description"), F.col("lang").alias("confidence"), F.col("words").alias("keywords"),
-            F.array_join("words", " ").alias("search_terms"),
+            F.col("text").alias("description"), F.col("lang").alias("confidence"), F.col("words").alias("keywords"),
+            F.col("text").alias("search_terms"),
         ),
-    ).withColumn("response", F.col("head"))
+    ).withColumn("response", F.col("text"))
     return responses.quality_flags(rows).select("media", "segment_index", F.array_join("flags", ",").alias("flags"))
 
 
 @query("p10_search_documents", f"""WITH {RESP_SQL} SELECT media || '_seg_' || CAST(segment_index AS VARCHAR) AS id, media, segment_index,
-regexp_replace(text || ' ' || d || ' ' || array_to_string(words, ' '), '^\\s+|\\s+$', '', 'g') AS document, nullif(substring(text, 1, 500), '') AS description,
-nullif(substring(array_to_string(words, ' '), 1, 200), '') AS keywords, 'средняя' AS confidence, substring(lang, 1, 50) AS content_type, nullif(substring(d, 1, 500), '') AS search_terms
-FROM resp WHERE regexp_replace(text || ' ' || d || ' ' || array_to_string(words, ' '), '^\\s+|\\s+$', '', 'g') <> ''""")
+regexp_replace(text || ' ' || text || ' ' || text, '^\\s+|\\s+$', '', 'g') AS document, nullif(substring(text, 1, 500), '') AS description,
+nullif(substring(text, 1, 200), '') AS keywords, 'средняя' AS confidence, substring(lang, 1, 50) AS content_type, nullif(substring(text, 1, 500), '') AS search_terms
+FROM resp WHERE regexp_replace(text || ' ' || text || ' ' || text, '^\\s+|\\s+$', '', 'g') <> ''""")
 def documents(spark, sf):
     rows = response_rows(spark, sf).withColumn(
         "analysis",
         F.to_json(
             F.struct(
-                F.col("text").alias("description"), F.col("head").alias("dialogue_translation"), F.col("words").alias("keywords"),
-                F.col("head").alias("search_terms"), F.col("lang").alias("content_type"),
+                F.col("text").alias("description"), F.col("text").alias("dialogue_translation"), F.col("words").alias("keywords"),
+                F.col("text").alias("search_terms"), F.col("lang").alias("content_type"),
             )
         ),
     )
